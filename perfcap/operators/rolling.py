@@ -23,12 +23,14 @@ def default_step_seconds(bounds: DataFrame) -> DataFrame:
     return bounds.withColumn("default_step_s", step)
 
 
-def rolling_windows(samples: DataFrame, specs: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
+def rolling_windows(samples: DataFrame, specs: DataFrame, hot_rows: int | None = skew.HOT_ROWS,
+                    percentiles: bool = True) -> DataFrame:
     """Value of every rolling window with enough samples.
 
     ``specs``: ``spec_id, metric, instance, duration_s, step_s, min_samples, aggregation`` - a handful of
     rows, broadcast.  ``samples`` carry ``metric`` and ``instance``.  Each sample is sent to the windows
     that cover it (``duration / step`` of them), so the windows are one grouped aggregation.
+    ``percentiles=False`` says that no spec asks for one.
     """
     s = samples.where(F.col("value").isNotNull())
     spec = F.broadcast(specs.select(
@@ -59,14 +61,17 @@ def rolling_windows(samples: DataFrame, specs: DataFrame, hot_rows: int | None =
     keys = [*SERIES, "spec_id", "aggregation", "min_samples", "duration_s", "_first", "_step", "k"]
     aggs = [F.count("*").alias("n"), F.avg("value").alias("avg"), F.min("value").alias("min"),
             F.max("value").alias("max")]
-    plain = F.col("aggregation").isin("avg", "min", "max")
-    simple = placed.where(plain).groupBy(*keys).agg(*aggs).withColumn(
-        "quantiles", F.lit(None).cast("array<double>"))
-    exact = skew.grouped_quantiles(placed.where(~plain), keys, "value", [0.9, 0.95, 0.99], aggs, hot_rows)
+    if percentiles:
+        # Only percentile specs feed the quantiles; for the others the array stays null.
+        ranked = F.when(~F.col("aggregation").isin("avg", "min", "max"), F.col("value"))
+        values = skew.grouped_quantiles(placed.withColumn("_ranked", ranked), keys, "_ranked", [0.9, 0.95, 0.99],
+                                        aggs, hot_rows)
+    else:
+        values = placed.groupBy(*keys).agg(*aggs).withColumn("quantiles", F.lit(None).cast("array<double>"))
     value = F.expr("""CASE aggregation WHEN 'avg' THEN avg WHEN 'min' THEN min WHEN 'max' THEN max
         WHEN 'p90' THEN quantiles[0] WHEN 'p95' THEN quantiles[1] WHEN 'p99' THEN quantiles[2] END""")
     start = F.expr("timestamp_micros(_first + k * _step div 10)")
-    return simple.unionByName(exact).where(F.col("n") >= F.col("min_samples")).select(
+    return values.where(F.col("n") >= F.col("min_samples")).select(
         *SERIES, "spec_id", "k", start.alias("window_start"),
         F.expr("timestamp_micros(_first + k * _step div 10 + duration_s * 1000000)").alias("window_end"),
         "n", value.alias("value"))

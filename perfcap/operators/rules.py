@@ -6,7 +6,7 @@ from perfcap import fixed
 from perfcap.functions import names, text
 from perfcap.functions.compare import aggregation, compare, severity_rank
 from perfcap.operators import rolling, skew
-from perfcap.operators.stats import SERIES, STATISTICS
+from perfcap.operators.stats import SERIES, STATISTICS, present_metrics
 
 COND = ["pack_id", "rule_id", "cond_ord"]
 
@@ -150,29 +150,30 @@ def duration_hits(samples: DataFrame, conditions: DataFrame, hosts: DataFrame |
         (percent >= F.col("duration_percent")).alias("fired"))
 
 
-def trend_hits(stats: DataFrame, series: DataFrame, conditions: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
-    """Slope against the threshold; the share of samples plays no part."""
-    wanted = conditions.where(F.col("window_s").isNull() & (F.col("aggregation") == "trend"))
-    named = series.join(stats.select(*SERIES, "trend_per_hour"), SERIES)
-    return _series_level(named, wanted, hosts, "trend_per_hour")
-
+def with_threshold(rows: DataFrame, hosts: DataFrame | None) -> DataFrame:
+    """Rows of conditions per dataset with the threshold of a host-relative condition filled in.
 
-def _series_level(rows: DataFrame, conditions: DataFrame, hosts: DataFrame | None, value: str) -> DataFrame:
-    parts = []
-    columns = [*COND, "metric", "instance", "operator", "threshold"]
+    An unknown host variable leaves it null, which satisfies no comparison.
+    """
+    if hosts is None:
+        return rows
+    value = F.when(F.col("hc_variable") == "total_physical_memory_mb", F.col("total_physical_memory_mb")).when(
+        F.col("hc_variable") == "logical_processor_count", F.col("logical_processor_count").cast("double"))
+    resolved = F.coalesce("threshold", clamp(value * F.col("hc_factor"), F.col("hc_min"), F.col("hc_max")))
+    return rows.join(hosts, "dataset_id", "left").withColumn("threshold", resolved).drop(
+        "total_physical_memory_mb", "logical_processor_count")
 
-    def hits(c, on):
-        joined = rows.alias("s").join(c.alias("c"), on)
-        return joined.select(
-            "s.dataset_id", "s.series_id", *[f"c.{k}" for k in COND], "c.threshold",
-            F.col(f"s.{value}").alias("actual_value"),
-            compare(F.col(f"s.{value}"), F.col("c.operator"), F.col("c.threshold")).alias("fired"))
 
-    parts.append(hits(F.broadcast(conditions.where(F.col("hc_variable").isNull()).select(*columns)), metric_match()))
-    if hosts is not None:
-        resolved = resolve_thresholds(conditions, hosts).select("dataset_id", *columns)
-        parts.append(hits(resolved, metric_match() & (F.col("c.dataset_id") == F.col("s.dataset_id"))))
-    return skew.union_all(parts)
+def trend_hits(stats: DataFrame, series: DataFrame, conditions: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """Slope against the threshold; the share of samples plays no part."""
+    wanted = F.broadcast(conditions.where(F.col("window_s").isNull() & (F.col("aggregation") == "trend"))).alias("c")
+    named = series.join(stats.select(*SERIES, "trend_per_hour"), SERIES).alias("s")
+    rows = named.join(wanted, metric_match()).select(
+        "s.dataset_id", "s.series_id", *[f"c.{k}" for k in COND], "c.operator", "c.threshold", "c.hc_variable",
+        "c.hc_factor", "c.hc_min", "c.hc_max", F.col("s.trend_per_hour").alias("actual_value"))
+    return with_threshold(rows, hosts).select(
+        *SERIES, *COND, "threshold", "actual_value",
+        compare(F.col("actual_value"), F.col("operator"), F.col("threshold")).alias("fired"))
 
 
 def window_specs(conditions: DataFrame) -> DataFrame:
@@ -192,41 +193,28 @@ def spec_of_condition() -> Column:
 def window_hits(windows: DataFrame, conditions: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
     """Fires if any window satisfies; reports the worst window (highest for gt/ge, lowest for lt/le, for eq
     the first that matches, else the first)."""
-    wanted = conditions.where(F.col("window_s").isNotNull()).withColumn("spec_id", spec_of_condition())
-    columns = ["spec_id", *COND, "operator", "threshold"]
-
-    def hits(c, on):
-        op, value, k = F.col("operator"), F.col("value"), F.col("k")
-        ok = compare(value, op, F.col("threshold"))
-        joined = windows.join(c, on).select(*SERIES, *COND, "operator", "threshold", "value", "k")
-        grouped = joined.groupBy(*SERIES, *COND, "operator", "threshold").agg(
-            F.bool_or(ok).alias("fired"), F.max("value").alias("_max"), F.min("value").alias("_min"),
-            F.min_by("value", F.when(ok, k)).alias("_match"), F.min_by("value", "k").alias("_first"))
-        worst = F.when(op.isin("gt", "ge"), F.col("_max")).when(op.isin("lt", "le"), F.col("_min")).otherwise(
-            F.coalesce("_match", "_first"))
-        return grouped.select(*SERIES, *COND, "threshold", worst.alias("actual_value"), "fired")
-
-    parts = [hits(F.broadcast(wanted.where(F.col("hc_variable").isNull()).select(*columns)), ["spec_id"])]
-    if hosts is not None:
-        parts.append(hits(resolve_thresholds(wanted, hosts).select("dataset_id", *columns), ["dataset_id", "spec_id"]))
-    return skew.union_all(parts)
+    wanted = conditions.where(F.col("window_s").isNotNull()).select(
+        spec_of_condition().alias("spec_id"), *COND, "operator", "threshold", "hc_variable", "hc_factor", "hc_min",
+        "hc_max")
+    rows = with_threshold(windows.select(*SERIES, "spec_id", "k", "value").join(F.broadcast(wanted), "spec_id"), hosts)
+    op, k = F.col("operator"), F.col("k")
+    ok = compare(F.col("value"), op, F.col("threshold"))
+    grouped = rows.groupBy(*SERIES, *COND, "operator", "threshold").agg(
+        F.bool_or(ok).alias("fired"), F.max("value").alias("_max"), F.min("value").alias("_min"),
+        F.min_by("value", F.when(ok, k)).alias("_match"), F.min_by("value", "k").alias("_first"))
+    worst = F.when(op.isin("gt", "ge"), F.col("_max")).when(op.isin("lt", "le"), F.col("_min")).otherwise(
+        F.coalesce("_match", "_first"))
+    return grouped.select(*SERIES, *COND, "threshold", worst.alias("actual_value"), "fired")
 
 
 # --- findings ------------------------------------------------------------------
 
-def build_findings(hits: DataFrame, conditions: DataFrame, rules: DataFrame, recommendations: DataFrame,
-                   series: DataFrame, stats: DataFrame, datasets: DataFrame) -> DataFrame:
+def build_findings(detail: DataFrame, rules: DataFrame, recommendations: DataFrame, datasets: DataFrame) -> DataFrame:
     """Findings with ordered evidence, recommendations, content id and per-dataset ordinal.
 
-    ``hits``: fired (dataset, series, condition) rows with ``threshold`` and ``actual_value`` (null = take the
-    aggregate named by the condition).
+    ``detail``: one row per fired (condition, series) with the condition and the statistics of the series;
+    a null ``actual_value`` means the aggregate named by the condition.
     """
-    cond = F.broadcast(conditions.select(*COND, "metric", "instance", "aggregation", "operator", "duration_percent",
-                                         "window_s"))
-    fired = hits.join(cond, COND)
-    # Hits per series are as wide as the rule book, so this join keeps the distribution of the series.
-    detail = fired.join(stats, SERIES).join(
-        series.select(*SERIES, "series_ord", F.col("metric").alias("series_metric")), SERIES)
     actual = F.coalesce(F.col("actual_value"), aggregation(F.col("aggregation")))
     trigger = F.struct(
         text.trigger_expression(F.col, F.col("threshold")).alias("expression"), F.lit(True).alias("result"),
@@ -271,31 +259,72 @@ def finding_order(findings: DataFrame) -> DataFrame:
 
 
 def evaluate_rules(samples: DataFrame, series: DataFrame, stats: DataFrame, datasets: DataFrame, hosts: DataFrame,
-                   rules: DataFrame, conditions: DataFrame, recommendations: DataFrame,
-                   selected: DataFrame | None = None, present: DataFrame | None = None,
-                   hot_rows: int | None = skew.HOT_ROWS):
+                   book, selected: DataFrame | None = None, hot_rows: int | None = skew.HOT_ROWS):
     """(findings, warnings) of every dataset against every rule in one pass.
 
-    ``hosts`` has one row per dataset (columns null when unknown).  ``selected`` restricts packs per dataset
-    (dataset_id, pack_id).
+    ``book`` is a :class:`perfcap.sources.packs.RuleBook`.  ``hosts`` has one row per dataset (columns null when
+    unknown).  ``selected`` restricts packs per dataset (dataset_id, pack_id).
     """
-    if present is None:
-        from perfcap.operators.stats import present_metrics
-        present = present_metrics(series)
-    skipped, warnings = split_host_missing(conditions, hosts)
-    windows = rolling.rolling_windows(samples, window_specs(conditions), hot_rows)
+    conditions, rules = book.conditions, book.rules
     hits = skew.union_all([
-        duration_hits(samples, conditions, hosts).where("fired").select(
+        duration_hits(samples, conditions, hosts if book.has_host_samples else None).where("fired").select(
             *SERIES, *COND, "threshold", F.lit(None).cast("double").alias("actual_value")),
-        trend_hits(stats, series, conditions, hosts).where("fired").drop("fired"),
-        window_hits(windows, conditions, hosts).where("fired").drop("fired"),
+        *([window_hits(
+            rolling.rolling_windows(samples, window_specs(conditions), hot_rows, book.has_window_percentiles),
+            conditions, hosts if book.has_host else None).where("fired").drop("fired")] if book.has_windows else []),
     ])
+    detail = _series_detail(hits, stats, series, conditions, hosts if book.has_host else None)
     keys = ["dataset_id", "pack_id", "rule_id"]
-    with_guard = F.broadcast(guarded(rules).select("pack_id", "rule_id"))
-    free = hits.join(with_guard, ["pack_id", "rule_id"], "left_anti")
-    passed = hits.join(applicable_rules(rules, present), keys, "left_semi")
-    hits = free.unionByName(passed).join(skipped, keys, "left_anti")
+    if book.has_guards:
+        free = F.broadcast(guarded(rules).select("pack_id", "rule_id", F.lit(True).alias("_guarded")))
+        passed = applicable_rules(rules, present_metrics(series)).withColumn("_passed", F.lit(True))
+        detail = detail.join(free, ["pack_id", "rule_id"], "left").join(passed, keys, "left").where(
+            F.col("_guarded").isNull() | F.col("_passed")).drop("_guarded", "_passed")
+    skipped, warnings = split_host_missing(conditions, hosts)
+    if book.has_host:
+        detail = detail.join(skipped, keys, "left_anti")
     if selected is not None:
-        hits = hits.join(selected, ["dataset_id", "pack_id"], "left_semi")
+        detail = detail.join(selected, ["dataset_id", "pack_id"], "left_semi")
         warnings = warnings.join(selected, ["dataset_id", "pack_id"], "left_semi")
-    return build_findings(hits, conditions, rules, recommendations, series, stats, datasets), warnings
+    return build_findings(detail, rules, book.recommendations, datasets), warnings
+
+
+def _series_detail(hits: DataFrame, stats: DataFrame, series: DataFrame, conditions: DataFrame,
+                   hosts: DataFrame | None) -> DataFrame:
+    """Fired conditions with the statistics of their series.
+
+    Trend conditions need nothing but the statistics, so they are decided here, in the same pass over them.
+    """
+    fired = hits.groupBy(*SERIES).agg(
+        F.collect_list(F.struct(*COND, "threshold", "actual_value")).alias("_hits"))  # at most one per condition
+    rows = series.join(stats, SERIES).join(fired, SERIES, "left")
+    trend = conditions.where(F.col("window_s").isNull() & (F.col("aggregation") == "trend"))
+    trend = F.broadcast(trend.groupBy(F.lower("metric").alias("_m")).agg(F.collect_list(F.struct(
+        *COND, "instance", "operator", "threshold", "hc_variable", "hc_factor", "hc_min", "hc_max")).alias("_trend")))
+    rows = rows.withColumn("_m", F.lower("metric")).join(trend, "_m", "left")
+    rows = rows.where(F.col("_hits").isNotNull() | F.col("_trend").isNotNull())
+    if hosts is not None:
+        rows = rows.join(hosts, "dataset_id", "left")
+
+    def resolved(c):
+        if hosts is None:
+            return c["threshold"]
+        value = F.when(c["hc_variable"] == "total_physical_memory_mb", F.col("total_physical_memory_mb")).when(
+            c["hc_variable"] == "logical_processor_count", F.col("logical_processor_count").cast("double"))
+        return F.coalesce(c["threshold"], clamp(value * c["hc_factor"], c["hc_min"], c["hc_max"]))
+
+    def trend_hit(c):
+        return F.struct(*[c[k].alias(k) for k in COND], resolved(c).alias("threshold"),
+                        F.col("trend_per_hour").alias("actual_value"))
+
+    matches = F.filter("_trend", lambda c: (
+        c["instance"].isNull() | (c["instance"] == "*") | (F.lower("instance") == F.lower(c["instance"])))
+        & compare(F.col("trend_per_hour"), c["operator"], resolved(c)))
+    empty = F.array().cast("array<struct<pack_id:string,rule_id:string,cond_ord:int,threshold:double,actual_value:double>>")
+    rows = rows.withColumn("_hits", F.concat(
+        F.coalesce("_hits", empty), F.coalesce(F.transform(matches, trend_hit), empty)))
+    rows = rows.select(
+        *SERIES, "series_ord", F.col("metric").alias("series_metric"), *STATISTICS, F.inline("_hits"))
+    cond = F.broadcast(conditions.select(*COND, "metric", "instance", "aggregation", "operator", "duration_percent",
+                                         "window_s"))
+    return rows.join(cond, COND)

@@ -98,13 +98,13 @@ def hot_quantiles(df: DataFrame, keys: list, value: str, probs: list) -> DataFra
     inside = lambda rank: (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_bn"))
     wanted = wanted.where(inside(F.col("_lo")) | inside(F.col("_hi")))
 
-    needed = wanted.select(*keys, "_bucket", "_before").distinct()
+    needed = wanted.groupBy(*keys, "_bucket", "_before").agg(
+        F.collect_list(F.struct("_q", "_lo", "_hi", "_frac")).alias("_qs"))  # at most one per quantile
     within = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.join(needed, [*keys, "_bucket"]).select(
-        *keys, "_bucket", value, "_n",
-        (F.col("_before") + F.sum("_n").over(within) - F.col("_n")).alias("_rank0"))
+        *keys, value, "_n", "_qs", (F.col("_before") + F.sum("_n").over(within) - F.col("_n")).alias("_rank0"))
+    hits = ranked.select(*keys, value, "_n", "_rank0", F.inline("_qs"))
     holds = lambda rank: (rank >= F.col("_rank0")) & (rank < F.col("_rank0") + F.col("_n"))
-    hits = ranked.join(wanted.select(*keys, "_bucket", "_q", "_lo", "_hi", "_frac"), [*keys, "_bucket"])
     per_q = hits.groupBy(*keys, "_q", "_frac").agg(
         F.max(F.when(holds(F.col("_lo")), F.col(value))).alias("_vlo"),
         F.max(F.when(holds(F.col("_hi")), F.col(value))).alias("_vhi"))

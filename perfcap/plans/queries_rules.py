@@ -22,15 +22,11 @@ class Events:
         self.stats = S.series_stats(self.samples)
         self.datasets = self.samples.groupBy("dataset_id").agg(F.min("ts").alias("start_time"), F.max("ts").alias("end_time"))
         self.present = S.present_metrics(self.series)
-        self.files = P.packs_from(spark, packs or event_rules.ALL_PACKS)
-        self.packs = P.pack_table(self.files)
-        self.rules = P.rule_table(self.files)
-        self.conditions = P.condition_table(self.files)
-        self.recommendations = P.recommendation_table(self.files)
+        self.book = P.RuleBook.of(spark, packs or event_rules.ALL_PACKS)
+        self.rules, self.conditions = self.book.rules, self.book.conditions
 
     def evaluate(self, selected=None):
-        return R.evaluate_rules(self.samples, self.series, self.stats, self.datasets, self.hosts, self.rules,
-                                self.conditions, self.recommendations, selected, self.present)
+        return R.evaluate_rules(self.samples, self.series, self.stats, self.datasets, self.hosts, self.book, selected)
 
 
 def iso(column):

@@ -1,5 +1,6 @@
 """Rule packs: YAML files -> one row per pack -> flat tables."""
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -86,7 +87,7 @@ def pack_record(raw: dict, path: str = "") -> dict:
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import yaml
 
-    columns = [c.split(" ", 1)[0] for c in _top_level(schemas.PACK_FILE)]
+    columns = [c.split(" ", 1)[0] for c in schemas.top_level(schemas.PACK_FILE)]
     for batch in batches:
         rows = []
         for path, text in zip(batch["path"], batch["value"]):
@@ -97,18 +98,6 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=columns).astype(object).where(lambda d: d.notna(), None)
 
 
-def _top_level(ddl: str) -> list:
-    parts, depth, part = [], 0, ""
-    for ch in ddl + ",":
-        if ch == "," and depth == 0:
-            parts.append(part.strip())
-            part = ""
-            continue
-        depth += (ch == "<") - (ch == ">")
-        part += ch
-    return parts
-
-
 def read_packs(spark: SparkSession, path: str, glob: str = "pack.yaml") -> DataFrame:
     """One row per pack file under ``path``; unreadable files are rows with ``error``."""
     text = (
@@ -120,7 +109,64 @@ def read_packs(spark: SparkSession, path: str, glob: str = "pack.yaml") -> DataF
 
 def packs_from(spark: SparkSession, packs: list) -> DataFrame:
     """Packs given as dictionaries (the YAML structure)."""
-    return spark.createDataFrame([pack_record(p, f"inline/{p['pack_id']}") for p in packs], schemas.PACK_FILE)
+    return _literal(spark, [pack_record(p, f"inline/{p['pack_id']}") for p in packs])
+
+
+def _literal(spark: SparkSession, records: list) -> DataFrame:
+    """Records as a constant of the plan: no Python job each time the table is used."""
+    text, kind = json.dumps(records), f"ARRAY<{schemas.struct_of(schemas.PACK_FILE)}>"
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(text), kind)))
+
+
+class RuleBook:
+    """The rule packs of a job.
+
+    Packs are configuration (files written by people), so they are read once and become constants of the
+    plan; what they contain decides which branches a plan needs.
+    """
+
+    def __init__(self, spark: SparkSession, records: list):
+        self.records = [r for r in records if r["error"] is None]
+        self.errors = [r["error"] for r in records if r["error"] is not None]
+        self.files = _literal(spark, self.records)
+        self.packs = pack_table(self.files)
+        self.rules = rule_table(self.files)
+        self.conditions = condition_table(self.files)
+        self.recommendations = recommendation_table(self.files)
+        self.aliases = alias_table(self.files)
+
+    @classmethod
+    def of(cls, spark: SparkSession, packs: list) -> "RuleBook":
+        return cls(spark, [pack_record(p, f"inline/{p['pack_id']}") for p in packs])
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> "RuleBook":
+        """Packs under a folder, in path order (size of configuration, not of data)."""
+        rows = read_packs(spark, path).orderBy("path").collect()
+        return cls(spark, [r.asDict(recursive=True) for r in rows])
+
+    def _any(self, test) -> bool:
+        return any(test(c) for p in self.records for r in p["rules"] for c in r["conditions"])
+
+    @property
+    def has_host(self) -> bool:
+        return self._any(lambda c: c["hc_variable"] is not None)
+
+    @property
+    def has_host_samples(self) -> bool:
+        return self._any(lambda c: c["hc_variable"] is not None and c["window_s"] is None and c["aggregation"] != "trend")
+
+    @property
+    def has_windows(self) -> bool:
+        return self._any(lambda c: c["window_s"] is not None)
+
+    @property
+    def has_window_percentiles(self) -> bool:
+        return self._any(lambda c: c["window_s"] is not None and c["aggregation"].startswith("p"))
+
+    @property
+    def has_guards(self) -> bool:
+        return any(r["requires_any"] or r["requires_all"] for p in self.records for r in p["rules"])
 
 
 # --- flat tables ---------------------------------------------------------------
