@@ -175,7 +175,7 @@ def uploads(spark, sf_dir) -> DataFrame:
 def purge_runs(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(
-        F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("upload_id"),
+        F.col("o_orderkey").alias("run_id"), F.expr("o_orderkey div 2").alias("upload_id"),
         F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "failed")
         .otherwise("running").alias("status"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("completed_at"),
