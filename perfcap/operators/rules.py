@@ -61,17 +61,18 @@ def resolve_thresholds(conditions: DataFrame, hosts: DataFrame) -> DataFrame:
 def split_host_missing(conditions: DataFrame, hosts: DataFrame):
     """(dataset, pack, rule) skipped for a missing host variable, and the warnings that say so."""
     relative = conditions.where(F.col("hc_variable").isNotNull()).select(
-        *COND, "hc_variable", _variable_key().alias("variable"))
+        *COND, "rule_ord", "hc_variable", _variable_key().alias("variable"))
     unknown = host_variables(hosts).where(F.col("host_value").isNull())
     missing = unknown.join(F.broadcast(relative), "variable")
     skipped = missing.groupBy("dataset_id", "pack_id", "rule_id").agg(
+        F.min("rule_ord").cast("long").alias("ord"),
         F.array_sort(F.collect_set(F.struct("cond_ord", "hc_variable"))).alias("_v"))
     variables = F.array_distinct(F.transform("_v", lambda v: F.concat(F.lit("host_context."), v["hc_variable"])))
     warnings = skipped.select(
         "dataset_id", F.lit("rule.host_context_unavailable").alias("code"),
         F.concat(F.lit("Rule '"), F.col("rule_id"), F.lit("' in pack '"), F.col("pack_id"), F.lit("' skipped: "),
                  F.array_join(variables, ", "), F.lit(" not provided.")).alias("message"),
-        F.lit("informational").alias("severity"), "pack_id", "rule_id")
+        F.lit("informational").alias("severity"), "ord", "pack_id", "rule_id")
     return skipped.select("dataset_id", "pack_id", "rule_id"), warnings
 
 

@@ -126,4 +126,25 @@ BROKEN_PACK = {
     ],
 }
 
+CAPTURE_PACK = {
+    "schema_version": "perfcap.pack/v1",
+    "pack_id": "event-captures",
+    "pack_name": "Event captures",
+    "version": "2.0.0",
+    "applicability": {"requires_any": ["events.click"]},
+    "metric_aliases": {f"events.{t}": [f"\\\\*\\Events(*)\\{t}"] for t in ("click", "error", "purchase", "signup")},
+    "recommendations": {"look": {"priority": "high", "text": "Look at <it> | now."}},
+    "rules": [
+        {"rule_id": "clicks", "severity": "critical", "category": "cpu", "title": "Clicks & more", "summary": "Clicks above 90.",
+         "conditions": [{"metric": "events.click", "aggregation": "p95", "operator": "gt", "threshold": 90,
+                         "duration_percent": 12.5}], "recommendations": ["look"]},
+        {"rule_id": "errors", "severity": "warning", "category": "disk", "title": "Errors", "summary": "Errors below 10.",
+         "conditions": [{"metric": "events.error", "aggregation": "min", "operator": "lt", "threshold": 10,
+                         "duration_percent": 15}]},
+        {"rule_id": "memory", "severity": "warning", "category": "memory", "title": "Memory", "summary": "For the host.",
+         "conditions": [{"metric": "events.signup", "aggregation": "avg", "operator": "gt",
+                         "threshold": {"host_context": "total_physical_memory_mb", "factor": 0.02}}]},
+    ],
+}
+
 ALL_PACKS = [EVENT_PACK, LINE_PACK, CALL_PACK, NO_BLOCK_PACK]

@@ -223,3 +223,28 @@ def sinks(spark, sf_dir) -> DataFrame:
         F.when(k % 2 == 0, "alert.created, alert.escalated").when(k % 5 == 0, "alert.resolved")
         .otherwise(" alert.acknowledged ,,alert.created").alias("events"),
         (k % 4 != 0).alias("enabled"), F.when(k % 2 == 0, F.concat(F.lit("key"), k.cast("string"))).alias("secret"))
+
+
+def event_capture_lines(spark, sf_dir) -> DataFrame:
+    """events as wide capture files, one per workspace and day: five counters, one line per event.
+
+    Every fiftieth line has no readable time, every thirtieth is cut short.
+    """
+    e = table(spark, sf_dir, "events")
+    workspace = (F.col("user_id") % 3).cast("string")
+    path = F.concat(F.lit("/captures/ws"), workspace, F.lit("/"), F.date_format("ts", "yyyyMMdd"), F.lit(".csv"))
+    stamp = F.when(F.col("event_id") % 50 == 0, "bad time").otherwise(F.date_format("ts", "MM/dd/yyyy HH:mm:ss.SSS"))
+    text = F.col("value").cast("string")
+    cells = [F.concat(F.lit(',"'), F.when(F.col("event_type") == t, text).otherwise(""), F.lit('"')) for t in EVENT_TYPES]
+    whole = F.concat(F.lit('"'), stamp, F.lit('"'), *cells)
+    line = F.when(F.col("event_id") % 30 == 0, F.concat(F.lit('"'), stamp, F.lit('"'), cells[0])).otherwise(whole)
+    rows = e.select(path.alias("path"), F.lit(0).cast("long").alias("block"), (F.col("event_id") + 1).alias("ord"), line.alias("line"))
+    counters = [F.concat(F.lit(',"\\\\WS'), workspace, F.lit(f'\\Events(all)\\{t}"')) for t in EVENT_TYPES]
+    heads = e.select(path.alias("path"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("ord"),
+                     F.concat(F.lit('"(PDH-CSV 4.0)"'), *counters).alias("line")).distinct()
+    return rows.unionByName(heads)
+
+
+def event_capture_catalog(lines: DataFrame) -> DataFrame:
+    """Catalog of the event captures; the digest is that of the path."""
+    return lines.select("path").distinct().select("path", F.sha2("path", 256).alias("sha256"), F.lit("csv").alias("source_type"))

@@ -168,7 +168,7 @@ def bad_line_warnings(lines: DataFrame, rows: DataFrame) -> DataFrame:
     return bad.select(
         "dataset_id", F.lit("collector.warning").alias("code"),
         F.format_string("Line %d: Could not parse timestamp '%s', skipping.", number, F.get("_cells", F.lit(0)))
-        .alias("message"), F.lit("warning").alias("severity"))
+        .alias("message"), F.lit("warning").alias("severity"), number.alias("ord"))
 
 
 def read_host_context(spark: SparkSession, path: str, datasets: DataFrame, memory_mb: float | None = None,
