@@ -4,9 +4,10 @@ Fixed values.  Per object: path pattern, metric prefix and the known counters, i
 id follows from the counter name by one rule (:func:`snake`); where it does not, the entry gives it after ``=``.
 """
 
+import json
 import re
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MACHINE = r"\\[^\\]+\\"
 ANY = r"\([^)]*\)"
@@ -145,17 +146,20 @@ def builtin_aliases() -> list:
     return out
 
 
-def builtin_metric(path: Column) -> Column:
-    """Canonical metric of the first built-in pattern that matches (ignoring case), else NULL."""
-    expr = None
-    for pattern, metric in builtin_aliases():
-        hit = path.rlike("(?i)" + pattern)
-        expr = F.when(hit, metric) if expr is None else expr.when(hit, metric)
+def builtin_table(spark: SparkSession) -> DataFrame:
+    """(ord, pattern, metric) as a constant of the plan."""
+    rows = json.dumps([{"ord": i, "pattern": p, "metric": m} for i, (p, m) in enumerate(builtin_aliases())])
+    kind = "ARRAY<STRUCT<ord: BIGINT, pattern: STRING, metric: STRING>>"
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(rows), kind)))
+
+
+def family_metric(path: Column) -> Column:
+    """Metric of the two objects covered by rule, else NULL."""
     counter = F.regexp_extract(path, "(?i)" + ASYNC_SERVICE, 1)
-    expr = expr.when(counter != "", F.concat(F.lit("dynamicscrm.async_service."), _snake(counter)))
     area = F.regexp_extract(path, "(?i)" + LS_OBJECT, 1)
     name = F.regexp_extract(path, "(?i)" + LS_OBJECT, 2)
     own = F.when(name.rlike("^A/V Edge - "), name).otherwise(F.regexp_replace(name, r"^[^-]*?- ", ""))
     area_id = F.btrim(F.regexp_replace(F.lower(area), "[^a-z0-9]+", "_"), F.lit("_"))
     own = F.regexp_replace(own, r"^A/V", "A V")
-    return expr.when(area != "", F.concat(F.lit("sfb."), area_id, F.lit("."), _snake(own)))
+    return F.when(counter != "", F.concat(F.lit("dynamicscrm.async_service."), _snake(counter))).when(
+        area != "", F.concat(F.lit("sfb."), area_id, F.lit("."), _snake(own)))

@@ -26,6 +26,11 @@ def split_cells(line: Column) -> Column:
     return F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1))
 
 
+def first_cell(line: Column) -> Column:
+    """First raw cell, without splitting the rest."""
+    return F.regexp_extract(F.concat(F.lit(","), line), "^" + _CELL, 1)
+
+
 def unquote(cell: Column) -> Column:
     return F.btrim(cell, F.lit('"'))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from perfcap.functions import names
-from perfcap.functions.aliases import builtin_metric
+from perfcap.functions.aliases import builtin_table, family_metric
 
 
 def pack_patterns(pack_aliases: DataFrame) -> DataFrame:
@@ -18,16 +18,18 @@ def first_match(paths: DataFrame, aliases: DataFrame) -> DataFrame:
     (configuration) and is broadcast; only paths with a match come back.
     """
     hits = paths.join(F.broadcast(aliases), names.like_regex(F.col("counter_path"), F.col("pattern")))
-    return hits.groupBy("counter_path").agg(F.min_by("metric", "ord").alias("metric"))
+    return hits.groupBy("counter_path").agg(F.min_by("metric", "ord").alias("metric"), F.min("ord").alias("ord"))
 
 
 def resolve_metrics(paths: DataFrame, pack_aliases: DataFrame | None = None) -> DataFrame:
     """(counter_path, metric) for each distinct path: built-in pattern, pack alias, else ``unknown.…``."""
+    spark = paths.sparkSession
+    path = F.col("counter_path")
     distinct = paths.select("counter_path").distinct()
-    known = distinct.withColumn("_builtin", builtin_metric(F.col("counter_path")))
-    fallback = names.unknown_metric(F.col("counter_path"))
-    if pack_aliases is None:
-        return known.select("counter_path", F.coalesce("_builtin", fallback).alias("metric"))
-    rest = first_match(known.where(F.col("_builtin").isNull()).select("counter_path"), pack_patterns(pack_aliases))
-    return known.join(rest, "counter_path", "left").select(
-        "counter_path", F.coalesce("_builtin", "metric", fallback).alias("metric"))
+    patterns = builtin_table(spark)
+    if pack_aliases is not None:
+        # After the built-in names and the two families, in the order of the packs.
+        patterns = patterns.unionByName(pack_patterns(pack_aliases).withColumn("ord", F.col("ord") + 1_000_000))
+    known = distinct.join(first_match(distinct, patterns), "counter_path", "left")
+    family = F.when(F.col("ord").isNull() | (F.col("ord") >= 1_000_000), family_metric(path))
+    return known.select("counter_path", F.coalesce(family, "metric", names.unknown_metric(path)).alias("metric"))

@@ -1,6 +1,6 @@
 """Captures in, findings and reports out: the whole analysis of many captures as one set of plans."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -28,11 +28,10 @@ def analyze(captures: C.Captures, book: RuleBook, hosts: DataFrame, generated_at
     """Analyse every capture against the selected packs.
 
     ``materialize`` (a function DataFrame -> DataFrame such as ``session.cut_lineage`` or "write and read back") is
-    applied to the tables that several outputs share: samples, series, statistics and findings.
+    applied to the tables that several outputs share: samples, series, datasets, statistics and findings.
     """
     keep = materialize or (lambda df: df)
-    c = captures
-    c.samples, c.series = keep(c.samples), keep(c.series)
+    c = replace(captures, samples=keep(captures.samples), series=keep(captures.series), datasets=keep(captures.datasets))
     stats = keep(S.series_stats(c.samples))
     selected, errors = P.select_packs(book.packs, list(explicit), auto, S.present_metrics(c.series))
     findings, engine = R.evaluate_rules(c.samples, c.series, stats, c.datasets, hosts, book, selected)

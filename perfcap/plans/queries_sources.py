@@ -7,6 +7,7 @@ from perfcap.operators import normalize as N, packs as P, skew
 from perfcap.plans import analyze as Z, event_rules, views
 from perfcap.plans.queries_rules import Events, iso, sql_iso
 from perfcap.plans.sqltext import lit, query, values
+from perfcap.session import cut_lineage
 from perfcap.sinks import reports as R
 from perfcap.sources import captures as C, packs as S, runs as H
 
@@ -144,7 +145,7 @@ def _analysis(spark, sf_dir):
     hosts = c.datasets.select(
         "dataset_id", F.when(F.col("machine_name") != "WS1", F.lit(3000.0)).alias("total_physical_memory_mb"),
         F.lit(None).cast("int").alias("logical_processor_count"))
-    return Z.analyze(c, book, hosts, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    return Z.analyze(c, book, hosts, F.lit("2024-02-01 00:00:00").cast("timestamp"), materialize=cut_lineage)
 
 
 def capture_findings(spark, sf_dir):
@@ -302,13 +303,14 @@ SRC = {
     "unknown": r"""SELECT counter_path, 'unknown.' || trim(lower(regexp_replace(counter_path, '[^\p{L}\p{Nd}]', '_', 'g')), '_') AS metric
       FROM paths""",
     "cap": """SELECT *, '/captures/ws' || (user_id % 3) || '/' || strftime(ts, '%Y%m%d') || '.csv' AS path,
-        event_id % 50 = 0 AS bad, list_position(['click','error','purchase','signup','view'], event_type) AS col FROM events""",
+        event_id % 50 = 0 AS bad, row_number() OVER (PARTITION BY user_id % 3, strftime(ts, '%Y%m%d') ORDER BY event_id) AS line_no,
+        list_position(['click','error','purchase','signup','view'], event_type) AS col FROM events""",
     "cap_good": """SELECT *, 'ds_' || substr(sha256(path), 1, 16) AS dataset_id, date_trunc('milliseconds', ts)::TIMESTAMP AS tms
       FROM cap WHERE NOT bad""",
     "cap_samples": """SELECT dataset_id, c AS series_ord, 'ser_00' || c AS series_id,
         CASE WHEN c = 5 THEN 'unknown.ws' || (user_id % 3) || '_events_all__view'
           ELSE 'events.' || ['click','error','purchase','signup'][c] END AS metric, 'all' AS instance, tms AS ts,
-        CASE WHEN c = col AND (event_id % 30 <> 0 OR c = 1) THEN value END AS value, event_id + 1 AS ord
+        CASE WHEN c = col AND (event_id % 30 <> 0 OR c = 1) THEN value END AS value, line_no AS ord
       FROM (SELECT *, unnest(range(1, 6)) AS c FROM cap_good)""",
     "cap_hits": """SELECT dataset_id, 'clicks' AS rule_id, 'events.click' AS primary_metric, round(quantile_cont(value, 0.95), 5) AS actual_value,
         'p95(events.click) > 90 for >= 12.5% of samples' AS expression, 'critical' AS severity, 'cpu' AS category
@@ -406,8 +408,8 @@ SQL = {
         len(list_filter(any_value(diffs), lambda x: abs(x - any_value_d0) > 0.5 * any_value_d0)) AS gap_count
       FROM cap_good JOIN (SELECT *, d0 AS any_value_d0 FROM cap_gaps) USING (dataset_id) GROUP BY dataset_id, path, user_id % 3, any_value_d0"""),
     "s3_capture_warnings": src("""SELECT 'ds_' || substr(sha256(path), 1, 16) AS dataset_id, 'collector.warning' AS code,
-        'Line ' || (rn + 1) || ': Could not parse timestamp ''"bad time"'', skipping.' AS message, 'warning' AS severity
-      FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY event_id) AS rn FROM cap) WHERE bad"""),
+        'Line ' || (line_no + 1) || ': Could not parse timestamp ''"bad time"'', skipping.' AS message, 'warning' AS severity
+      FROM cap WHERE bad"""),
     "s6_capture_rejected": src("SELECT DISTINCT path, 'no parseable data rows' AS reason FROM cap WHERE user_id % 3 <> 1"),
     "c2_capture_findings": src("""SELECT dataset_id, rule_id, primary_metric, actual_value, expression, row_number() OVER (PARTITION BY dataset_id
         ORDER BY severity, category, rule_id) AS finding_ord FROM cap_hits"""),
@@ -447,7 +449,8 @@ SQL = {
       UNION ALL SELECT '', 'Pack ''nowhere'' not found on any search path.', 'error', 'error'"""),
     "f11_pack_violations": "SELECT pack_id, subject, level, message, 1::BIGINT AS n, (SELECT count(*) FROM events) AS samples FROM (VALUES "
         + ", ".join(f"('Broken_Pack', {lit(s)}, {lit(lv)}, {lit(m)})" for s, lv, m in _BROKEN)
-        + ", ('no-block', 'pack', 'warning', 'Pack ''no-block'' contains no rules')) AS v(pack_id, subject, level, message)",
+        + ", ('event-core', 'critical-error-value', 'error', 'Rule ''critical-error-value'': references recommendation "
+        + "''missing-id'' which is not defined in the pack'), ('no-block', 'pack', 'warning', 'Pack ''no-block'' contains no rules')) AS v(pack_id, subject, level, message)",
     "c14_number_text": """SELECT o_orderkey, regexp_replace(o_totalprice::VARCHAR, '\\.0$', '') AS price,
         regexp_replace((o_orderkey / 4.0)::DOUBLE::VARCHAR, '\\.0$', '') AS quarter, printf('%.2f', o_totalprice) AS fixed FROM orders""",
 }

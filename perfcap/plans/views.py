@@ -238,7 +238,9 @@ def event_capture_lines(spark, sf_dir) -> DataFrame:
     cells = [F.concat(F.lit(',"'), F.when(F.col("event_type") == t, text).otherwise(""), F.lit('"')) for t in EVENT_TYPES]
     whole = F.concat(F.lit('"'), stamp, F.lit('"'), *cells)
     line = F.when(F.col("event_id") % 30 == 0, F.concat(F.lit('"'), stamp, F.lit('"'), cells[0])).otherwise(whole)
-    rows = e.select(path.alias("path"), F.lit(0).cast("long").alias("block"), (F.col("event_id") + 1).alias("ord"), line.alias("line"))
+    number = F.row_number().over(Window.partitionBy("path").orderBy("event_id")).cast("long")  # lines of one file
+    rows = e.select(path.alias("path"), "event_id", line.alias("line")).select(
+        "path", F.lit(0).cast("long").alias("block"), number.alias("ord"), "line")
     counters = [F.concat(F.lit(',"\\\\WS'), workspace, F.lit(f'\\Events(all)\\{t}"')) for t in EVENT_TYPES]
     heads = e.select(path.alias("path"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("ord"),
                      F.concat(F.lit('"(PDH-CSV 4.0)"'), *counters).alias("line")).distinct()

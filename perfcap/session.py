@@ -1,6 +1,7 @@
 """Session defaults and lineage cuts."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,14 +24,18 @@ def build_session(app: str = "perfcap", master: str | None = None, **conf) -> Sp
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate tables; a temporary one only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or tempfile.mkdtemp(prefix="perfcap-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names.
+    """Write a table other stages share to the shared folder and read it back.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests on one
-    machine) a temporary folder is used.
+    Unlike a cached table it survives lost executors; unlike an RDD checkpoint later scans prune its columns.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="perfcap-"))
-    return df.checkpoint(eager=False)
+    path = f"{shared_folder(spark).rstrip('/')}/perfcap-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -108,15 +108,12 @@ def captures_from(lines: DataFrame, catalog: DataFrame, pack_aliases: DataFrame
     # Per file: what each column is, so that samples carry metric and instance without another join.
     named = series.groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct(
         "series_ord", "series_id", "metric", "instance"))).alias("_columns"))  # as wide as one header line
-    heads = headers.select("path", "dataset_id", "header_ord").join(named, "dataset_id")
-    rows = lines.join(heads, "path").where(F.col("ord") != F.col("header_ord"))
-    cells = parse.split_cells(F.col("line"))
-    rows = rows.withColumn("_cells", cells)
-    stamp = F.get("_cells", F.lit(0))
-    rows = rows.where(F.trim(stamp) != "").withColumn("ts", parse.parse_ts(stamp))
+    heads = headers.select("path", "dataset_id", "header_ord")
+    rows = _stamped(lines, heads)
     good = rows.where(F.col("ts").isNotNull())
-    samples = good.select(
-        "dataset_id", "ts", "ord", "_cells", F.explode("_columns").alias("c")).select(
+    wide = _stamped(lines, heads.join(named, "dataset_id")).where(F.col("ts").isNotNull())
+    samples = wide.select(
+        "dataset_id", "ts", "ord", parse.split_cells(F.col("line")).alias("_cells"), F.explode("_columns").alias("c")).select(
         "dataset_id", "c.series_id", "c.series_ord", "c.metric", "c.instance", "ts",
         parse.parse_value(F.get("_cells", F.col("c.series_ord"))).alias("value"), "ord")
 
@@ -135,6 +132,13 @@ def captures_from(lines: DataFrame, catalog: DataFrame, pack_aliases: DataFrame
     return Captures(datasets, series, samples, bad_line_warnings(lines, rows), rejected)
 
 
+def _stamped(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """Data lines with what their file's head says, and their time (null if unreadable)."""
+    rows = lines.join(heads, "path").where(F.col("ord") != F.col("header_ord"))
+    rows = rows.withColumn("_stamp", parse.first_cell(F.col("line"))).where(F.trim("_stamp") != "")
+    return rows.withColumn("ts", parse.parse_ts(F.col("_stamp")))
+
+
 def line_quality(stamps: DataFrame) -> DataFrame:
     """Start, end, rows, nominal interval and gaps per dataset, in file order.
 
@@ -167,7 +171,7 @@ def bad_line_warnings(lines: DataFrame, rows: DataFrame) -> DataFrame:
     number = row - F.col("_row0") + F.col("_before") + 1
     return bad.select(
         "dataset_id", F.lit("collector.warning").alias("code"),
-        F.format_string("Line %d: Could not parse timestamp '%s', skipping.", number, F.get("_cells", F.lit(0)))
+        F.format_string("Line %d: Could not parse timestamp '%s', skipping.", number, F.col("_stamp"))
         .alias("message"), F.lit("warning").alias("severity"), number.alias("ord"))
 
 
