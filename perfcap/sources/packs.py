@@ -101,8 +101,7 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_packs(spark: SparkSession, path: str, glob: str = "pack.yaml") -> DataFrame:
     """One row per pack file under ``path``; unreadable files are rows with ``error``."""
     text = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", True).text(path)
+        spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
         .select(F.col("_metadata.file_path").alias("path"), "value"))
     return text.mapInPandas(_parse_batches, schemas.PACK_FILE)
 
