@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from perfcap import fixed
 from perfcap.functions.compare import severity_of_rank, severity_rank
 from perfcap.operators import crossrun, skew
+from perfcap.session import cut_lineage
 
 ALERT = ["workspace_id", "rule_id"]
 
@@ -76,15 +77,18 @@ def lifecycle_input(events: DataFrame, commands: DataFrame | None) -> DataFrame:
         none("string", "category"), none("string", "title"), none("string", "policy_applied"), "until", "note"))
 
 
-def alert_history(events: DataFrame, commands: DataFrame | None = None, slice_unit: str = "month") -> DataFrame:
+def alert_history(events: DataFrame, commands: DataFrame | None = None, slice_unit: str = "month",
+                  materialize=cut_lineage) -> DataFrame:
     """Every event with its segment (the n-th alert of the rule), its outcome and the notification it causes.
 
-    outcome: ``created``, ``updated``, ``escalated``, ``accepted`` or ``rejected``.
+    outcome: ``created``, ``updated``, ``escalated``, ``accepted`` or ``rejected``.  The passes read their input
+    twice, so the input and the middle result are written once (``materialize``).
     """
+    keep = materialize or (lambda df: df)
     rows = lifecycle_input(events, commands)
     rank = F.when(F.col("action") == "finding", 0).otherwise(1)
     # A total order: commands given at one instant apply in alphabetical order of their action.
-    rows = rows.withColumn("_o", F.struct("at", rank.alias("r"), "action", F.coalesce("run_id", F.lit("")).alias("id")))
+    rows = keep(rows).withColumn("_o", F.struct("at", rank.alias("r"), "action", F.coalesce("run_id", F.lit("")).alias("id")))
     slice_col = F.date_trunc(slice_unit, "at")
     is_finding, is_resolve = F.col("action") == "finding", F.col("action") == "resolve"
 
@@ -96,6 +100,7 @@ def alert_history(events: DataFrame, commands: DataFrame | None = None, slice_un
 
     two = skew.running(one, ALERT, ["_o"], slice_col, {"_created": ("sum", F.col("_creates").cast("long"))})
     two = two.withColumn("segment", F.col("_created") + F.col("_creates").cast("long"))
+    two = keep(two)
     at, until = F.unix_micros("at"), F.unix_micros("until")
     in_range = (until > at - fixed.SNOOZE_SKEW_SECONDS * 1_000_000) & (until <= at + fixed.SNOOZE_MAX_DAYS * 86_400_000_000)
     snoozes = F.col("_active") & (((F.col("action") == "snooze") & in_range) | (F.col("action") == "unsnooze"))

@@ -5,6 +5,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from perfcap.operators import packs as P, rules as R, stats as S
+from perfcap.session import cut_lineage
 from perfcap.sinks import reports
 from perfcap.sources import captures as C
 from perfcap.sources.packs import RuleBook
@@ -12,7 +13,7 @@ from perfcap.sources.packs import RuleBook
 
 @dataclass
 class Analysis:
-    """Tables of an analysis; nothing is computed until one of them is written or read."""
+    """Tables of an analysis."""
 
     captures: C.Captures
     stats: DataFrame
@@ -24,11 +25,11 @@ class Analysis:
 
 
 def analyze(captures: C.Captures, book: RuleBook, hosts: DataFrame, generated_at: Column, explicit: list = (),
-            auto: bool = True, materialize=None) -> Analysis:
+            auto: bool = True, materialize=cut_lineage) -> Analysis:
     """Analyse every capture against the selected packs.
 
-    ``materialize`` (a function DataFrame -> DataFrame such as ``session.cut_lineage`` or "write and read back") is
-    applied to the tables that several outputs share: samples, series, datasets, statistics and findings.
+    The tables that several outputs share (samples, series, datasets, statistics, findings) are written once to the
+    shared folder; ``materialize=None`` keeps the plan lazy and computes them for every output.
     """
     keep = materialize or (lambda df: df)
     c = replace(captures, samples=keep(captures.samples), series=keep(captures.series), datasets=keep(captures.datasets))
@@ -44,7 +45,7 @@ def analyze(captures: C.Captures, book: RuleBook, hosts: DataFrame, generated_at
 
 def analyze_path(spark: SparkSession, path: str, pack_path: str, generated_at: Column | None = None, explicit: list = (),
                  auto: bool = True, memory_mb: float | None = None, processors: int | None = None,
-                 machine_name: str | None = None, time_zone: str | None = None, glob: str = "*.csv", materialize=None) -> Analysis:
+                 machine_name: str | None = None, time_zone: str | None = None, glob: str = "*.csv", materialize=cut_lineage) -> Analysis:
     """Read captures, packs and host side files from folders and analyse them."""
     book = RuleBook.read(spark, pack_path)
     captures = C.read_captures(spark, path, glob, book.aliases, machine_name, time_zone)

@@ -6,6 +6,7 @@ from perfcap.functions.compare import aggregation, compare
 from perfcap.operators import rolling, rules as R, scoring, stats as S
 from perfcap.plans import event_rules, views
 from perfcap.plans.sqltext import STAT_AGGS, base32, cmp, query, rank
+from perfcap.session import cut_lineage
 from perfcap.sources import packs as P
 
 STAT_ROUND = ", ".join(f"round({c}, 5) AS {c}" for c in (
@@ -26,7 +27,10 @@ class Events:
         self.rules, self.conditions = self.book.rules, self.book.conditions
 
     def evaluate(self, selected=None):
-        return R.evaluate_rules(self.samples, self.series, self.stats, self.datasets, self.hosts, self.book, selected)
+        """Statistics and findings are shared by several outputs and written once."""
+        findings, warnings = R.evaluate_rules(
+            self.samples, self.series, cut_lineage(self.stats), self.datasets, self.hosts, self.book, selected)
+        return cut_lineage(findings), warnings
 
 
 def iso(column):

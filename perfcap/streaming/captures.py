@@ -73,7 +73,7 @@ def start_analysis(stream: DataFrame, book, out_path: str, checkpoint: str, trig
         catalog = cut_lineage(new_files(batch, known))
         lines = lines_of_batch(batch).join(F.broadcast(catalog.select("path")), "path", "left_semi")
         captures = C.captures_from(lines, catalog.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///")), book.aliases)
-        result = analyze(captures, book, (hosts_of or unknown)(captures.datasets), F.current_timestamp(), explicit, auto, cut_lineage)
+        result = analyze(captures, book, (hosts_of or unknown)(captures.datasets), F.current_timestamp(), explicit, auto)
         tables = {"datasets": result.captures.datasets, "series_stats": result.stats, "findings": result.findings,
                   "warnings": result.warnings, "catalog": catalog}
         for name, table in tables.items():
