@@ -24,13 +24,14 @@ def default_step_seconds(bounds: DataFrame) -> DataFrame:
 
 
 def rolling_windows(samples: DataFrame, specs: DataFrame, hot_rows: int | None = skew.HOT_ROWS,
-                    percentiles: bool = True) -> DataFrame:
+                    percentiles: bool = True, materialize=None) -> DataFrame:
     """Value of every rolling window with enough samples.
 
     ``specs``: ``spec_id, metric, instance, duration_s, step_s, min_samples, aggregation`` - a handful of
     rows, broadcast.  ``samples`` carry ``metric`` and ``instance``.  Each sample is sent to the windows
     that cover it (``duration / step`` of them), so the windows are one grouped aggregation.
-    ``percentiles=False`` says that no spec asks for one.
+    ``percentiles=False`` says that no spec asks for one; with percentiles the placed samples are read several times
+    and ``materialize`` writes them once.
     """
     s = samples.where(F.col("value").isNotNull())
     spec = F.broadcast(specs.select(
@@ -56,6 +57,8 @@ def rolling_windows(samples: DataFrame, specs: DataFrame, hot_rows: int | None =
     first = F.expr("CASE WHEN _off < _dur THEN 0L ELSE (_off - _dur) div _step + 1 END")
     # With a step longer than the window a sample may lie between two windows.
     placed = placed.withColumn("_k0", first).withColumn("_k1", last).where("_k0 <= _k1")
+    if percentiles and materialize is not None:
+        placed = materialize(placed)
     placed = placed.withColumn("k", F.explode(F.sequence("_k0", "_k1")))
 
     keys = [*SERIES, "spec_id", "aggregation", "min_samples", "duration_s", "_first", "_step", "k"]
@@ -65,7 +68,7 @@ def rolling_windows(samples: DataFrame, specs: DataFrame, hot_rows: int | None =
         # Only percentile specs feed the quantiles; for the others the array stays null.
         ranked = F.when(~F.col("aggregation").isin("avg", "min", "max"), F.col("value"))
         values = skew.grouped_quantiles(placed.withColumn("_ranked", ranked), keys, "_ranked", [0.9, 0.95, 0.99],
-                                        aggs, hot_rows)
+                                        aggs, hot_rows, materialize)
     else:
         values = placed.groupBy(*keys).agg(*aggs).withColumn("quantiles", F.lit(None).cast("array<double>"))
     value = F.expr("""CASE aggregation WHEN 'avg' THEN avg WHEN 'min' THEN min WHEN 'max' THEN max

@@ -114,26 +114,42 @@ def hot_quantiles(df: DataFrame, keys: list, value: str, probs: list) -> DataFra
         .alias("quantiles"))
 
 
-def split_hot(df: DataFrame, keys: list, value: str, hot_rows: int = HOT_ROWS):
-    """(rows of ordinary groups, rows of groups with more than ``hot_rows`` values)."""
-    hot = df.groupBy(*keys).agg(F.count(value).alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
-    hot = F.broadcast(hot)  # at most rows / hot_rows keys, see HOT_ROWS
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+def sorted_quantiles(df: DataFrame, keys: list, value: str, probs: list) -> DataFrame:
+    """Exact interpolated quantiles by rank: one shuffle on the keys, one spillable sort."""
+    rank = Window.partitionBy(*keys).orderBy(value)
+    ranked = df.where(F.col(value).isNotNull()).select(
+        *keys, value, (F.row_number().over(rank) - 1).alias("_r"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
+    position = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
+    low = [F.floor(at) for at in position]
+    high = [F.least(F.floor(at) + 1, F.col("_n") - 1) for at in position]
+    wanted = reduce(lambda x, y: x | y, [F.col("_r") == at for at in [*low, *high]])
+    at_rank = lambda at: F.max(F.when(F.col("_r") == at, F.col(value)))
+    picked = ranked.where(wanted).groupBy(*keys, "_n").agg(
+        *[at_rank(at).alias(f"_l{i}") for i, at in enumerate(low)], *[at_rank(at).alias(f"_h{i}") for i, at in enumerate(high)])
+    return picked.select(*keys, F.array(*[
+        F.col(f"_l{i}") + (at - F.floor(at)) * (F.col(f"_h{i}") - F.col(f"_l{i}")) for i, at in enumerate(position)]).alias("quantiles"))
 
 
 def grouped_quantiles(df: DataFrame, keys: list, value: str, probs: list, aggs: list,
-                      hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """``aggs`` plus ``quantiles`` (array in the order of ``probs``) per group.
+                      hot_rows: int | None = HOT_ROWS, materialize=None) -> DataFrame:
+    """``aggs`` plus ``quantiles`` (array in the order of ``probs``, null without values) per group.
 
-    Ordinary groups use the built-in exact percentile in the same aggregation.  ``hot_rows=None``
-    says that no group is hot and saves the counting pass.
+    The aggregates combine before the shuffle whatever the group size.  The quantiles of ordinary groups come from
+    a sort within the group, those of groups with more than ``hot_rows`` values from value counts.  The group sizes
+    are part of the aggregates; ``materialize`` (such as ``session.cut_lineage``) writes those once instead of
+    computing them again for each use.  ``hot_rows=None`` says that no group is hot.
     """
-    percentile = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("quantiles")
+    base = df.groupBy(*keys).agg(*aggs, F.count(value).alias("_values"))
+    if materialize is not None:
+        base = materialize(base)
+    values = df.where(F.col(value).isNotNull()).select(*keys, value)
     if hot_rows is None:
-        return df.groupBy(*keys).agg(*aggs, percentile)
-    ordinary, hot = split_hot(df, keys, value, hot_rows)
-    hot_rows_out = hot.groupBy(*keys).agg(*aggs).join(hot_quantiles(hot, keys, value, probs), keys, "left")
-    return ordinary.groupBy(*keys).agg(*aggs, percentile).unionByName(hot_rows_out)
+        quantiles = sorted_quantiles(values, keys, value, probs)
+    else:
+        hot = F.broadcast(base.where(F.col("_values") > hot_rows).select(*keys))  # at most rows / hot_rows keys
+        quantiles = sorted_quantiles(values.join(hot, keys, "left_anti"), keys, value, probs).unionByName(
+            hot_quantiles(values.join(hot, keys, "left_semi"), keys, value, probs))
+    return base.drop("_values").join(quantiles, keys, "left")
 
 
 def union_all(frames: list) -> DataFrame:

@@ -13,7 +13,8 @@ STATISTICS = ["count", "min", "max", "avg", "median", "p90", "p95", "p99", "stdd
 _ORIGIN_MICROS = 1_700_000_000_000_000
 
 
-def series_stats(samples: DataFrame, keys: list = SERIES, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
+def series_stats(samples: DataFrame, keys: list = SERIES, hot_rows: int | None = skew.HOT_ROWS,
+                 materialize=None) -> DataFrame:
     """Eleven statistics per series, plus first/last valid timestamp and valid count.
 
     One shuffle of partial aggregates for the moments; exact percentiles as described in
@@ -33,7 +34,7 @@ def series_stats(samples: DataFrame, keys: list = SERIES, hot_rows: int | None =
         F.max(F.when(valid, F.col("ts"))).alias("last_valid_ts"),
     ]
     rows = skew.grouped_quantiles(samples.select(*keys, "ts", "value"), keys, "value", fixed.PERCENTILES, aggs,
-                                  hot_rows)
+                                  hot_rows, materialize)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return rows.select(
         *keys, "count",

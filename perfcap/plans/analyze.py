@@ -33,9 +33,10 @@ def analyze(captures: C.Captures, book: RuleBook, hosts: DataFrame, generated_at
     """
     keep = materialize or (lambda df: df)
     c = replace(captures, samples=keep(captures.samples), series=keep(captures.series), datasets=keep(captures.datasets))
-    stats = keep(S.series_stats(c.samples))
+    stats = keep(S.series_stats(c.samples, materialize=materialize))
     selected, errors = P.select_packs(book.packs, list(explicit), auto, S.present_metrics(c.series))
-    findings, engine = R.evaluate_rules(c.samples, c.series, stats, c.datasets, hosts, book, selected)
+    findings, engine = R.evaluate_rules(
+        c.samples, c.series, stats, c.datasets, hosts, book, selected, materialize=materialize)
     findings = keep(findings)
     columns = ["dataset_id", "code", "message", "severity", "ord"]
     warnings = c.warnings.select(*columns).unionByName(engine.select(*columns))

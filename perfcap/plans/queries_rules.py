@@ -29,7 +29,8 @@ class Events:
     def evaluate(self, selected=None):
         """Statistics and findings are shared by several outputs and written once."""
         findings, warnings = R.evaluate_rules(
-            self.samples, self.series, cut_lineage(self.stats), self.datasets, self.hosts, self.book, selected)
+            self.samples, self.series, cut_lineage(self.stats), self.datasets, self.hosts, self.book, selected,
+            materialize=cut_lineage)
         return cut_lineage(findings), warnings
 
 
