@@ -10,7 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from perfcap.functions import names, parse
-from perfcap.operators import normalize, skew, stats
+from perfcap.operators import normalize, skew
+from perfcap.session import cut_lineage
 
 _ROW_BITS = 31
 
@@ -79,24 +80,30 @@ class Captures:
 
 
 def read_captures(spark: SparkSession, path: str, glob: str = "*.csv", pack_aliases: DataFrame | None = None,
-                  machine_name: str | None = None, time_zone: str | None = None) -> Captures:
+                  machine_name: str | None = None, time_zone: str | None = None, materialize=cut_lineage) -> Captures:
     """Read every capture under ``path``."""
     return captures_from(read_lines(spark, path, glob), capture_catalog(spark, path, glob), pack_aliases,
-                         machine_name, time_zone)
+                         machine_name, time_zone, materialize)
 
 
 def captures_from(lines: DataFrame, catalog: DataFrame, pack_aliases: DataFrame | None = None,
-                  machine_name: str | None = None, time_zone: str | None = None) -> Captures:
-    ids = catalog.select(
-        F.col("path"), F.col("sha256").alias("input_digest"), "source_type",
-        names.dataset_id(F.col("sha256")).alias("dataset_id"))
+                  machine_name: str | None = None, time_zone: str | None = None, materialize=cut_lineage) -> Captures:
+    """Tables of captures given as lines and a catalog with digests.
+
+    The text is read three times: for the head lines, for the times of all lines, for the samples.  The first two
+    (one row per file; one narrow row per line) and the catalog are written once (``materialize``), because
+    datasets, series, warnings and samples all use them.
+    """
+    keep = materialize or (lambda df: df)
     # The binary and the text source spell local paths differently ("file:/x", "file:///x").
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    ids = ids.withColumn("path", plain("path"))
+    ids = keep(catalog.select(
+        plain("path").alias("path"), F.col("sha256").alias("input_digest"), "source_type",
+        names.dataset_id(F.col("sha256")).alias("dataset_id")))
     lines = lines.withColumn("path", plain("path"))
     # One row per file, named by its content; equal files are one dataset.
-    headers = headers_of(lines).join(ids, "path").withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("dataset_id").orderBy("path"))).where("_rn = 1").drop("_rn")
+    headers = keep(headers_of(lines).join(ids, "path").withColumn(
+        "_rn", F.row_number().over(Window.partitionBy("dataset_id").orderBy("path"))).where("_rn = 1").drop("_rn"))
 
     columns = headers.select(
         "dataset_id", F.posexplode("cells").alias("series_ord", "counter_path")).where("series_ord > 0")
@@ -109,16 +116,19 @@ def captures_from(lines: DataFrame, catalog: DataFrame, pack_aliases: DataFrame
     named = series.groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct(
         "series_ord", "series_id", "metric", "instance"))).alias("_columns"))  # as wide as one header line
     heads = headers.select("path", "dataset_id", "header_ord")
-    rows = _stamped(lines, heads)
-    good = rows.where(F.col("ts").isNotNull())
-    wide = _stamped(lines, heads.join(named, "dataset_id")).where(F.col("ts").isNotNull())
+    stamp = parse.first_cell(F.col("line"))
+    wide = lines.join(heads.join(named, "dataset_id"), "path").where(F.col("ord") != F.col("header_ord"))
+    wide = wide.withColumn("ts", parse.parse_ts(stamp)).where(F.col("ts").isNotNull())
     samples = wide.select(
         "dataset_id", "ts", "ord", parse.split_cells(F.col("line")).alias("_cells"), F.explode("_columns").alias("c")).select(
         "dataset_id", "c.series_id", "c.series_ord", "c.metric", "c.instance", "ts",
         parse.parse_value(F.get("_cells", F.col("c.series_ord"))).alias("value"), "ord")
 
-    stamps = good.select("dataset_id", "ts", "ord")
-    quality = line_quality(stamps)
+    marks = lines.join(heads, "path").withColumn("_stamp", stamp).withColumn("ts", parse.parse_ts(F.col("_stamp")))
+    marks = keep(marks.select(
+        "path", "block", "ord", "dataset_id", (F.col("ord") == F.col("header_ord")).alias("_head"), "ts",
+        F.when(F.col("ts").isNull(), F.col("_stamp")).alias("_stamp")))
+    quality = line_quality(marks.where(~F.col("_head") & F.col("ts").isNotNull()).select("dataset_id", "ts", "ord"))
     sizes = series.groupBy("dataset_id").agg(F.count("*").alias("series_count"))
     datasets = headers.select(
         "dataset_id", "path", "input_digest", "source_type",
@@ -127,16 +137,10 @@ def captures_from(lines: DataFrame, catalog: DataFrame, pack_aliases: DataFrame
         sizes, "dataset_id", "left").select(
         "*", (F.coalesce("series_count", F.lit(0)) * F.col("row_count")).alias("sample_count"))
 
-    rejected = ids.join(datasets.select("dataset_id"), "dataset_id", "left_anti").select(
+    valid = marks.where(~F.col("_head") & F.col("ts").isNotNull()).select("dataset_id").distinct()
+    rejected = ids.join(valid, "dataset_id", "left_anti").select(
         "path", "dataset_id", F.lit("no parseable data rows").alias("reason"))
-    return Captures(datasets, series, samples, bad_line_warnings(lines, rows), rejected)
-
-
-def _stamped(lines: DataFrame, heads: DataFrame) -> DataFrame:
-    """Data lines with what their file's head says, and their time (null if unreadable)."""
-    rows = lines.join(heads, "path").where(F.col("ord") != F.col("header_ord"))
-    rows = rows.withColumn("_stamp", parse.first_cell(F.col("line"))).where(F.trim("_stamp") != "")
-    return rows.withColumn("ts", parse.parse_ts(F.col("_stamp")))
+    return Captures(datasets, series, samples, bad_line_warnings(marks), rejected)
 
 
 def line_quality(stamps: DataFrame) -> DataFrame:
@@ -161,13 +165,14 @@ def line_quality(stamps: DataFrame) -> DataFrame:
         F.coalesce("_nominal", F.lit(0.0)).alias("sample_interval_seconds"), "gap_count")
 
 
-def bad_line_warnings(lines: DataFrame, rows: DataFrame) -> DataFrame:
+def bad_line_warnings(marks: DataFrame) -> DataFrame:
     """A warning per line whose time cannot be read, with its number among the non-blank lines."""
     row = F.col("ord").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    blocks = lines.groupBy("path", "block").agg(F.min(row).alias("_row0"), F.count("*").alias("_n"))
+    blocks = marks.groupBy("path", "block").agg(F.min(row).alias("_row0"), F.count("*").alias("_n"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    bad = rows.where(F.col("ts").isNull()).join(blocks, ["path", "block"])
+    unread = marks.where(~F.col("_head") & F.col("ts").isNull() & (F.trim("_stamp") != ""))
+    bad = unread.join(blocks, ["path", "block"])
     number = row - F.col("_row0") + F.col("_before") + 1
     return bad.select(
         "dataset_id", F.lit("collector.warning").alias("code"),

@@ -71,6 +71,8 @@ def start_analysis(stream: DataFrame, book, out_path: str, checkpoint: str, trig
         if known is not None:
             known = known.where(F.col("batch_id") != batch_id)
         catalog = cut_lineage(new_files(batch, known))
+        if catalog.isEmpty():
+            return
         lines = lines_of_batch(batch).join(F.broadcast(catalog.select("path")), "path", "left_semi")
         captures = C.captures_from(lines, catalog.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///")), book.aliases)
         result = analyze(captures, book, (hosts_of or unknown)(captures.datasets), F.current_timestamp(), explicit, auto)
