@@ -237,7 +237,8 @@ def violations(spark, sf_dir):
     book = S.RuleBook.of(spark, [*event_rules.ALL_PACKS, event_rules.BROKEN_PACK])
     found = P.validate_packs(book.packs, book.rules, book.conditions, book.recommendations)
     total = views.table(spark, sf_dir, "events").agg(F.count("*").alias("samples"))
-    return found.groupBy("pack_id", "subject", "level", "message").agg(F.count("*").alias("n")).join(F.broadcast(total))
+    counted = found.groupBy("pack_id", "subject", "level", "message").agg(F.count("*").alias("n"))
+    return counted.withColumn("samples", total.scalar())
 
 
 def number_text(spark, sf_dir):

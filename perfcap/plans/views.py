@@ -10,6 +10,9 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; times without zone are UTC."""
+    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC"):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     for field in df.schema.fields:
         if field.dataType.typeName() == "timestamp_ntz":
