@@ -70,8 +70,9 @@ def running(df: DataFrame, keys: list, order: list, slice_col: Column, specs: di
 
 
 def _bucket(value: Column) -> Column:
-    """Monotone, logarithmic bucket of a double: relative width about 1/4096."""
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value) * 1e6) * 4096)).cast("long")
+    """Monotone, logarithmic bucket of a double: relative width about 1/4096; NaN below everything."""
+    size = F.least(F.log1p(F.abs(value) * 1e6) * 4096, F.lit(1e15))
+    return F.when(F.isnan(value), F.lit(-(1 << 62))).otherwise((F.signum(value) * F.floor(size)).cast("long"))
 
 
 def hot_quantiles(df: DataFrame, keys: list, value: str, probs: list) -> DataFrame:
@@ -116,7 +117,7 @@ def hot_quantiles(df: DataFrame, keys: list, value: str, probs: list) -> DataFra
 
 def sorted_quantiles(df: DataFrame, keys: list, value: str, probs: list) -> DataFrame:
     """Exact interpolated quantiles by rank: one shuffle on the keys, one spillable sort."""
-    rank = Window.partitionBy(*keys).orderBy(value)
+    rank = Window.partitionBy(*keys).orderBy(F.isnan(value).desc(), value)  # NaN sorts first
     ranked = df.where(F.col(value).isNotNull()).select(
         *keys, value, (F.row_number().over(rank) - 1).alias("_r"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
     position = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]

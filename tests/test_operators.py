@@ -41,6 +41,12 @@ def test_statistics(spark, hot):
     assert r.trend_per_hour == pytest.approx(slope, rel=1e-9)
 
 
+@pytest.mark.parametrize("hot", [None, 1])
+def test_nan_is_the_smallest_value(spark, hot):
+    r = S.series_stats(series(spark, [3.0, float("nan"), 1.0, 2.0, 5.0]), hot_rows=hot).first()
+    assert r.min != r.min and r.avg != r.avg and (r.max, r.median) == (5, 2)
+
+
 def test_hot_quantiles_match_sorting(spark):
     random.seed(3)
     values = [random.choice([0.0, -1.5, 3.25, random.gauss(0, 50), random.random() * 1e-7, -random.random() * 1e9]) for _ in range(3000)]
