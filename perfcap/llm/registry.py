@@ -3,10 +3,26 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfcap.llm import bpe, tokencount
+from perfcap.llm import bpe, chat, tokencount, urls
 from perfcap.llm.common import table, tokenizer_path
+from perfcap.llm.sql import SQL  # noqa: F401
 
 TOKEN_LIMIT = 2048
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, rebuilt, rendered and read back."""
+    extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.read_back(chat.render(chat.fold(chat.as_events(rows)))))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the listed rules, else by its path template."""
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"), (F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.coalesce(F.col("quality") == 0, F.lit(False))).alias("bad"))
+    return urls.judge(table(spark, sf_dir, "pages"), labels)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +36,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-QUERIES = {"op8_bpe": op8_bpe, "op10_token_counts": op10_token_counts}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op2_chat_formatting": op2_chat_formatting, "op7_url_filters": op7_url_filters,
+    "op8_bpe": op8_bpe, "op10_token_counts": op10_token_counts,
+}
