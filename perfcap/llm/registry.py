@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfcap.llm import bpe, chat, tokencount, urls
+from perfcap.llm import bpe, chat, lines, tokencount, urls
 from perfcap.llm.common import table, tokenizer_path
 from perfcap.llm.sql import SQL  # noqa: F401
 
@@ -30,6 +30,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated runs of lines deleted from every document; digest of what is left."""
+    cut = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the vocabulary with word ends."""
     counted = tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -38,5 +44,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting, "op7_url_filters": op7_url_filters,
-    "op8_bpe": op8_bpe, "op10_token_counts": op10_token_counts,
+    "op8_bpe": op8_bpe, "op9_line_dedup": op9_line_dedup, "op10_token_counts": op10_token_counts,
 }

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this package that SQL can express."""
 
-from perfcap.llm import chat, urls
+from perfcap.llm import chat, lines, urls
 
 _ESC = "replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;')"
 _ROLE = f"replace({_ESC.format(c='role')}, chr(10), '&NewLine;')"
@@ -68,4 +68,16 @@ select p.page_id, p.host, p.path, case {rule} end as rule,
 from shaped p join pure using (host, shape)"""
 
 
-SQL = {"op2_chat_formatting": OP2, "op7_url_filters": _op7()}
+OP9 = f"""
+with docs as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
+sizes as (select (2 ^ unnest(range(0, 24)))::bigint as h),
+starts as (select doc_id, ls, h, unnest(range(1, len(ls) - h + 2)) as i from docs, sizes where h <= len(ls)),
+windows as (select doc_id, h, i, array_to_string(ls[i:i + h - 1], chr(10)) as body from starts),
+later as (select * from windows qualify row_number() over (partition by h, body order by doc_id, i) > 1),
+gone as (select distinct doc_id, unnest(range(i, i + h)) as i from later where length(body) >= {lines.MIN_CHARS}),
+counted as (select doc_id, count(*) as n, list(i) as numbers from gone group by doc_id)
+select d.doc_id, coalesce(len(ls), 0)::bigint as n_lines, coalesce(c.n, 0)::bigint as n_deleted,
+  sha256(array_to_string(list_filter(ls, lambda x, i: c.numbers is null or not list_contains(c.numbers, i)), chr(10))) as text_sha256
+from docs d left join counted c using (doc_id)"""
+
+SQL = {"op9_line_dedup": OP9, "op2_chat_formatting": OP2, "op7_url_filters": _op7()}
