@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfcap.llm import bpe, chat, lines, tokencount, urls
+from perfcap.llm import bpe, chat, lines, tokencount, toxicity, urls
 from perfcap.llm.common import table, tokenizer_path
 from perfcap.llm.sql import SQL  # noqa: F401
 
@@ -18,6 +18,13 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.render(chat.fold(chat.as_events(rows)))))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by a network fitted on labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the listed rules, else by its path template."""
     labels = table(spark, sf_dir, "labels").select(
@@ -43,6 +50,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_chat_formatting": op2_chat_formatting, "op7_url_filters": op7_url_filters,
+    "op2_chat_formatting": op2_chat_formatting, "op4_toxicity": op4_toxicity, "op7_url_filters": op7_url_filters,
     "op8_bpe": op8_bpe, "op9_line_dedup": op9_line_dedup, "op10_token_counts": op10_token_counts,
 }
