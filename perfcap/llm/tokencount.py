@@ -1,8 +1,9 @@
 """Operator 10: token counts from distinct pre-tokens.
 
 1. Each task splits its texts into pre-tokens and, per block of documents, turns them into postings: for a pre-token,
-   the documents of the block that hold it and how often. A very common pre-token is one row per block.
-2. Postings meet by pre-token. There each distinct pre-token is given to the tokenizer once, and only the number of its
+   the documents of the block that hold it and how often. Postings are packed per block and bucket of pre-tokens, so
+   that a very common pre-token is a few bytes of each block and no row of its own.
+2. Postings meet by bucket. There each distinct pre-token is given to the tokenizer once, and only the number of its
    pieces is kept; pieces times frequency is summed per document of each block. No ids of a text are ever made.
 3. The partial sums of a block meet, and its documents come out. A block holds at most `BLOCK_DOCS` documents.
 
@@ -10,18 +11,17 @@ Null text counts as empty: 0 bytes, 0 tokens. Rows are counted one by one, so re
 null ids stay null. Extra columns are not read. An empty table gives no rows.
 """
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from perfcap.llm.pretokens import word_level
 
-#: A block ends at so many documents or characters. Postings whose sums are held before they are handed on.
+#: A block ends at so many documents or characters. Distinct pre-tokens and sums that a task holds at most.
 BLOCK_DOCS = 4_000
 BLOCK_CHARS = 12_000_000
-HELD = 2_000_000
-
-_PARTIAL = "block string, doc array<int>, n array<bigint>"
+HELD = 4_000_000
 
 
 class _Numbers(dict):
@@ -32,134 +32,118 @@ class _Numbers(dict):
         return n
 
 
-def _lists(values, ends, kind):
-    import pyarrow as pa
-
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, kind))
-
-
-def _block_rows(name: str, texts: list, ids, id_col: str, splitter):
-    """Arrow rows of one block: a head with the ids and byte lengths, then one row per distinct pre-token."""
-    import pyarrow as pa
-
-    numbers, codes, sizes, n_bytes = _Numbers(), [], [], []
+def _pack(texts: list, splitter, buckets: int):
+    """(bucket, words, sizes, doc, n) of one block: a bucket's pre-tokens, how many documents each has, which, how often."""
+    numbers, codes = _Numbers(), []
     for text in texts:
         words = splitter(text or "")
         codes.append(np.fromiter(map(numbers.__getitem__, words), "int64", len(words)))
-        sizes.append(len(words))
-        n_bytes.append(len((text or "").encode()))
-    key = np.concatenate(codes) * len(texts) + np.repeat(np.arange(len(texts)), sizes)
+    key = np.concatenate(codes) * len(texts) + np.repeat(np.arange(len(texts)), [len(c) for c in codes])
     key, n = np.unique(key, return_counts=True)
-    token, doc = key // len(texts), key % len(texts)
-    ends = np.searchsorted(token, np.arange(len(numbers)), "right")
-    count, none = len(numbers), pa.nulls
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([name]), none(1, pa.string()), none(1, pa.list_(pa.int32())), none(1, pa.list_(pa.int64())),
-         pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), ids), pa.array([n_bytes], pa.list_(pa.int64()))],
-        ["block", "token", "doc", "n", id_col, "n_bytes"])
-    if count:
-        words = [w.encode("utf-8", "replace").decode() for w in numbers]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([name] * count), pa.array(words, pa.string()), _lists(doc, ends, pa.int32()), _lists(n, ends, pa.int64()),
-             none(count, pa.list_(ids.type)), none(count, pa.list_(pa.int64()))],
-            ["block", "token", "doc", "n", id_col, "n_bytes"])
-
-
-def postings(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    """Postings of every block, and a head row (token null) with the block's ids and byte lengths."""
+    token, doc = key // len(texts), (key % len(texts)).astype("<u2")
+    raw = [w.encode("utf-8", "replace") for w in numbers]
+    bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), "int64", len(raw))
+    order = np.argsort(bucket, kind="stable")
+    first, last = (np.searchsorted(token, np.arange(len(raw)), side) for side in ("left", "right"))
+    n = n.astype("<u4")
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(raw) else []:
+        size = last[part] - first[part]
+        at = np.arange(size.sum()) + np.repeat(first[part] - (np.cumsum(size) - size), size)
+        yield int(bucket[part[0]]), b"\n".join([raw[i] for i in part]), size.astype("<u4").tobytes(), doc[at].tobytes(), n[at].tobytes()
+
+
+def postings(docs: DataFrame, path: str, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """Packed postings of every block, and a head row (words null) with the block's ids and byte lengths."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        splitter, k, texts, ids, chars = word_level(path), 0, [], [], 0
-        part = TaskContext.get().partitionId()
+        splitter, block, texts, ids, chars = word_level(path), TaskContext.get().partitionId() << 32, [], [], 0
+        names = ["block", "bucket", "words", "sizes", "doc", "n", id_col, "n_bytes"]
 
         def close():
-            return _block_rows(f"{part}-{k}", texts, pa.concat_arrays(ids), id_col, splitter)
+            known = pa.concat_arrays(ids)
+            n_bytes = [len((t or "").encode()) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block]), pa.array([block % buckets], pa.int32()), *[pa.nulls(1, pa.binary())] * 4,
+                 pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), known), pa.array([n_bytes], pa.list_(pa.int64()))], names)
+            if rows := list(_pack(texts, splitter, buckets)):
+                bucket, *packed = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * len(rows)), pa.array(bucket, pa.int32()), *[pa.array(p, pa.binary()) for p in packed],
+                     pa.nulls(len(rows), pa.list_(known.type)), pa.nulls(len(rows), pa.list_(pa.int64()))], names)
 
         for batch in batches:
             start = 0
             for i, value in enumerate(batch.column(1)):
                 texts.append(value.as_py())
                 chars += len(texts[-1] or "")
-                if len(texts) >= BLOCK_DOCS or chars >= BLOCK_CHARS or i == batch.num_rows - 1:
+                full = len(texts) >= BLOCK_DOCS or chars >= BLOCK_CHARS
+                if full or i == batch.num_rows - 1:
                     ids.append(batch.column(0).slice(start, i + 1 - start))
                     start = i + 1
-                if len(texts) >= BLOCK_DOCS or chars >= BLOCK_CHARS:
+                if full:
                     yield from close()
-                    k, texts, ids, chars = k + 1, [], [], 0
+                    block, texts, ids, chars = block + 1, [], [], 0
         if texts:
             yield from close()
 
-    schema = f"block string, token string, doc array<int>, n array<bigint>, `{id_col}` array<{kind}>, n_bytes array<bigint>"
+    schema = f"block bigint, bucket int, words binary, sizes binary, doc binary, n binary, `{id_col}` array<{kind}>, n_bytes array<bigint>"
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_tokens) of each whole text under the tokenizer file `path`."""
     kind = docs.schema[id_col].dataType.simpleString()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pieces(batches):
         import pyarrow as pa
         from tokenizers import Tokenizer
 
-        library, known, sums, held = Tokenizer.from_file(path), {}, {}, 0
-
-        def flat(column):
-            values = column.values.to_numpy(zero_copy_only=False)
-            return values, column.offsets.to_numpy()
+        library, known, sums = Tokenizer.from_file(path), {}, {}
+        names = ["block", "sums", id_col, "n_bytes"]
 
         def close():
-            for block, parts in sums.items():
-                total = np.bincount(np.concatenate([d for d, _ in parts]), np.concatenate([s for _, s in parts]))
-                doc = np.flatnonzero(total)
+            for block, total in sums.items():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.array([doc], pa.list_(pa.int32())), pa.array([total[doc].astype("int64")], pa.list_(pa.int64())),
-                     pa.nulls(1, pa.list_(id_type)), pa.nulls(1, pa.list_(pa.int64()))],
-                    ["block", "doc", "n", id_col, "n_bytes"])
+                    [pa.array([block]), pa.array([total.astype("<i8").tobytes()], pa.binary()),
+                     pa.nulls(1, pa.list_(id_type)), pa.nulls(1, pa.list_(pa.int64()))], names)
 
         for batch in batches:
-            id_type = batch.column(4).type.value_type
-            tokens, blocks = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            new = list({t for t in tokens if t is not None and t not in known})
-            known.update(zip(new, map(len, library.encode_batch(new, add_special_tokens=False))))
-            heads = batch.filter(batch.column(1).is_null())
-            if heads.num_rows:
-                yield heads.select(["block", "doc", "n", id_col, "n_bytes"])
-            (doc, at), (n, _) = flat(batch.column(2)), flat(batch.column(3))
-            size = np.diff(at)
-            each = np.repeat([known.get(t, 0) for t in tokens], size) * n[at[0]:at[-1]]
-            number = _Numbers()
-            owner = np.repeat([number[b] for b in blocks], size)
-            order = np.argsort(owner, kind="stable")
-            doc, each = doc[at[0]:at[-1]][order], each[order]
-            ends = np.searchsorted(owner[order], np.arange(len(number) + 1))
-            for block, k in number.items():
-                if ends[k] < ends[k + 1]:
-                    sums.setdefault(block, []).append((doc[ends[k]:ends[k + 1]], each[ends[k]:ends[k + 1]]))
-            held += len(each)
-            if held > HELD:
-                yield from close()
-                sums, held = {}, 0
-            if len(known) > HELD:
-                known = {}
-        if sums:
-            yield from close()
+            id_type = batch.column(6).type.value_type
+            for row in range(batch.num_rows):
+                block, _, words, sizes, doc, n = (batch.column(c)[row].as_py() for c in range(6))
+                if words is None:
+                    head = batch.slice(row, 1)
+                    yield pa.RecordBatch.from_arrays([head.column(0), pa.nulls(1, pa.binary()), head.column(6), head.column(7)], names)
+                    continue
+                words = words.decode().split("\n")
+                new = [w for w in words if w not in known]
+                known.update(zip(new, map(len, library.encode_batch(new, add_special_tokens=False))))
+                each = np.fromiter(map(known.__getitem__, words), "int64", len(words))
+                of_doc = np.bincount(np.frombuffer(doc, "<u2"), np.repeat(each, np.frombuffer(sizes, "<u4")) * np.frombuffer(n, "<u4"), BLOCK_DOCS)
+                sums[block] = sums.get(block, 0) + of_doc
+                if len(sums) * BLOCK_DOCS > HELD:
+                    yield from close()
+                    sums = {}
+                if len(known) > HELD:
+                    known = {}
+        yield from close()
 
     def total(table):
         import pyarrow as pa
 
         head = table.filter(table.column(id_col).is_valid()).combine_chunks()
         ids, n_bytes = head.column(id_col).chunk(0).flatten(), head.column("n_bytes").chunk(0).flatten()
-        sums = np.zeros(len(ids), "int64")
-        for doc, n in zip(table.column("doc"), table.column("n")):
-            if doc.is_valid:
-                sums[doc.values.to_numpy()] += n.values.to_numpy()
-        return pa.table([ids, n_bytes, pa.array(sums)], [id_col, "n_bytes", "n_tokens"])
-
-    rows = postings(docs, path, id_col, text_col)
-    partial = (rows.repartition(F.coalesce("token", "block"))
-               .mapInArrow(pieces, f"{_PARTIAL}, `{id_col}` array<{kind}>, n_bytes array<bigint>"))
+        counts = np.zeros(BLOCK_DOCS, "int64")
+        for sums in table.column("sums"):
+            if sums.is_valid:
+                counts += np.frombuffer(sums.as_buffer(), "<i8")
+        return pa.table([ids, n_bytes, pa.array(counts[:len(ids)])], [id_col, "n_bytes", "n_tokens"])
+
+    partial = (postings(docs, path, id_col, text_col, 8 * parts).repartition(parts, "bucket")
+               .mapInArrow(pieces, f"block bigint, sums binary, `{id_col}` array<{kind}>, n_bytes array<bigint>"))
     return partial.groupBy("block").applyInArrow(total, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint")
