@@ -4,6 +4,8 @@ Texts of Latin letters, digits, punctuation and plain white space are split by a
 split by the tokenizer file's own normaliser and pre-tokeniser, so the answer never depends on a Unicode version.
 """
 
+import json
+import os
 import re
 
 LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -20,19 +22,32 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def load(path: str):
+    """The library's tokenizer, on one thread: Spark's tasks are the parallel part."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Splitter:
     """Splits texts into the pre-tokens of one tokenizer file; special strings come out as pre-tokens of their own."""
 
     def __init__(self, path: str, pattern: str, lower: bool):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.lower = lower
+        self.path, self.lower, self.loaded = path, lower, None
         self.find = re.compile(pattern).findall
         self.bytes_of = byte_alphabet()
-        self.specials = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        with open(path, encoding="utf-8") as f:
+            self.specials = {t["content"] for t in json.load(f)["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials))) + ")")
 
+    @property
+    def library(self):
+        """The tokenizer file's own splitter, loaded only where a text needs it."""
+        if self.loaded is None:
+            self.loaded = load(self.path)
+        return self.loaded
+
     def segment(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text):
             return self.find(text.lower() if self.lower else text)

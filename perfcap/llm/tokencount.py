@@ -16,12 +16,12 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from perfcap.llm.pretokens import word_level
+from perfcap.llm.pretokens import load, word_level
 
 #: A block ends at so many documents or characters. Distinct pre-tokens and sums that a task holds at most.
 BLOCK_DOCS = 4_000
-BLOCK_CHARS = 12_000_000
-HELD = 4_000_000
+BLOCK_CHARS = 5_000_000
+HELD = 1_000_000
 
 
 class _Numbers(dict):
@@ -39,6 +39,7 @@ def _pack(texts: list, splitter, buckets: int):
         words = splitter(text or "")
         codes.append(np.fromiter(map(numbers.__getitem__, words), "int64", len(words)))
     key = np.concatenate(codes) * len(texts) + np.repeat(np.arange(len(texts)), [len(c) for c in codes])
+    del codes
     key, n = np.unique(key, return_counts=True)
     token, doc = key // len(texts), (key % len(texts)).astype("<u2")
     raw = [w.encode("utf-8", "replace") for w in numbers]
@@ -101,9 +102,8 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def pieces(batches):
         import pyarrow as pa
-        from tokenizers import Tokenizer
 
-        library, known, sums = Tokenizer.from_file(path), {}, {}
+        library, known, sums = load(path), {}, {}
         names = ["block", "sums", id_col, "n_bytes"]
 
         def close():
