@@ -80,4 +80,18 @@ select d.doc_id, coalesce(len(ls), 0)::bigint as n_lines, coalesce(c.n, 0)::bigi
   sha256(array_to_string(list_filter(ls, lambda x, i: c.numbers is null or not list_contains(c.numbers, i)), chr(10))) as text_sha256
 from docs d left join counted c using (doc_id)"""
 
-SQL = {"op9_line_dedup": OP9, "op2_chat_formatting": OP2, "op7_url_filters": _op7()}
+OP6 = r"""
+with recursive docs as (
+  select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [w]
+    else list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3]) end) as s from docs),
+sizes as (select d.doc_id, count(s)::bigint as n from docs d left join shingles using (doc_id) group by d.doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+twice as (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id as other from sizes union select r.doc_id, t.b from reach r join twice t on t.a = r.other)
+select s.doc_id, n as n_shingles, min(other) as component_id from sizes s join reach using (doc_id) group by all"""
+
+SQL = {"op6_ngram_jaccard": OP6, "op9_line_dedup": OP9, "op2_chat_formatting": OP2, "op7_url_filters": _op7()}
