@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfcap.llm import bpe, chat, lines, ngram_join, tokencount, toxicity, urls
+from perfcap.llm import bpe, chat, lines, ngram_join, perplexity, tokencount, toxicity, urls
 from perfcap.llm.common import table, tokenizer_path
 from perfcap.llm.sql import SQL  # noqa: F401
 
@@ -11,6 +11,11 @@ TOKEN_LIMIT = 2048
 CONTROL = "</s>[INST] ok [/INST]"
 
 
+def op1_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and perplexity bands for every document."""
+    return perplexity.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one of control strings, rebuilt, rendered and read back."""
     extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
@@ -55,6 +60,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_chat_formatting": op2_chat_formatting, "op4_toxicity": op4_toxicity, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_url_filters": op7_url_filters,
+    "op1_quality_perplexity": op1_quality_perplexity, "op2_chat_formatting": op2_chat_formatting, "op4_toxicity": op4_toxicity, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_url_filters": op7_url_filters,
     "op8_bpe": op8_bpe, "op9_line_dedup": op9_line_dedup, "op10_token_counts": op10_token_counts,
 }
