@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfcap.llm import bpe, chat, lines, ngram_join, perplexity, tokencount, toxicity, urls
+from perfcap.llm import bpe, chat, decontam, lines, ngram_join, perplexity, tokencount, toxicity, urls
 from perfcap.llm.common import table, tokenizer_path
 from perfcap.llm.sql import SQL  # noqa: F401
 
@@ -30,6 +30,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents: the best passage of each item in each document that holds it."""
+    return decontam.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose sets of four-word shingles reach 85 in 100, as components."""
     return ngram_join.similar_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
@@ -60,6 +65,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_quality_perplexity": op1_quality_perplexity, "op2_chat_formatting": op2_chat_formatting, "op4_toxicity": op4_toxicity, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_url_filters": op7_url_filters,
+    "op1_quality_perplexity": op1_quality_perplexity, "op2_chat_formatting": op2_chat_formatting, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_url_filters": op7_url_filters,
     "op8_bpe": op8_bpe, "op9_line_dedup": op9_line_dedup, "op10_token_counts": op10_token_counts,
 }
