@@ -86,10 +86,14 @@ def shingle_counts(docs: DataFrame, n: int):
     width = COUNTERS // slices
 
     def count(batches):
-        shingler, total = Shingler(n), np.zeros(COUNTERS, "int64")
+        shingler, total, held = Shingler(n), np.zeros(COUNTERS, "int64"), []
         for batch in batches:
             for value in batch.column(0):
-                total += np.bincount(_counter(shingler(value.as_py())), minlength=COUNTERS) if value.is_valid else 0
+                held.append(_counter(shingler(value.as_py())).astype("int32"))
+                if len(held) > 2_000:
+                    total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    held = []
+        total += np.bincount(np.concatenate([*held, np.zeros(0, "int32")]), minlength=COUNTERS)
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(slices), pa.int32()), pa.array([total[i * width:(i + 1) * width].tobytes() for i in range(slices)])], ["slice", "counts"])
 
@@ -221,14 +225,18 @@ def divide_skip(lists: list, own: int, num: int, den: int) -> list[int]:
     """Nodes that share enough of the lists with a class of `own` shingles.
 
     lists: pairs (nodes in order, their sizes). A pair with c shared prefix shingles overlaps in at most c + r, where r is
-    the larger number of shingles beyond a prefix; it is kept if that reaches `needed`.
+    the larger number of shingles beyond a prefix; it is kept if that, and the smaller set, reaches `needed`.
     """
     def least(size: int) -> int:
+        if needed(own, size, num, den) > min(own, size):
+            return 1 << 60
         beyond = max(own - prefix_size(own, num, den), size - prefix_size(size, num, den))
         return max(1, needed(own, size, num, den) - beyond)
 
     lists = sorted(lists, key=lambda x: len(x[0]))
-    floor = min(least(s) for _, sizes in lists for s in {min(sizes), max(sizes), *[own] * (min(sizes) <= own <= max(sizes))})
+    floor = min(least(s) for s in {s for _, sizes in lists for s in sizes})
+    if floor > len(lists):
+        return []
     long = min(int(floor / (MU * log2(max(2, len(lists[-1][0]))) + 1)), floor - 1, len(lists) - 1)
     short, rest = lists[:len(lists) - long], [x[0] for x in lists[len(lists) - long:]]
     found, at, count, size = [], None, 0, 0
