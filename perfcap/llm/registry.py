@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfcap.llm import bpe, chat, decontam, lines, ngram_join, perplexity, tokencount, toxicity, urls
+from perfcap.llm import bpe, chat, decontam, lines, ngram_join, passages, perplexity, tokencount, toxicity, urls
 from perfcap.llm.common import table, tokenizer_path
 from perfcap.llm.sql import SQL  # noqa: F401
 
@@ -23,6 +23,14 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.render(chat.fold(chat.as_events(rows)))))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages that other places repeat, per document that keeps the first copy."""
+    found = passages.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.groupBy("doc_id", "kept_doc_id").agg(
+        F.count("*").alias("n_paragraphs"), F.count_if("removed").alias("n_removed"),
+        F.sum(F.when(F.col("removed"), F.col("end_word") - F.col("first_word")).otherwise(0)).cast("long").alias("words_removed"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, by a network fitted on labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -65,6 +73,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_quality_perplexity": op1_quality_perplexity, "op2_chat_formatting": op2_chat_formatting, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_url_filters": op7_url_filters,
+    "op1_quality_perplexity": op1_quality_perplexity, "op2_chat_formatting": op2_chat_formatting, "op3_substring_dedup": op3_substring_dedup, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_url_filters": op7_url_filters,
     "op8_bpe": op8_bpe, "op9_line_dedup": op9_line_dedup, "op10_token_counts": op10_token_counts,
 }
