@@ -1,9 +1,40 @@
 """The document pipeline: each stage works on all that the one before it kept."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from perfcap.llm import bpe
-from perfcap.llm.common import table, tokenizer_path
+from perfcap.llm import bpe, decontam, lines, ngram_join, toxicity
+from perfcap.llm.common import WORD, table, tokenizer_path
+from perfcap.llm.tables import Scratch
+
+TOXIC = 0.5
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below TOXIC; the classifier is fitted on the labelled ones that are not held out."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    plain = [c for c in docs.columns if c != "score"]
+    return toxicity.score(docs, model, plain).where(F.col("score") < TOXIC).select(plain)
+
+
+def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated lines deleted; documents that held nothing else go."""
+    cut = lines.dedup_lines(docs)
+    empty = (F.col("n_deleted") > 0) & ~F.col("text").rlike(WORD)
+    return cut.where(F.coalesce(~empty, F.lit(True))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose sets of five-word shingles reach 0.8, the one with the smallest id of each component."""
+    linked = ngram_join.similar_components(docs, n=5, num=80, den=100)
+    gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    found = decontam.passages(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -11,13 +42,18 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("bpe", encoded)]
+STAGES = [("toxicity", not_toxic), ("line dedup", lines_once), ("n-gram join", one_of_each_group),
+          ("decontamination", without_benchmarks), ("bpe", encoded)]
+#: SQL can express neither the network nor the merges.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of `sf_dir`."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    """All stages on the documents of `sf_dir`; what a stage keeps is written for the next."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.write(docs)
+            scratch.drop(keep=1)
     return docs

@@ -271,18 +271,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     return train([words_of(r["text"]) for r in rows], toxic, weight)
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, score) of every row."""
+def score(docs: DataFrame, model: Model | None, carried: list[str] | None = None) -> DataFrame:
+    """The carried columns of docs (doc_id by default) and `score`, for every row; a carried `score` is not allowed."""
+    carried = carried or ["doc_id"]
     if model is None:
-        return docs.select("doc_id", F.lit(0.0).alias("score"))
+        return docs.select(*carried, F.lit(0.0).alias("score"))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    own = docs.select(*carried, F.col("text").alias("__text"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             scores, block, size = [], [], 0
-            for value in batch.column(1):
+            for value in batch.column(batch.num_columns - 1):
                 text = value.as_py()
                 block.append(words_of(text))
                 size += len(text or "")
@@ -292,6 +294,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             if block:
                 scores.append(shipped.value.score_texts(block))
             logits = np.concatenate(scores).astype("float64") if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sigmoid(logits))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(_sigmoid(logits))], [*carried, "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    schema = own.drop("__text").schema.add("score", "double")
+    return own.mapInArrow(run, schema)
