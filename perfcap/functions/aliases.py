@@ -1,149 +1,18 @@
-"""Built-in counter names: which counter path is which canonical metric.
-
-Fixed values.  Per object: path pattern, metric prefix and the known counters, in matching order.  The metric
-id follows from the counter name by one rule (:func:`snake`); where it does not, the entry gives it after ``=``.
-"""
+"""Built-in counter names: which counter path is which canonical metric."""
 
 import json
-import re
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-MACHINE = r"\\[^\\]+\\"
-ANY = r"\([^)]*\)"
-_SQL = r"(SQLServer|MSSQL\$[^:]+):"
-
-# (object pattern, has instances, metric prefix, counters)
-OBJECTS = [
-    ("Processor", True, "processor.", [
-        "% Processor Time", "% Privileged Time", "% User Time", "% Interrupt Time", "Interrupts/sec"]),
-    ("System", False, "system.", ["Context Switches/sec", "Processor Queue Length"]),
-    ("Memory", False, "memory.", [
-        "Available MBytes", "Committed Bytes", "% Committed Bytes In Use", "Pages/sec", "Page Faults/sec",
-        "Pool Nonpaged Bytes", "Pool Paged Bytes"]),
-    ("Paging File", True, "pagingfile.", ["% Usage"]),
-    ("PhysicalDisk", True, "physicaldisk.", [
-        "Avg. Disk sec/Read", "Avg. Disk sec/Write", "Avg. Disk sec/Transfer", "Current Disk Queue Length",
-        "% Idle Time", "Disk Reads/sec", "Disk Writes/sec"]),
-    ("Network Interface", True, "network.", [
-        "Bytes Total/sec", "Bytes Sent/sec", "Bytes Received/sec", "Current Bandwidth", "Output Queue Length",
-        "Packets Received Errors"]),
-    ("Process", True, "process.", [
-        "Private Bytes", "Working Set", "Virtual Bytes", "Handle Count", "Thread Count", "% Processor Time",
-        "% Privileged Time", "IO Data Operations/sec", "IO Read Operations/sec", "IO Write Operations/sec"]),
-    (_SQL + "Buffer Manager", False, "sql.", [
-        "Buffer cache hit ratio", "Page life expectancy", "Free pages=buffer_free_pages", "Lazy writes/sec",
-        "Page lookups/sec", "Checkpoint pages/sec", "Page reads/sec", "Page writes/sec"]),
-    (_SQL + "SQL Statistics", False, "sql.", [
-        "Batch Requests/sec", "SQL Compilations/sec=compilations_per_sec",
-        "SQL Re-Compilations/sec=recompilations_per_sec"]),
-    (_SQL + "Locks", True, "sql.", ["Number of Deadlocks/sec=deadlocks_per_sec", "Lock Waits/sec"]),
-    (_SQL + "Memory Manager", False, "sql.", ["Memory Grants Pending"]),
-    (_SQL + "General Statistics", False, "sql.", ["User Connections", "Blocked processes"]),
-    ("APP_POOL_WAS", True, "iis.", ["Recent Worker Process Failures", "Current Worker Processes"]),
-    (r"ASP\.NET", False, "aspnet.", [
-        "Application Restarts", "Worker Process Restarts", "Requests Rejected", "Request Wait Time"]),
-    (r"ASP\.NET Applications", True, "aspnet.", [
-        "Requests In Application Queue", "Request Execution Time", "Errors Total/sec"]),
-    (r"ASP\.NET Apps v[0-9.]+", True, "aspnet.", ["Request Execution Time"]),
-    (r"\.NET CLR Exceptions", True, "dotnetclr.", ["# of Exceps Thrown / sec=exceptions_thrown_per_sec"]),
-    (r"\.NET CLR Memory", True, "dotnetclr.", ["% Time in GC"]),
-    ("NTDS", False, "ntds.", ["LDAP Bind Time", "DRA Pending Replication Operations"]),
-    ("Print Queue", True, "printqueue.", [
-        "Out of Paper Errors", "Bytes Printed/sec", "Job Errors", "Not Ready Errors"]),
-    ("Hyper-V Hypervisor Virtual Processor", True, "hyperv.hypervisor_virtual_processor_", ["% Guest Run Time"]),
-    ("Hyper-V Hypervisor Logical Processor", True, "hyperv.hypervisor_logical_processor_", [
-        "% Total Run Time", "Context Switches/sec"]),
-    ("Hyper-V Hypervisor Root Partition", True, "hyperv.hypervisor_root_partition_", ["Address Spaces"]),
-    ("Hyper-V Virtual Machine Health Summary", False, "hyperv.virtual_machine_health_summary_", ["Health Critical"]),
-    ("Hyper-V Virtual Storage Device", True, "hyperv.virtual_storage_device_", ["Error Count"]),
-    ("Hyper-V VM Vid Partition", True, "hyperv.vm_vid_partition_", ["Remote Physical Pages"]),
-    ("Hyper-V Dynamic Memory VM", True, "hyperv.dynamic_memory_vm_", [
-        "Average Pressure", "Smart Paging Working Set Size"]),
-    ("Hyper-V Dynamic Memory Balancer", True, "hyperv.dynamic_memory_balancer_", ["Average Pressure"]),
-    ("NUMA Node Memory", True, "numanodememory.", ["Available MBytes"]),
-    ("Hyper-V Virtual Switch Processor", True, "hyperv.virtual_switch_processor_", ["Number of VMQs"]),
-    ("Hyper-V Virtual Machine Bus", False, "hyperv.virtual_machine_bus_", ["Throttle Events"]),
-    ("Hyper-V Legacy Network Adapter", True, "hyperv.legacy_network_adapter_", ["Frames Dropped", "Bytes Dropped"]),
-    ("SharePoint Publishing Cache", True, "sharepoint.", [
-        "Publishing cache flushes / second=publishing_cache_flushes_per_sec", "Publishing cache hit ratio",
-        "Publishing cache misses / sec"]),
-    ("Office Server Search Archival Plugin", True, "sharepoint.search_archival_", [
-        "Total docs in first queue=total_docs_first_queue", "Total docs in Second queue=total_docs_second_queue"]),
-    ("Office Server Search Gatherer", False, "sharepoint.search_gatherer_", ["Idle Threads"]),
-    ("MSExchange ADAccess Domain Controllers", False, "msexchange.adaccess_dc_", ["LDAP Read Time", "LDAP Search Time"]),
-    ("MSExchange ADAccess Processes", True, "msexchange.adaccess_processes_", ["LDAP Read Time", "LDAP Search Time"]),
-    ("MSExchange Database ==> Instances", True, "msexchange.db_io_", [
-        "I/O Database Reads (Attached) Average Latency=reads_attached_avg_latency",
-        "I/O Database Writes (Attached) Average Latency=writes_attached_avg_latency",
-        "I/O Log Writes Average Latency=log_writes_avg_latency",
-        "I/O Database Reads (Recovery) Average Latency=reads_recovery_avg_latency"]),
-    ("MSExchange RpcClientAccess", False, "msexchange.rpc_client_access_", [
-        "RPC Averaged Latency=averaged_latency", "RPC Requests"]),
-    ("MSExchangeIS Client Type", True, "msexchange.is_client_type_", ["RPC Average Latency=rpc_avg_latency"]),
-    ("MSExchangeIS Store", True, "msexchange.is_store_", ["RPC Average Latency=rpc_avg_latency"]),
-    (_SQL + "Access Methods", False, "sql.", [
-        "Workfiles Created/sec", "Worktables Created/sec", "Worktables From Cache Ratio"]),
-    (_SQL + "Buffer Manager", False, "sql.", [
-        "Free list stalls/sec", "Extension outstanding IO counter=extension_outstanding_io", "Extension free pages"]),
-    (_SQL + "Buffer Node", True, "sql.", ["Foreign pages=buffer_node_foreign_pages"]),
-    (_SQL + "SQL Statistics", False, "sql.", ["SQL Attention rate"]),
-    (_SQL + "SQL Errors", True, "sql.", ["Errors/sec=sql_errors_per_sec"]),
-    (_SQL + "General Statistics", False, "sql.", ["Logins/sec", "Logouts/sec"]),
-    (_SQL + "Latches", False, "sql.", ["Latch Waits/sec", "Total Latch Wait Time (ms)"]),
-    (_SQL + "Locks", True, "sql.", ["Lock Requests/sec", "Lock Wait Time (ms)", "Lock Timeouts/sec"]),
-    (_SQL + "Databases", True, "sql.", [
-        "Log Flush Wait Time", "Log Flush Waits/sec", "Log Growths", "Log Shrinks", "Percent Log Used"]),
-    (_SQL + "Deprecated Features", True, "sql.", ["Usage=deprecated_features_usage"]),
-    ("Citrix MetaFrame Presentation Server", False, "citrix.", [
-        "Resolution WorkItem Queue Ready Count", "WorkItem Queue Ready Count", "Data Store Connection Failure",
-        "Number of busy XML threads"]),
-    ("Citrix Licensing", False, "citrix.", ["License Server Connection Failure"]),
-    (r"ServiceModelService 4\.0\.0\.0", True, "dynamicsax.wcf_", [
-        "Calls Duration", "Calls Failed", "Calls Faulted",
-        "Percent Of Max Concurrent Calls=percent_max_concurrent_calls",
-        "Percent Of Max Concurrent Instances=percent_max_concurrent_instances",
-        "Percent Of Max Concurrent Sessions=percent_max_concurrent_sessions"]),
-    ("CRM Sandbox Host", False, "dynamicscrm.sandbox_host.", [
-        "% CPU Usage", "% Worker Processes Crashed", "% Worker Processes Terminated"]),
-    ("CRM Server", True, "dynamicscrm.server.", [
-        "Failed Internal Organization Service Requests", "Failed Organization Service Metadata Requests",
-        "Failed Organization Service Requests", "Failed Report Render Requests"]),
-    ("CRM Authentication", False, "dynamicscrm.authentication.", [
-        "ClaimsAuthenticationFailuresInTheLastMinute", "ConfigDBWindowsAuthenticationFailuresInTheLastMinute",
-        "CrmPostAuthenticationFailuresInTheLastMinute", "WindowsAuthenticationFailuresInTheLastMinute"]),
-    ("CRM Discovery", False, "dynamicscrm.discovery.", ["Failed Discovery Service Requests"]),
-    ("CRM LocatorService", False, "dynamicscrm.locatorservice.", ["LocatorServiceFailedCacheFlushRequests"]),
-    ("CRM Sandbox Client", True, "dynamicscrm.sandbox_client.", ["% Execute Failures", "% SDK Failures"]),
-    ("Active Server Pages", False, "asp.", ["Request Execution Time", "Requests Queued"]),
-]
-
-# Two objects with some sixty counters each are covered by rule: every failure counter of the asynchronous
-# service, and every counter of the "LS:" objects (whose names repeat the object before a dash).
-ASYNC_SERVICE = MACHINE + r"CRM Async Service" + ANY + r"\\([^\\]*(Failed|Transient Errors)[^\\]*)$"
-LS_OBJECT = MACHINE + r"LS:([^\\(]+?)(?:" + ANY + r")?\\([^\\]+)$"
+from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-def snake(counter: str) -> str:
-    """``% Processor Time`` -> ``percent_processor_time``; ``Avg. Disk sec/Read`` -> ``avg_disk_sec_per_read``."""
-    text = counter.lower().replace("%", "percent ").replace("/", " per ")
-    return re.sub(r"[^a-z0-9]+", "_", text).strip("_")
+#: Fixed values, one row per entry: pattern and metric, in matching order.
+COUNTER_NAMES = Path(__file__).resolve().parents[1] / "data" / "counter_names.tsv"
 
 
-def _snake(text: Column) -> Column:
-    spelled = F.replace(F.replace(F.lower(text), F.lit("%"), F.lit("percent ")), F.lit("/"), F.lit(" per "))
-    return F.btrim(F.regexp_replace(spelled, "[^a-z0-9]+", "_"), F.lit("_"))
-
-
-def builtin_aliases() -> list:
+def builtin_aliases(path: Path = COUNTER_NAMES) -> list[tuple[str, str]]:
     """(pattern, metric) in matching order."""
-    out = []
-    for pattern, instances, prefix, counters in OBJECTS:
-        for entry in counters:
-            counter, _, name = entry.partition("=")
-            path = MACHINE + pattern + (ANY if instances else "") + r"\\" + re.sub(r"([.()])", r"\\\1", counter)
-            out.append((path, prefix + (name or snake(counter))))
-    return out
+    lines = path.read_text(encoding="utf-8").splitlines()
+    return [tuple(line.split("\t")) for line in lines if line and not line.startswith("#")]
 
 
 def builtin_table(spark: SparkSession) -> DataFrame:
@@ -151,15 +20,3 @@ def builtin_table(spark: SparkSession) -> DataFrame:
     rows = json.dumps([{"ord": i, "pattern": p, "metric": m} for i, (p, m) in enumerate(builtin_aliases())])
     kind = "ARRAY<STRUCT<ord: BIGINT, pattern: STRING, metric: STRING>>"
     return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(rows), kind)))
-
-
-def family_metric(path: Column) -> Column:
-    """Metric of the two objects covered by rule, else NULL."""
-    counter = F.regexp_extract(path, "(?i)" + ASYNC_SERVICE, 1)
-    area = F.regexp_extract(path, "(?i)" + LS_OBJECT, 1)
-    name = F.regexp_extract(path, "(?i)" + LS_OBJECT, 2)
-    own = F.when(name.rlike("^A/V Edge - "), name).otherwise(F.regexp_replace(name, r"^[^-]*?- ", ""))
-    area_id = F.btrim(F.regexp_replace(F.lower(area), "[^a-z0-9]+", "_"), F.lit("_"))
-    own = F.regexp_replace(own, r"^A/V", "A V")
-    return F.when(counter != "", F.concat(F.lit("dynamicscrm.async_service."), _snake(counter))).when(
-        area != "", F.concat(F.lit("sfb."), area_id, F.lit("."), _snake(own)))

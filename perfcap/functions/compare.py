@@ -55,3 +55,13 @@ def aggregation(name: Column, prefix: str = "") -> Column:
         column = F.col(prefix + ("trend_per_hour" if agg == "trend" else agg))
         expr = F.when(name == agg, column) if expr is None else expr.when(name == agg, column)
     return expr
+
+
+def least(value: Column) -> Column:
+    """Smallest value of a group; NaN is the smallest here, the largest in Spark."""
+    return F.when(F.count_if(F.isnan(value)) > 0, F.lit(float("nan"))).otherwise(F.min(value))
+
+
+def greatest(value: Column) -> Column:
+    """Largest value of a group, NaN only if there is nothing else."""
+    return F.coalesce(F.max(F.when(~F.isnan(value), value)), F.max(value))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from perfcap.functions import names
-from perfcap.functions.aliases import builtin_table, family_metric
+from perfcap.functions.aliases import builtin_table
 
 
 def pack_patterns(pack_aliases: DataFrame) -> DataFrame:
@@ -28,8 +28,7 @@ def resolve_metrics(paths: DataFrame, pack_aliases: DataFrame | None = None) ->
     distinct = paths.select("counter_path").distinct()
     patterns = builtin_table(spark)
     if pack_aliases is not None:
-        # After the built-in names and the two families, in the order of the packs.
+        # After the built-in names, in the order of the packs.
         patterns = patterns.unionByName(pack_patterns(pack_aliases).withColumn("ord", F.col("ord") + 1_000_000))
     known = distinct.join(first_match(distinct, patterns), "counter_path", "left")
-    family = F.when(F.col("ord").isNull() | (F.col("ord") >= 1_000_000), family_metric(path))
-    return known.select("counter_path", F.coalesce(family, "metric", names.unknown_metric(path)).alias("metric"))
+    return known.select("counter_path", F.coalesce("metric", names.unknown_metric(path)).alias("metric"))

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from perfcap import fixed
+from perfcap.functions.compare import greatest, least
 from perfcap.operators import skew
 from perfcap.operators.stats import SERIES
 
@@ -62,8 +63,8 @@ def rolling_windows(samples: DataFrame, specs: DataFrame, hot_rows: int | None =
     placed = placed.withColumn("k", F.explode(F.sequence("_k0", "_k1")))
 
     keys = [*SERIES, "spec_id", "aggregation", "min_samples", "duration_s", "_first", "_step", "k"]
-    aggs = [F.count("*").alias("n"), F.avg("value").alias("avg"), F.min("value").alias("min"),
-            F.max("value").alias("max")]
+    aggs = [F.count("*").alias("n"), F.avg("value").alias("avg"), least(F.col("value")).alias("min"),
+            greatest(F.col("value")).alias("max")]
     if percentiles:
         # Only percentile specs feed the quantiles; for the others the array stays null.
         ranked = F.when(~F.col("aggregation").isin("avg", "min", "max"), F.col("value"))

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from perfcap import fixed
 from perfcap.functions import names, text
-from perfcap.functions.compare import aggregation, compare, severity_rank
+from perfcap.functions.compare import aggregation, compare, greatest, least, severity_rank
 from perfcap.operators import rolling, skew
 from perfcap.operators.stats import SERIES, STATISTICS, present_metrics
 
@@ -201,7 +201,7 @@ def window_hits(windows: DataFrame, conditions: DataFrame, hosts: DataFrame | No
     op, k = F.col("operator"), F.col("k")
     ok = compare(F.col("value"), op, F.col("threshold"))
     grouped = rows.groupBy(*SERIES, *COND, "operator", "threshold").agg(
-        F.bool_or(ok).alias("fired"), F.max("value").alias("_max"), F.min("value").alias("_min"),
+        F.bool_or(ok).alias("fired"), greatest(F.col("value")).alias("_max"), least(F.col("value")).alias("_min"),
         F.min_by("value", F.when(ok, k)).alias("_match"), F.min_by("value", "k").alias("_first"))
     worst = F.when(op.isin("gt", "ge"), F.col("_max")).when(op.isin("lt", "le"), F.col("_min")).otherwise(
         F.coalesce("_match", "_first"))

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from perfcap import fixed
+from perfcap.functions.compare import greatest, least
 from perfcap.operators import skew
 
 SERIES = ["dataset_id", "series_id"]
@@ -25,9 +26,8 @@ def series_stats(samples: DataFrame, keys: list = SERIES, hot_rows: int | None =
     aggs = [
         F.count("*").alias("count"),
         F.count("value").alias("valid_count"),
-        # NaN is the smallest value here, the largest in Spark.
-        F.when(F.count_if(F.isnan("value")) > 0, F.lit(float("nan"))).otherwise(F.min("value")).alias("min"),
-        F.coalesce(F.max(F.when(~F.isnan("value"), F.col("value"))), F.max("value")).alias("max"),
+        least(F.col("value")).alias("min"),
+        greatest(F.col("value")).alias("max"),
         F.avg("value").alias("avg"),
         F.stddev_pop("value").alias("stddev"),
         F.regr_slope("value", hours).alias("trend_per_hour"),

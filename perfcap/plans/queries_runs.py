@@ -107,8 +107,8 @@ def correlations_short(spark, sf_dir):
                     F.col("pair_ord").cast("bigint").alias("pair_ord"))
 
 
-def diagnostics(spark, sf_dir):
-    f, t, p = _trends_pairs(spark, sf_dir, 2)
+def diagnostics(spark, sf_dir, last=fixed.TREND_DEFAULT_RUNS):
+    f, t, p = _trends_pairs(spark, sf_dir, last)
     return X.diagnostics(f, t.drop("points"), p).select(
         "run_id", "insight_id", "severity", "category", "title", "narrative",
         F.array_join("recommendations", "|").alias("recommendations"),
@@ -116,8 +116,13 @@ def diagnostics(spark, sf_dir):
         "source_correlation_key", "source_direction")
 
 
-def run_trend_hits(spark, sf_dir):
-    f, t, _ = _trends_pairs(spark, sf_dir, 2)
+def diagnostics_short(spark, sf_dir):
+    """A window of two runs, in which pairs worsen together."""
+    return diagnostics(spark, sf_dir, 2)
+
+
+def run_trend_hits(spark, sf_dir, last=fixed.TREND_DEFAULT_RUNS):
+    f, t, _ = _trends_pairs(spark, sf_dir, last)
     keys = f.withColumn("correlation_key", X.correlation_key())
     rising = t.where(F.col("direction").isin("worsening", "appearing"))
     return keys.join(rising, ["workspace_id", "correlation_key"], "left_semi").select("run_id", "finding_id")
@@ -258,6 +263,7 @@ QUERIES = {
     "c5_j7_a16_l5_correlations": correlations,
     "c5_correlations_short_window": correlations_short,
     "c6_l6_u3_diagnostics": diagnostics,
+    "c6_diagnostics_short_window": diagnostics_short,
     "j9_run_trend_hits": run_trend_hits,
     "w7_baseline_versions": baseline_versions,
     "c7_baseline_requests": baseline_requests,
@@ -416,7 +422,7 @@ def hist(body: str, last: int | None = None) -> str:
 
 _INSIGHTS = """
 SELECT run_id, substr(sha256(run_id || ':finding:' || rule_id), 1, 16) AS insight_id, severity, category, title, summary AS narrative,
-  'Investigate the root cause of rule ''' || rule_id || ''' and review recent changes to this system.' AS recommendations,
+  'Find out what made rule ''' || rule_id || ''' fire, starting from what changed here last.' AS recommendations,
   rule_id AS affected_rule_ids, 'finding' AS source_type, NULL::VARCHAR AS source_correlation_key, NULL::VARCHAR AS source_direction
 FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY severity <> 'critical', category, finding_ord) AS rn
   FROM findings_hist WHERE severity IN ('critical', 'warning')) WHERE rn <= 5
@@ -424,9 +430,9 @@ FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY s
 UNION ALL
 SELECT run_id, substr(sha256(run_id || ':trend:' || k), 1, 16), last_sev, 'trend',
   upper(direction[1]) || substr(direction, 2) || ' pattern: ' || k,
-  'This metric has been ' || direction || ' across ' || run_count || ' of the last ' || total_runs || ' runs, first seen '
+  'Seen as ' || direction || ' in ' || run_count || ' of ' || total_runs || ' recent runs, since '
     || strftime(first_seen, '%Y-%m-%d') || '.',
-  'Review the trend timeline for ' || k || ' to identify when the pattern began and correlate with deployment or configuration changes.',
+  'Look up in the timeline of ' || k || ' where this starts, and what was deployed or configured then.',
   split_part(k, ':', 1), 'trend', k, direction
 FROM (SELECT f.run_id, t.correlation_key AS k, t.*, row_number() OVER (PARTITION BY f.run_id ORDER BY trend_pos) AS rn
   FROM (SELECT DISTINCT run_id, workspace_id, rule_id || ':' || metric AS k FROM findings_hist) f
@@ -434,11 +440,10 @@ FROM (SELECT f.run_id, t.correlation_key AS k, t.*, row_number() OVER (PARTITION
 WHERE rn <= 3
 UNION ALL
 SELECT run_id, substr(sha256(run_id || ':correlation:' || key_a || '+' || key_b), 1, 16), 'warning', 'correlation',
-  'Co-worsening pattern: ' || key_a || ' and ' || key_b,
-  'These two metrics worsen together in ' || co_run_count || ' of ' || total_runs || ' runs (co-score: ' || printf('%.2f', co_score)
-    || '). Co-occurring degradations often share a root cause.',
-  'Investigate whether a shared resource (disk, memory bus, lock contention) is causing both ' || key_a || ' and ' || key_b
-    || ' to degrade together.',
+  'Worse together: ' || key_a || ' and ' || key_b,
+  'Both are present in ' || co_run_count || ' of ' || total_runs || ' runs and both get worse (score ' || printf('%.2f', co_score)
+    || ').',
+  'Look for one cause behind ' || key_a || ' and ' || key_b || '.',
   CASE WHEN split_part(key_a, ':', 1) = split_part(key_b, ':', 1) THEN split_part(key_a, ':', 1)
     ELSE split_part(key_a, ':', 1) || '|' || split_part(key_b, ':', 1) END, 'correlation', key_a || '+' || key_b, 'worsening'
 FROM (SELECT DISTINCT f.run_id, p.*, dense_rank() OVER (PARTITION BY f.run_id ORDER BY pair_ord) AS rn
@@ -479,10 +484,11 @@ SQL = {
         round(co_score, 6) AS co_score, pair_ord FROM pairs""", 10),
     "c5_correlations_short_window": hist("""SELECT workspace_id, key_a, key_b, direction_a, direction_b, co_run_count, pair_ord
       FROM pairs""", 2),
-    "c6_l6_u3_diagnostics": hist(_INSIGHTS, 2),
+    "c6_l6_u3_diagnostics": hist(_INSIGHTS, 10),
+    "c6_diagnostics_short_window": hist(_INSIGHTS, 2),
     "j9_run_trend_hits": hist("""SELECT run_id, finding_id FROM findings_hist f WHERE EXISTS (SELECT 1 FROM trend_rows t
       WHERE t.workspace_id = f.workspace_id AND t.correlation_key = f.rule_id || ':' || f.metric
-        AND direction IN ('worsening', 'appearing'))""", 2),
+        AND direction IN ('worsening', 'appearing'))""", 10),
     "w7_baseline_versions": hist("""SELECT workspace_id, run_id, baseline_type, row_number() OVER (PARTITION BY workspace_id, baseline_type
       ORDER BY created_at DESC, run_id DESC) AS version_rank FROM runs_hist WHERE is_baseline"""),
     "c7_baseline_requests": hist("""SELECT run_id, CASE WHEN touched AND reason IS NULL THEN wanted ELSE is_baseline END AS is_baseline,

@@ -25,9 +25,15 @@ def build_session(app: str = "perfcap", master: str | None = None, **conf) -> Sp
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate tables; a temporary one only where none is named."""
+    """The folder the cluster names for intermediate tables; a temporary one only on a local master that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or tempfile.mkdtemp(prefix="perfcap-")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    folder = tempfile.mkdtemp(prefix="perfcap-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

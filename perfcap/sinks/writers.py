@@ -22,10 +22,15 @@ def write_results(df: DataFrame, path: str, by: str = "run_id") -> None:
 
 
 def write_text_reports(rendered: DataFrame, column: str, path: str) -> None:
-    """One directory per dataset with the rendered text."""
-    rendered.select("dataset_id", F.col(column).alias("value")).write.mode("overwrite").partitionBy("dataset_id").text(path)
+    """One directory per dataset with the rendered text; reports of other datasets stay."""
+    rendered.select("dataset_id", F.col(column).alias("value")).write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("dataset_id").text(path)
 
 
-def write_json_rows(df: DataFrame, path: str) -> None:
-    """Catalog, validation or inspection rows as JSON lines."""
-    df.write.mode("overwrite").json(path)
+def write_json_rows(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Catalog, validation or inspection rows as JSON lines.
+
+    With ``by`` (such as a run id) only its partitions are replaced; without, the rows are added to what is there.
+    """
+    writer = df.write.option("partitionOverwriteMode", "dynamic")
+    (writer.mode("overwrite").partitionBy(by) if by else writer.mode("append")).json(path)

@@ -16,14 +16,25 @@ from perfcap.session import cut_lineage
 _ROW_BITS = 31
 
 
-def capture_catalog(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+def file_name(url: Column) -> Column:
+    """A path as its owner spells it, from the percent-encoded one that every source gives as metadata."""
+    return F.regexp_replace(F.url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+
+
+def open_name(path: str) -> str:
+    """The same path for a reader, which takes some characters as patterns."""
+    return "".join(f"\\{c}" if c in "[]{}*?\\" else c for c in path)
+
+
+def capture_catalog(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
     """path, length, modification time, extension and content digest of each file.
 
     Digests need the bytes of a file in order, so one task reads one file (the binary source allows 2 GB).
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    name = file_name(F.col("_metadata.file_path"))
     return files.select(
-        "path", "length", "modificationTime", parse.file_extension(F.col("path")).alias("source_type"),
+        name.alias("path"), "length", "modificationTime", parse.file_extension(name).alias("source_type"),
         F.sha2("content", 256).alias("sha256"))
 
 
@@ -51,8 +62,8 @@ def read_lines(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame
 
 def lines_of(text: DataFrame) -> DataFrame:
     clean = F.regexp_replace("value", "^\ufeff", "")
-    return text.where(F.trim("value") != "").select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+    return text.where(F.col("value").rlike(r"[^\s\x{feff}]")).select(
+        file_name(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"),
         order_key().alias("ord"), clean.alias("line"))
 
 
@@ -95,13 +106,10 @@ def captures_from(lines: DataFrame, catalog: DataFrame, pack_aliases: DataFrame
     datasets, series, warnings and samples all use them.
     """
     keep = materialize or (lambda df: df)
-    # The binary and the text source spell local paths differently ("file:/x", "file:///x").
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
     ids = keep(catalog.select(
-        plain("path").alias("path"), F.col("sha256").alias("input_digest"), "source_type",
+        "path", F.col("sha256").alias("input_digest"), "source_type",
         names.dataset_id(F.col("sha256")).alias("dataset_id")))
-    lines = lines.withColumn("path", plain("path"))
-    # One row per file, named by its content; equal files are one dataset.
+    # One row per file, named by its content; equal files are one dataset, and the copies are reported as rejected.
     headers = keep(headers_of(lines).join(ids, "path").withColumn(
         "_rn", F.row_number().over(Window.partitionBy("dataset_id").orderBy("path"))).where("_rn = 1").drop("_rn"))
 
@@ -138,8 +146,12 @@ def captures_from(lines: DataFrame, catalog: DataFrame, pack_aliases: DataFrame
         "*", (F.coalesce("series_count", F.lit(0)) * F.col("row_count")).alias("sample_count"))
 
     valid = marks.where(~F.col("_head") & F.col("ts").isNotNull()).select("dataset_id").distinct()
-    rejected = ids.join(valid, "dataset_id", "left_anti").select(
+    unread = ids.join(valid, "dataset_id", "left_anti").select(
         "path", "dataset_id", F.lit("no parseable data rows").alias("reason"))
+    read = headers.select("dataset_id", F.col("path").alias("_read"))
+    copies = ids.join(valid, "dataset_id", "left_semi").join(read, "dataset_id").where("path <> _read").select(
+        "path", "dataset_id", F.concat(F.lit("same content as "), "_read").alias("reason"))
+    rejected = unread.unionByName(copies)
     return Captures(datasets, series, samples, bad_line_warnings(marks), rejected)
 
 
@@ -190,7 +202,7 @@ def read_host_context(spark: SparkSession, path: str, datasets: DataFrame, memor
     side = (
         spark.read.option("multiLine", True).option("pathGlobFilter", name).option("recursiveFileLookup", True)
         .schema("TotalPhysicalMemoryMb DOUBLE, LogicalProcessorCount INT").json(path)
-        .select(_folder(F.col("_metadata.file_path")).alias("_folder"),
+        .select(_folder(file_name(F.col("_metadata.file_path"))).alias("_folder"),
                 F.col("TotalPhysicalMemoryMb").alias("total_physical_memory_mb"),
                 F.col("LogicalProcessorCount").alias("logical_processor_count")))
     return datasets.select("dataset_id", _folder(F.col("path")).alias("_folder")).join(side, "_folder", "left").select(
@@ -198,7 +210,7 @@ def read_host_context(spark: SparkSession, path: str, datasets: DataFrame, memor
 
 
 def _folder(path: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), "/[^/]*$", "")
+    return F.regexp_replace(path, "/[^/]*$", "")
 
 
 def dedup_uploads(uploads: DataFrame, existing: DataFrame | None = None) -> DataFrame:

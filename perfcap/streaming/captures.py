@@ -21,14 +21,14 @@ def capture_stream(spark: SparkSession, path: str, glob: str = "*.csv", max_file
         spark.readStream.format("text").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", max_files).option("latestFirst", True).load(path))
     return text.select(
-        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        "value", C.file_name(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_modification_time").alias("modified"))
 
 
 def lines_of_batch(batch: DataFrame) -> DataFrame:
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << C._ROW_BITS) - 1))
     order = F.shiftleft(F.shiftright("block", 10), C._ROW_BITS).bitwiseOR(row)
-    return batch.where(F.trim("value") != "").select(
+    return batch.where(F.col("value").rlike(r"[^\s\x{feff}]")).select(
         "path", "block", order.alias("ord"), F.regexp_replace("value", "^\ufeff", "").alias("line"))
 
 
@@ -44,7 +44,7 @@ def new_files(batch: DataFrame, known: DataFrame | None) -> DataFrame:
     """Catalog of the files of a batch whose content is not known yet; one file per content."""
     spark = batch.sparkSession
     names = [r.path for r in batch.select("path").distinct().collect()]  # at most files-per-tick
-    catalog = C.capture_catalog(spark, names)
+    catalog = C.capture_catalog(spark, [C.open_name(n) for n in names])
     first = catalog.groupBy("sha256").agg(F.min_by(F.struct("path", "length", "modificationTime", "source_type"), "path").alias("f"))
     fresh = first.select("sha256", "f.*")
     if known is not None:
@@ -74,7 +74,7 @@ def start_analysis(stream: DataFrame, book, out_path: str, checkpoint: str, trig
         if catalog.isEmpty():
             return
         lines = lines_of_batch(batch).join(F.broadcast(catalog.select("path")), "path", "left_semi")
-        captures = C.captures_from(lines, catalog.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///")), book.aliases)
+        captures = C.captures_from(lines, catalog, book.aliases)
         result = analyze(captures, book, (hosts_of or unknown)(captures.datasets), F.current_timestamp(), explicit, auto)
         tables = {"datasets": result.captures.datasets, "series_stats": result.stats, "findings": result.findings,
                   "warnings": result.warnings, "catalog": catalog}

@@ -144,3 +144,28 @@ def test_pack_files(spark, tmp_path):
     row = book.conditions.where("rule_id = 'low-memory'").first()
     assert (row.duration_percent, row.hc_factor, row.hc_min, row.hc_max) == (1.0, 0.05, 64.0, None)
     assert (book.has_host, book.has_windows, book.has_guards) == (True, False, False)
+
+
+ODD_NAMES = ["plain.csv", "with space.csv", "p%q.csv", "hash#1.csv", "a+b.csv", "grün [1] {x}.csv"]
+
+
+def test_odd_file_names(spark, tmp_path):
+    for i, name in enumerate(ODD_NAMES):
+        write_capture(tmp_path / "in put" / name, CPU[i:])
+    write_capture(tmp_path / "other" / "copy of plain.csv", CPU)
+    (tmp_path / "other" / "tabs.csv").write_text("\t\n \t \n")
+    c = C.read_captures(spark, str(tmp_path))
+    assert sorted(r.path.rsplit("/", 1)[1] for r in c.datasets.collect()) == sorted(ODD_NAMES)
+    rejected = {r.path.rsplit("/", 1)[1]: r.reason for r in c.rejected.collect()}
+    assert rejected == {"copy of plain.csv": f"same content as {tmp_path}/in put/plain.csv", "tabs.csv": "no parseable data rows"}
+
+
+def test_sinks_keep_other_datasets(spark, tmp_path):
+    for day in ("a", "b"):
+        rows = spark.createDataFrame([(f"ds_{day}", f"report {day}")], "dataset_id string, markdown string")
+        writers.write_text_reports(rows, "markdown", str(tmp_path / "md"))
+        writers.write_json_rows(rows, str(tmp_path / "json"), "dataset_id")
+        writers.write_json_rows(rows, str(tmp_path / "added"))
+    writers.write_json_rows(rows, str(tmp_path / "json"), "dataset_id")
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "md")).collect()) == ["report a", "report b"]
+    assert spark.read.json(str(tmp_path / "json")).count() == spark.read.json(str(tmp_path / "added")).count() == 2

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_captures_are_analysed_once(spark, tmp_path):
     folder, out = tmp_path / "in", tmp_path / "out"
-    write_capture(folder / "a.csv", CPU)
+    write_capture(folder / "a + %b#1 é[2].csv", CPU)
     write_capture(folder / "copy.csv", CPU)
     book = RuleBook.of(spark, [PACK])
 
