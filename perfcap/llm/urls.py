@@ -83,7 +83,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RU
     tree = template_tree(counted)
     every = Window.partitionBy("host")
     rates = (counted.join(tree, ["host", "shape"]).join(F.broadcast(counted.agg(
-        F.coalesce(F.sum("bad") / F.sum("labelled"), F.lit(0.0)).alias("rate"))))
+        F.coalesce(F.sum("bad") / F.nullif(F.sum("labelled"), F.lit(0)), F.lit(0.0)).alias("rate"))))
         .withColumn("host_rate", (F.sum("bad").over(every) + WEIGHT * F.col("rate")) / (F.sum("labelled").over(every) + WEIGHT)))
     of = Window.partitionBy("host", "template")
     pure = rates.select("host", "shape", "template", (

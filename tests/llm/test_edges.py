@@ -113,6 +113,7 @@ def test_urls(spark):
     assert [got[i]["rule"] for i in (4, 5, 6, 8)] == ["example.org/es/", "com/fr/", "com/de/", "example.org/en/1"]
     assert got[9]["template"].endswith("/**")
     assert urls.judge(pages.where("false"), labels).collect() == []
+    assert {r["verdict"] for r in urls.judge(pages.where("url like '%h.net%'"), labels.where("false")).collect()} == {"allow"}
 
 
 def test_chat(spark):

@@ -54,6 +54,8 @@ def test_kneser_ney_sums_to_one(spark):
         for g in perplexity.grams([perplexity.symbols(r["text"])]).tolist():
             want[r["lang"], g] = want.get((r["lang"], g), 0) + 1
     assert {(r["lang"], r["gram"]): r["n"] for r in counts.collect()} == want
+    often = spark.createDataFrame([("en", 64 + k, 9) for k in range(3)], "lang string, gram int, n long")  # no count of 1 to 4
+    assert perplexity.kneser_ney(often, Scratch(spark)).count() > 0
     model = perplexity.kneser_ney(counts, Scratch(spark))
     arrays = perplexity.sorted_arrays(model)
     for context in [g >> 6 for _, g in list(want)[:20]] + [12345]:
