@@ -24,8 +24,7 @@ def default_step_seconds(bounds: DataFrame) -> DataFrame:
     return bounds.withColumn("default_step_s", step)
 
 
-def rolling_windows(samples: DataFrame, specs: DataFrame, hot_rows: int | None = skew.HOT_ROWS,
-                    percentiles: bool = True, materialize=None) -> DataFrame:
+def rolling_windows(samples: DataFrame, specs: DataFrame, percentiles: bool = True, materialize=None) -> DataFrame:
     """Value of every rolling window with enough samples.
 
     ``specs``: ``spec_id, metric, instance, duration_s, step_s, min_samples, aggregation`` - a handful of
@@ -69,7 +68,7 @@ def rolling_windows(samples: DataFrame, specs: DataFrame, hot_rows: int | None =
         # Only percentile specs feed the quantiles; for the others the array stays null.
         ranked = F.when(~F.col("aggregation").isin("avg", "min", "max"), F.col("value"))
         values = skew.grouped_quantiles(placed.withColumn("_ranked", ranked), keys, "_ranked", [0.9, 0.95, 0.99],
-                                        aggs, hot_rows, materialize)
+                                        aggs, materialize)
     else:
         values = placed.groupBy(*keys).agg(*aggs).withColumn("quantiles", F.lit(None).cast("array<double>"))
     value = F.expr("""CASE aggregation WHEN 'avg' THEN avg WHEN 'min' THEN min WHEN 'max' THEN max

@@ -260,7 +260,7 @@ def finding_order(findings: DataFrame) -> DataFrame:
 
 
 def evaluate_rules(samples: DataFrame, series: DataFrame, stats: DataFrame, datasets: DataFrame, hosts: DataFrame,
-                   book, selected: DataFrame | None = None, hot_rows: int | None = skew.HOT_ROWS, materialize=None):
+                   book, selected: DataFrame | None = None, materialize=None):
     """(findings, warnings) of every dataset against every rule in one pass.
 
     ``book`` is a :class:`perfcap.sources.packs.RuleBook`.  ``hosts`` has one row per dataset (columns null when
@@ -272,7 +272,7 @@ def evaluate_rules(samples: DataFrame, series: DataFrame, stats: DataFrame, data
         duration_hits(samples, conditions, hosts if book.has_host_samples else None).where("fired").select(
             *SERIES, *COND, "threshold", F.lit(None).cast("double").alias("actual_value")),
         *([window_hits(
-            rolling.rolling_windows(samples, window_specs(conditions), hot_rows, book.has_window_percentiles, materialize),
+            rolling.rolling_windows(samples, window_specs(conditions), book.has_window_percentiles, materialize),
             conditions, hosts if book.has_host else None).where("fired").drop("fired")] if book.has_windows else []),
     ])
     detail = _series_detail(hits, stats, series, conditions, hosts if book.has_host else None)

@@ -3,7 +3,7 @@
 * ``salted_join`` spreads the rows of a hot join key over several tasks.
 * ``running`` computes running aggregates of a long ordered group slice by slice, so that no task
   sorts the whole group.
-* ``grouped_quantiles`` computes exact quantiles; hot groups go through value counts and buckets.
+* ``grouped_quantiles`` computes exact quantiles from value counts and buckets, whatever the size of a group.
 """
 
 from functools import reduce
@@ -11,9 +11,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SALTS = 16
-# Groups above this many values take the bucket path.  The number of hot groups is at most
-# rows / HOT_ROWS: 2.5e12 samples (100 TB at 40 bytes) give at most 250,000 keys, some 25 MB.
-HOT_ROWS = 10_000_000
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list, salt: Column, how: str = "inner",
@@ -75,7 +72,7 @@ def _bucket(value: Column) -> Column:
     return F.when(F.isnan(value), F.lit(-(1 << 62))).otherwise((F.signum(value) * F.floor(size)).cast("long"))
 
 
-def hot_quantiles(df: DataFrame, keys: list, value: str, probs: list) -> DataFrame:
+def bucket_quantiles(df: DataFrame, keys: list, value: str, probs: list, materialize=None) -> DataFrame:
     """Exact interpolated quantiles without gathering a group in one task.
 
     Equal values are counted first (map-side), bucket totals locate the two ranks each quantile
@@ -83,6 +80,8 @@ def hot_quantiles(df: DataFrame, keys: list, value: str, probs: list) -> DataFra
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     counts = counts.withColumn("_bucket", _bucket(F.col(value)))
+    if materialize is not None:
+        counts = materialize(counts)
     buckets = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bn"))
     upto = Window.partitionBy(*keys).orderBy("_bucket")
     whole = Window.partitionBy(*keys)
@@ -115,42 +114,14 @@ def hot_quantiles(df: DataFrame, keys: list, value: str, probs: list) -> DataFra
         .alias("quantiles"))
 
 
-def sorted_quantiles(df: DataFrame, keys: list, value: str, probs: list) -> DataFrame:
-    """Exact interpolated quantiles by rank: one shuffle on the keys, one spillable sort."""
-    rank = Window.partitionBy(*keys).orderBy(F.isnan(value).desc(), value)  # NaN sorts first
-    ranked = df.where(F.col(value).isNotNull()).select(
-        *keys, value, (F.row_number().over(rank) - 1).alias("_r"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
-    position = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
-    low = [F.floor(at) for at in position]
-    high = [F.least(F.floor(at) + 1, F.col("_n") - 1) for at in position]
-    wanted = reduce(lambda x, y: x | y, [F.col("_r") == at for at in [*low, *high]])
-    at_rank = lambda at: F.max(F.when(F.col("_r") == at, F.col(value)))
-    picked = ranked.where(wanted).groupBy(*keys, "_n").agg(
-        *[at_rank(at).alias(f"_l{i}") for i, at in enumerate(low)], *[at_rank(at).alias(f"_h{i}") for i, at in enumerate(high)])
-    return picked.select(*keys, F.array(*[
-        F.col(f"_l{i}") + (at - F.floor(at)) * (F.col(f"_h{i}") - F.col(f"_l{i}")) for i, at in enumerate(position)]).alias("quantiles"))
-
-
-def grouped_quantiles(df: DataFrame, keys: list, value: str, probs: list, aggs: list,
-                      hot_rows: int | None = HOT_ROWS, materialize=None) -> DataFrame:
+def grouped_quantiles(df: DataFrame, keys: list, value: str, probs: list, aggs: list, materialize=None) -> DataFrame:
     """``aggs`` plus ``quantiles`` (array in the order of ``probs``, null without values) per group.
 
-    The aggregates combine before the shuffle whatever the group size.  The quantiles of ordinary groups come from
-    a sort within the group, those of groups with more than ``hot_rows`` values from value counts.  The group sizes
-    are part of the aggregates; ``materialize`` (such as ``session.cut_lineage``) writes those once instead of
-    computing them again for each use.  ``hot_rows=None`` says that no group is hot.
+    The aggregates combine before the shuffle; the quantiles come from one count of equal values, which also combines
+    before its shuffle. ``materialize`` (such as ``session.cut_lineage``) writes that count once for its two uses.
     """
-    base = df.groupBy(*keys).agg(*aggs, F.count(value).alias("_values"))
-    if materialize is not None:
-        base = materialize(base)
-    values = df.where(F.col(value).isNotNull()).select(*keys, value)
-    if hot_rows is None:
-        quantiles = sorted_quantiles(values, keys, value, probs)
-    else:
-        hot = F.broadcast(base.where(F.col("_values") > hot_rows).select(*keys))  # at most rows / hot_rows keys
-        quantiles = sorted_quantiles(values.join(hot, keys, "left_anti"), keys, value, probs).unionByName(
-            hot_quantiles(values.join(hot, keys, "left_semi"), keys, value, probs))
-    return base.drop("_values").join(quantiles, keys, "left")
+    base = df.groupBy(*keys).agg(*aggs)
+    return base.join(bucket_quantiles(df, keys, value, probs, materialize), keys, "left")
 
 
 def union_all(frames: list) -> DataFrame:

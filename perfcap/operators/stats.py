@@ -14,16 +14,10 @@ STATISTICS = ["count", "min", "max", "avg", "median", "p90", "p95", "p99", "stdd
 _ORIGIN_MICROS = 1_700_000_000_000_000
 
 
-def series_stats(samples: DataFrame, keys: list = SERIES, hot_rows: int | None = skew.HOT_ROWS,
-                 materialize=None) -> DataFrame:
-    """Eleven statistics per series, plus first/last valid timestamp and valid count.
-
-    One shuffle of partial aggregates for the moments; exact percentiles as described in
-    :func:`perfcap.operators.skew.grouped_quantiles`.  A series without valid samples reports 0.
-    """
+def _moments() -> list:
     valid = F.col("value").isNotNull()
     hours = (F.unix_micros("ts") - F.lit(_ORIGIN_MICROS)) / F.lit(3.6e9)
-    aggs = [
+    return [
         F.count("*").alias("count"),
         F.count("value").alias("valid_count"),
         least(F.col("value")).alias("min"),
@@ -34,18 +28,35 @@ def series_stats(samples: DataFrame, keys: list = SERIES, hot_rows: int | None =
         F.min(F.when(valid, F.col("ts"))).alias("first_valid_ts"),
         F.max(F.when(valid, F.col("ts"))).alias("last_valid_ts"),
     ]
-    rows = skew.grouped_quantiles(samples.select(*keys, "ts", "value"), keys, "value", fixed.PERCENTILES, aggs,
-                                  hot_rows, materialize)
+
+
+def _shown(rows: DataFrame, keys: list, ranked: dict) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return rows.select(
         *keys, "count",
         zero(F.col("min")).alias("min"), zero(F.col("max")).alias("max"), zero(F.col("avg")).alias("avg"),
-        *[zero(F.get("quantiles", F.lit(i))).alias(n) for i, n in enumerate(["median", "p90", "p95", "p99"])],
+        *[zero(c).alias(n) for n, c in ranked.items()],
         zero(F.col("stddev")).alias("stddev"), zero(F.col("trend_per_hour")).alias("trend_per_hour"),
         (F.col("count") - F.col("valid_count")).alias("missing_sample_count"),
         "valid_count", "first_valid_ts", "last_valid_ts")
 
 
+def series_moments(samples: DataFrame, keys: list = SERIES) -> DataFrame:
+    """The statistics of :func:`series_stats` that are no percentiles: one scan, one shuffle of partial aggregates."""
+    return _shown(samples.groupBy(*keys).agg(*_moments()), keys, {})
+
+
+def series_stats(samples: DataFrame, keys: list = SERIES, materialize=None) -> DataFrame:
+    """Eleven statistics per series, plus first/last valid timestamp and valid count.
+
+    One shuffle of partial aggregates for the moments; exact percentiles as described in
+    :func:`perfcap.operators.skew.grouped_quantiles`.  A series without valid samples reports 0.
+    """
+    rows = skew.grouped_quantiles(samples.select(*keys, "ts", "value"), keys, "value", fixed.PERCENTILES, _moments(), materialize)
+    names = ["median", "p90", "p95", "p99"]
+    return _shown(rows, keys, {n: F.get("quantiles", F.lit(i)) for i, n in enumerate(names)})
+
+
 def dataset_summary(samples: DataFrame, series: DataFrame) -> DataFrame:
     """Start, end, series count, sample count, nominal interval and gap count per dataset."""
     sizes = samples.groupBy("dataset_id").agg(F.count("*").alias("sample_count"))

@@ -47,7 +47,8 @@ def rounded(df, digits, *columns):
 
 
 def _stats(df):
-    return rounded(df, 5, "min", "max", "avg", "median", "p90", "p95", "p99", "stddev", "trend_per_hour")
+    names = ["min", "max", "avg", "median", "p90", "p95", "p99", "stddev", "trend_per_hour"]
+    return rounded(df, 5, *[n for n in names if n in df.columns])
 
 
 def series_stats_events(spark, sf_dir):
@@ -60,17 +61,17 @@ def series_stats_lines(spark, sf_dir):
 
 
 def hot_series_stats(spark, sf_dir):
-    """Every series through the bucket path (limit of one row)."""
+    """Long series of few different values."""
     li = views.samples_li(spark, sf_dir)
-    return _stats(S.series_stats(li, hot_rows=1)).select("dataset_id", "series_id", "median", "p90", "p95", "p99")
+    return _stats(S.series_stats(li)).select("dataset_id", "series_id", "median", "p90", "p95", "p99")
 
 
 def counts(spark, sf_dir):
-    return S.series_stats(views.samples_ev(spark, sf_dir)).select("dataset_id", "series_id", "count", "missing_sample_count")
+    return S.series_moments(views.samples_ev(spark, sf_dir)).select("dataset_id", "series_id", "count", "missing_sample_count")
 
 
 def moments(spark, sf_dir):
-    return _stats(S.series_stats(views.samples_ev(spark, sf_dir))).select(
+    return _stats(S.series_moments(views.samples_ev(spark, sf_dir))).select(
         "dataset_id", "series_id", "min", "max", "avg", "stddev", "trend_per_hour")
 
 

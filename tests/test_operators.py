@@ -25,32 +25,32 @@ def one(column, spark):
     return spark.range(1).select(column.alias("x")).first().x
 
 
-@pytest.mark.parametrize("hot", [None, 1, 10_000_000])
-def test_statistics(spark, hot):
+def test_statistics(spark):
     cpu = [85.2, 88.7, 91.3, 90.5]
-    r = S.series_stats(series(spark, [float(v) for v in range(10, 101, 10)]), hot_rows=hot).first()
+    r = S.series_stats(series(spark, [float(v) for v in range(10, 101, 10)])).first()
     assert (r["count"], r.min, r.max, r.avg, r.median, r.p90) == (10, 10, 100, 55, 55, pytest.approx(91))
-    r = S.series_stats(series(spark, [10.0, None, 30.0]), hot_rows=hot).first()
+    r = S.series_stats(series(spark, [10.0, None, 30.0])).first()
     assert (r["count"], r.missing_sample_count, r.avg) == (3, 1, 20)
-    r = S.series_stats(series(spark, [None, None]), hot_rows=hot).first()
+    r = S.series_stats(series(spark, [None, None])).first()
     assert (r.missing_sample_count, r.avg, r.p99, r.trend_per_hour) == (2, 0, 0, 0)
-    r = S.series_stats(series(spark, cpu), hot_rows=hot).first()
+    r = S.series_stats(series(spark, cpu)).first()
     n = len(cpu)
     xs = [i * 15 / 3600 for i in range(n)]
     slope = (n * sum(x * y for x, y in zip(xs, cpu)) - sum(xs) * sum(cpu)) / (n * sum(x * x for x in xs) - sum(xs) ** 2)
     assert r.trend_per_hour == pytest.approx(slope, rel=1e-9)
 
 
-@pytest.mark.parametrize("hot", [None, 1])
-def test_nan_is_the_smallest_value(spark, hot):
-    r = S.series_stats(series(spark, [3.0, float("nan"), 1.0, 2.0, 5.0]), hot_rows=hot).first()
+def test_nan_is_the_smallest_value(spark):
+    r = S.series_stats(series(spark, [3.0, float("nan"), 1.0, 2.0, 5.0])).first()
     assert r.min != r.min and r.avg != r.avg and (r.max, r.median) == (5, 2)
+    r = S.series_moments(series(spark, [3.0, float("nan"), -0.0, float("inf")])).first()
+    assert r.min != r.min and r.max == float("inf") and r["count"] == 4 and "median" not in r.asDict()
 
 
 def test_hot_quantiles_match_sorting(spark):
     random.seed(3)
     values = [random.choice([0.0, -1.5, 3.25, random.gauss(0, 50), random.random() * 1e-7, -random.random() * 1e9]) for _ in range(3000)]
-    got = skew.hot_quantiles(series(spark, values), ["series_id"], "value", [0.0, 0.5, 0.9, 0.99, 1.0]).first().quantiles
+    got = skew.bucket_quantiles(series(spark, values), ["series_id"], "value", [0.0, 0.5, 0.9, 0.99, 1.0]).first().quantiles
     ordered = sorted(values)
     for p, q in zip([0.0, 0.5, 0.9, 0.99, 1.0], got):
         at = p * (len(ordered) - 1)
