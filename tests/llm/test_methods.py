@@ -275,3 +275,25 @@ def test_template_tree(spark):
     got = {r["page_id"]: (r["template"], r["verdict"]) for r in urls.judge(pages, labels, []).collect()}
     assert {t for t, _ in got.values()} <= {"/bad/{n}/*", "/good/{n}/*", "/fine/{n}/*", "/*/{n}/*"}
     assert all(got[k] == ("/bad/{n}/*", "block") for k in range(1, 400, 2)) and all(got[k][1] == "allow" for k in range(0, 400, 2))
+
+
+def test_word_salad_and_other_scripts_fail(spark):
+    """Word salad of a language's own words, and junk in Cyrillic among Cyrillic prose, are not kept; prose is."""
+    rnd = random.Random(10)
+    rows, bad = [], set()
+    for lang, letters in (("en", "abcdefghijklmnoprst"), ("ru", "абвгдежзиклмнопрсту")):
+        vocabulary = ["".join(rnd.choice(letters) for _ in range(rnd.randint(2, 8))) for _ in range(300)]
+        follow = {w: rnd.sample(vocabulary, 4) for w in vocabulary}
+        for k in range(150):
+            words = [rnd.choice(vocabulary)]
+            while len(words) < 150:
+                words.append(rnd.choice(follow[words[-1]]))
+            if k < 5:
+                words = [rnd.choice(vocabulary) for _ in words]
+            elif k < 10:
+                words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(2, 8))) for _ in words]
+            bad |= {len(rows)} if k < 10 else set()
+            rows.append((len(rows), " ".join(words), lang))
+    got = {r["doc_id"]: r["kept"] for r in perplexity.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(got[i] for i in bad)
+    assert sum(got[i] for i in got if i not in bad) >= 0.98 * (len(got) - len(bad))
