@@ -2,10 +2,9 @@
 
 1. Segments that vary by form (they hold a digit) become `{n}`; pages are counted per host and shape, so that the tree
    grows with the number of shapes, not of pages.
-2. From the root down, a branch below a node keeps its own name only if it is told apart from the other branches: it
-   must hold a fair share of the node (`RARE` of its pages where a node has more than `WIDE` branches), and the rate of
-   bad labels below it must differ from that of the other branches by a two-proportion z of `Z`. All other branches
-   merge into `*`. Below `DEPTH` levels the rest of a path is `**`.
+2. From the root down, a branch below a node keeps its own name only if it is told apart from the other branches: the
+   rate of bad labels below it must differ from that of the other branches by a two-proportion z of `Z`, whatever its
+   share of the node. All other branches merge into `*`. Below `DEPTH` levels the rest of a path is `**`.
 3. A template's purity is its rate of bad labels, smoothed by `WEIGHT` labels at the host's rate, which is smoothed in
    the same way towards the rate of all pages. Templates over `LIMIT` are blocked.
 
@@ -19,7 +18,9 @@ from pyspark.sql import functions as F
 
 from perfcap.llm.common import ascii_lower
 
-DEPTH, WIDE, RARE, Z, WEIGHT, LIMIT = 6, 20, 0.05, 1.96, 4.0, 0.5
+DEPTH, Z, WEIGHT, LIMIT = 6, 1.96, 4.0, 0.5
+#: Read by the SQL only, which still merges branches under RARE of a node of more than WIDE branches.
+WIDE, RARE = 20, 0.05
 
 #: Rule (host, then path) and verdict.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "allow"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -57,18 +58,13 @@ def template_tree(shapes: DataFrame) -> DataFrame:
         node, branch = Window.partitionBy("host", "template"), Window.partitionBy("host", "template", "segment")
         total = lambda c, w: F.sum(c).over(w)
         rows = rows.withColumn("segment", F.get("segments", F.lit(level)))
-        rows = rows.withColumns({
-            "number": F.dense_rank().over(node.orderBy("segment")),
-            "n": total("pages", branch), "l": total("labelled", branch), "b": total("bad", branch)})
-        rows = rows.withColumns({
-            "branches": F.max("number").over(node), "nn": total("pages", node),
-            "ol": total("labelled", node) - F.col("l"), "ob": total("bad", node) - F.col("b")})
+        rows = rows.withColumns({"l": total("labelled", branch), "b": total("bad", branch)})
+        rows = rows.withColumns({"ol": total("labelled", node) - F.col("l"), "ob": total("bad", node) - F.col("b")})
         pooled = (F.col("b") + F.col("ob")) / (F.col("l") + F.col("ol"))
         spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / F.col("ol")))
         differs = (F.col("l") > 0) & (F.col("ol") > 0) & (pooled > 0) & (pooled < 1) & (
             F.abs(F.col("b") / F.col("l") - F.col("ob") / F.col("ol")) > Z * spread)
-        rare = (F.col("branches") > WIDE) & (F.col("n") < RARE * F.col("nn"))
-        name = F.when(F.col("segment").isin("{n}", "**"), F.col("segment")).when(differs & ~rare, F.col("segment")).otherwise("*")
+        name = F.when(F.col("segment").isin("{n}", "**"), F.col("segment")).when(differs, F.col("segment")).otherwise("*")
         rows = rows.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), name)))
     return rows.select("host", "shape", F.when((F.size("segments") > DEPTH), F.concat("template", F.lit("/**"))).otherwise(F.col("template")).alias("template"))
 

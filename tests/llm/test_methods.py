@@ -297,3 +297,13 @@ def test_word_salad_and_other_scripts_fail(spark):
     got = {r["doc_id"]: r["kept"] for r in perplexity.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert not any(got[i] for i in bad)
     assert sum(got[i] for i in got if i not in bad) >= 0.98 * (len(got) - len(bad))
+
+
+def test_rare_bad_section_is_blocked(spark):
+    """A section of 4 % of a host with 25 sections is told apart by its labels, as it is on a host with fewer."""
+    for sections in (15, 25):
+        rows = [(k, f"http://h.test/part{chr(97 + k % sections)}/x") for k in range(40 * sections)]
+        pages = spark.createDataFrame(rows, "page_id long, url string")
+        labels = spark.createDataFrame([(k, k % sections == 3) for k, _ in rows], "page_id long, bad boolean")
+        got = {r["page_id"]: (r["template"], r["verdict"]) for r in urls.judge(pages, labels, []).collect()}
+        assert all(got[k] == (("/partd/*", "block") if k % sections == 3 else ("/*/*", "allow")) for k, _ in rows)
