@@ -307,3 +307,34 @@ def test_rare_bad_section_is_blocked(spark):
         labels = spark.createDataFrame([(k, k % sections == 3) for k, _ in rows], "page_id long, bad boolean")
         got = {r["page_id"]: (r["template"], r["verdict"]) for r in urls.judge(pages, labels, []).collect()}
         assert all(got[k] == (("/partd/*", "block") if k % sections == 3 else ("/*/*", "allow")) for k, _ in rows)
+
+
+def removed_words(spark, rows):
+    gone = {}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r["removed"]:
+            gone.setdefault(r["doc_id"], []).extend(range(r["first_word"], r["end_word"]))
+    return gone
+
+
+def test_lines_and_verse(spark):
+    """Equal lines of 25 words and passages in short lines are found in any surroundings; words go once."""
+    rnd = random.Random(11)
+    rows, want = [], {}
+    for kind, size, width in (("line", 25, 25), ("verse", 60, 5), ("verse", 60, 8)):
+        for _ in range(25):
+            passage = prose(rnd, size)
+            for copy in range(2):
+                words = list(passage)
+                text = [" ".join(prose(rnd, rnd.randint(8, 20)))] + [" ".join(words[i:i + width]) for i in range(0, size, width)] + [" ".join(prose(rnd, rnd.randint(8, 20)))]
+                at = len(text[0].split())
+                if copy:
+                    want[len(rows)] = kind, width, set(range(at, at + size))
+                rows.append((len(rows), "\n".join(text)))
+    gone = removed_words(spark, rows)
+    assert all(len(w) == len(set(w)) for w in gone.values())
+    shares = {}
+    for i, (kind, width, words) in want.items():
+        shares.setdefault((kind, width), []).append(len(words & set(gone.get(i, []))) / len(words))
+    assert min(shares["line", 25]) == 1
+    assert min(shares["verse", 5]) >= 0.3 and min(shares["verse", 8]) >= 0.3
