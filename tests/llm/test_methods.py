@@ -317,15 +317,17 @@ def removed_words(spark, rows):
     return gone
 
 
-def test_lines_and_verse(spark):
-    """Equal lines of 25 words and passages in short lines are found in any surroundings; words go once."""
+def test_lines_verse_and_edited_paragraphs(spark):
+    """Equal lines of 25 words, passages in short lines and edited lines are found in any surroundings; words go once."""
     rnd = random.Random(11)
     rows, want = [], {}
-    for kind, size, width in (("line", 25, 25), ("verse", 60, 5), ("verse", 60, 8)):
+    for kind, size, width in (("line", 25, 25), ("verse", 60, 5), ("verse", 60, 8), ("edit", 60, 60)):
         for _ in range(25):
             passage = prose(rnd, size)
             for copy in range(2):
                 words = list(passage)
+                if kind == "edit" and copy:
+                    words[rnd.randrange(10, 50)] = "edited"
                 text = [" ".join(prose(rnd, rnd.randint(8, 20)))] + [" ".join(words[i:i + width]) for i in range(0, size, width)] + [" ".join(prose(rnd, rnd.randint(8, 20)))]
                 at = len(text[0].split())
                 if copy:
@@ -338,3 +340,4 @@ def test_lines_and_verse(spark):
         shares.setdefault((kind, width), []).append(len(words & set(gone.get(i, []))) / len(words))
     assert min(shares["line", 25]) == 1
     assert min(shares["verse", 5]) >= 0.3 and min(shares["verse", 8]) >= 0.3
+    assert sum(x == 1 for x in shares["edit", 60]) >= 24
