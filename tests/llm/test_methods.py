@@ -341,3 +341,38 @@ def test_lines_verse_and_edited_paragraphs(spark):
     assert min(shares["line", 25]) == 1
     assert min(shares["verse", 5]) >= 0.3 and min(shares["verse", 8]) >= 0.3
     assert sum(x == 1 for x in shares["edit", 60]) >= 24
+
+
+def test_long_lists_are_split(spark):
+    """No list that is compared in one task holds many more than 2 LONG paragraphs, and all links are found."""
+    rnd = random.Random(12)
+    common, sets = list(range(1, 17)), []
+    for k in range(60):
+        sets.append(np.array(sorted([*common[:rnd.choice([4, 15, 16])], *rnd.sample(range(100, 130), rnd.choice([1, 2, 3]))]), "uint64"))
+    near = spark.createDataFrame([(7, k, 60) for k in range(60)], "list long, node long, size long")
+    table = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "node long, shingles binary")
+    size, passages.LONG = passages.LONG, 8
+    try:
+        scratch = Scratch(spark)
+        lists, links = passages.bounded_lists(near, table, scratch)
+        lists = scratch.write(lists)
+    finally:
+        passages.LONG = size
+    assert lists.groupBy("list").count().agg(F.max("count")).first()[0] <= 3 * 8
+    pairs = {tuple(r) for r in links.unionByName(passages.links_within(lists.join(table, "node"))).collect()}
+    part = list(range(60))
+
+    def root(i, of):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    got = list(range(60))
+    for a, b in pairs:
+        got[max(root(a, got), root(b, got))] = min(root(a, got), root(b, got))
+    for a in range(60):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                part[max(root(a, part), root(b, part))] = min(root(a, part), root(b, part))
+    assert [root(i, got) for i in range(60)] == [root(i, part) for i in range(60)]
