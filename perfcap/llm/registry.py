@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfcap.llm import bpe, chat, decontam, lines, ngram_join, passages, perplexity, tokencount, toxicity, urls
+from perfcap.llm import bpe, chat, decontam, lines, ngram_join, passages, perplexity, prefix_trie, ranked_search, simhash, tokencount, toxicity, urls
 from perfcap.llm.common import table, tokenizer_path
 from perfcap.llm.sql import SQL  # noqa: F401
 
@@ -72,7 +72,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that rank highest for each benchmark item."""
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, as components of links at two differing bits or fewer."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), n=3, budget=2)
+
+
 QUERIES = {
     "op1_quality_perplexity": op1_quality_perplexity, "op2_chat_formatting": op2_chat_formatting, "op3_substring_dedup": op3_substring_dedup, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_url_filters": op7_url_filters,
     "op8_bpe": op8_bpe, "op9_line_dedup": op9_line_dedup, "op10_token_counts": op10_token_counts,
+    "op11_ranked_search": op11_ranked_search, "op12_prefix_trie": op12_prefix_trie, "op13_simhash": op13_simhash,
 }

@@ -94,4 +94,45 @@ twice as (select a, b from links union all select b, a from links),
 reach as (select doc_id, doc_id as other from sizes union select r.doc_id, t.b from reach r join twice t on t.a = r.other)
 select s.doc_id, n as n_shingles, min(other) as component_id from sizes s join reach using (doc_id) group by all"""
 
-SQL = {"op6_ngram_jaccard": OP6, "op9_line_dedup": OP9, "op2_chat_formatting": OP2, "op7_url_filters": _op7()}
+
+OP11 = """
+with words as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ts from documents where text is not null),
+docs as (select row_number() over () as d, doc_id, ts, len(ts)::bigint as n from words where len(ts) > 0),
+total as (select count(*)::bigint as docs, sum(n)::bigint as words from docs),
+tf as (select d, t, count(*)::bigint as tf from (select d, unnest(ts) as t from docs) group by d, t),
+asked as (select distinct item_id, t from (select item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as t from benchmark where text is not null)),
+weight as (select t, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w
+  from (select t, count(*) as df from tf group by t), total),
+scored as (
+  select a.item_id, d.doc_id, d.d, sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * (50 + (50 * d.n * total.docs) // total.words))))::bigint as score
+  from asked a join tf f on f.t = a.t join weight w on w.t = a.t join docs d on d.d = f.d, total group by all)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls first)::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 50"""
+
+_CRC = """xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(range(1, length(c::varchar) + 1),
+  lambda i: [ord((c::varchar)[i])::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda r, x: case when x >= 0 then xor(r, x) else xor(r >> 1, 3988292384 * (r & 1)) end), 4294967295)"""
+
+OP12 = f"""
+with t as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, turn from conversations where conv_id is not null),
+seqs as (select c, list({{'role': role, 'text': text}} order by turn nulls first, role, md5(text)) as turns from t group by c),
+h as (select c, turns, c - c % 100 as base, {_CRC} % 6 as h from seqs),
+whole as (select a.c, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) as turns from h a left join seqs b on b.c = a.base),
+prefixes as (select c, len(turns) as n, d as depth, turns[1:d] as prefix from (select c, turns, unnest(range(0, len(turns) + 1)) as d from whole)),
+nodes as (select depth, prefix, count(*) as n_convs, min(c) as conv_id,
+  sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (n = depth), '')) as ends_sha256 from prefixes group by depth, prefix),
+kids as (select depth - 1 as depth, prefix[1:depth - 1] as prefix, count(*) as n_children from nodes where depth > 0 group by all),
+full_nodes as (select n.*, coalesce(k.n_children, 0) as n_children,
+  (n_convs - 1) * case when n.depth = 0 then 0 else length(n.prefix[n.depth].text) end as own
+  from nodes n left join kids k on k.depth = n.depth and k.prefix = n.prefix),
+above as (select u.own, u.n_children, a as depth, u.prefix[1:a] as prefix from (select *, unnest(range(0, depth + 1)) as a from full_nodes) u),
+below as (select depth, prefix, sum(own)::bigint as saved_tokens, count(*) filter (n_children = 0) as n_leaves from above group by depth, prefix)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+from full_nodes n join below b on b.depth = n.depth and b.prefix = n.prefix
+left join nodes p on n.depth > 0 and p.depth = n.depth - 1 and p.prefix = n.prefix[1:n.depth - 1]"""
+
+SQL = {"op6_ngram_jaccard": OP6, "op9_line_dedup": OP9, "op2_chat_formatting": OP2, "op7_url_filters": _op7(), "op11_ranked_search": OP11, "op12_prefix_trie": OP12}
