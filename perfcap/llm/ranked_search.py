@@ -9,7 +9,8 @@ hashes with document counts, so the index does not depend on any query.
 1. Exact document counts of the terms from the rows' term lists, hence the weights.
 2. A term's bitmaps, joined by AND, hold at least the documents that have it; the levels bound its count from above.
    Weighted sums of these bitmaps give no less than each document's score for each item.
-3. The documents with the `k` highest bounds of each item are scored exactly; the k-th of these scores is a threshold.
+3. The documents with the `SEEDS` * k highest bounds of each item are scored exactly; the k-th best of these scores is a
+   threshold.
 4. Every document whose bound reaches the threshold is scored exactly from its text; tasks keep their k best of each
    item, and the best of these are the answer. No document is left out that could belong to it.
 
@@ -32,10 +33,12 @@ from perfcap.llm.tables import Scratch
 #: Documents and bytes of text in a row of the index, bits for an entry of a signature (to the next power of two), hashes.
 DOCS = 1024
 BYTES = 1 << 20
-BITS = 8
+BITS = 16
 HASHES = 4
 #: Pairs of item and term in a block of items.
 TERMS = 20_000
+#: Times k documents that are scored for an item's threshold.
+SEEDS = 4
 
 _KEEP = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256)).lower()
 _LEVEL, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -243,7 +246,7 @@ def _thresholds(index: DataFrame, shipped, k: int) -> np.ndarray:
     """For each item a score that k documents reach, or 1."""
     query = shipped.value
     wanted = defaultdict(lambda: defaultdict(list))
-    for r in _highest_bounds(index, shipped, k).collect():
+    for r in _highest_bounds(index, shipped, SEEDS * k).collect():
         wanted[r["row"]][r["pos"]].append(r["item"])
     asked = index.sparkSession.sparkContext.broadcast({row: dict(at) for row, at in wanted.items()})
 
@@ -257,9 +260,9 @@ def _thresholds(index: DataFrame, shipped, k: int) -> np.ndarray:
 
     least = np.ones(len(query.items), "int64")
     scored = index.select("row", "texts").mapInArrow(run, "item bigint, score bigint")
-    for r in scored.groupBy("item").agg(F.count("*").alias("n"), F.min("score").alias("least")).collect():
-        if r["n"] == k:
-            least[r["item"]] = r["least"]
+    best = Window.partitionBy("item").orderBy(F.desc("score"))
+    for r in scored.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).collect():
+        least[r["item"]] = r["score"]
     return least
 
 
