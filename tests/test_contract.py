@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from perfcap.plans import registry
 from tools.check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -14,7 +15,8 @@ SAMPLE = ["a1_a5_series_stats_events", "f3_duration_percent_events", "w4_gap_cou
 def test_every_oracle_has_a_query():
     queries, sql = entry_module.queries(), entry_module.oracle_sql()
     assert set(sql) <= set(queries)
-    assert set(queries) - set(sql) == {"k2_markdown", "k3_html"}
+    assert set(registry.QUERIES) <= set(queries)
+    assert set(registry.QUERIES) - set(registry.SQL) == {"k2_markdown", "k3_html"}
 
 
 @pytest.mark.parametrize("name", SAMPLE)
