@@ -50,7 +50,9 @@ class Splitter:
 
     def segment(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text):
-            return self.find(text.lower() if self.lower else text)
+            plain = text.lower() if self.lower else text
+            if not self.lower or PLAIN.fullmatch(plain):  # some letters have their lower case beyond
+                return self.find(plain)
         if self.library.normalizer is not None:
             text = self.library.normalizer.normalize_str(text)
         back = self.bytes_of
