@@ -33,8 +33,7 @@ w{level} as (select *, sum(pages) over br as n, sum(labelled) over br as l, sum(
 t{level} as (select host, shape, segments, pages, labelled, bad, case when segment is null then template else template || '/' || case
   when segment in ('{{n}}', '**') then segment
   when l > 0 and ol > 0 and b + ob > 0 and b + ob < l + ol
-    and abs(b / l - ob / ol) > {urls.Z} * sqrt((b + ob) / (l + ol) * (1 - (b + ob) / (l + ol)) * (1 / l + 1 / ol))
-    and not (branches > {urls.WIDE} and n < {urls.RARE} * nn) then segment else '*' end end as template from w{level})""")
+    and abs(b / l - ob / ol) > {urls.Z} * sqrt((b + ob) / (l + ol) * (1 - (b + ob) / (l + ol)) * (1 / l + 1 / ol)) then segment else '*' end end as template from w{level})""")
         last = f"t{level}"
     def fits(rule: str) -> str:
         host, slash, path = rule.partition("/")
@@ -73,8 +72,12 @@ with docs as (select doc_id, text, string_split(text, chr(10)) as ls from docume
 sizes as (select (2 ^ unnest(range(0, 24)))::bigint as h),
 starts as (select doc_id, ls, h, unnest(range(1, len(ls) - h + 2)) as i from docs, sizes where h <= len(ls)),
 windows as (select doc_id, h, i, array_to_string(ls[i:i + h - 1], chr(10)) as body from starts),
-later as (select * from windows qualify row_number() over (partition by h, body order by doc_id, i) > 1),
-gone as (select distinct doc_id, unnest(range(i, i + h)) as i from later where length(body) >= {lines.MIN_CHARS}),
+later as (select doc_id, h, i from windows qualify row_number() over (partition by h, body order by doc_id, i) > 1),
+marked as (select *, coalesce(i - lag(i) over of_length >= h, true)::int as new from later window of_length as (partition by doc_id, h order by i)),
+numbered as (select *, sum(new) over (partition by doc_id, h order by i rows unbounded preceding) as run from marked),
+runs as (select doc_id, min(i) as a, max(i) + h as b from numbered group by doc_id, h, run),
+gone as (select distinct doc_id, unnest(range(a, b)) as i from runs join docs using (doc_id)
+  where length(array_to_string(ls[a:b - 1], chr(10))) >= {lines.MIN_CHARS}),
 counted as (select doc_id, count(*) as n, list(i) as numbers from gone group by doc_id)
 select d.doc_id, coalesce(len(ls), 0)::bigint as n_lines, coalesce(c.n, 0)::bigint as n_deleted,
   sha256(array_to_string(list_filter(ls, lambda x, i: c.numbers is null or not list_contains(c.numbers, i)), chr(10))) as text_sha256

@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from perfcap.llm.common import ascii_lower
 
 DEPTH, Z, WEIGHT, LIMIT = 6, 1.96, 4.0, 0.5
-#: Read by the SQL only, which still merges branches under RARE of a node of more than WIDE branches.
-WIDE, RARE = 20, 0.05
 
 #: Rule (host, then path) and verdict.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "allow"), ("com/fr/", "allow"), ("com/de/", "block")]
