@@ -1,9 +1,10 @@
 """Operator 6: exact Jaccard join of word-shingle sets by T-occurrence search (DivideSkip), as components of links.
 
-1. Texts with equal sets are one class. All shingles are counted in a table of `COUNTERS` counters; shingles are ordered
-   by counter, then hash, the rare ones first.
-2. Two sets that link share a shingle among their first n - ceil(j n) + 1 (the prefix). Prefixes are dealt by shingle
-   hash; shingles with two classes or more become inverted lists.
+1. Texts with equal sets are one class. Blocks of texts deal their shingles to buckets, which count them over all blocks
+   and answer with the counts of those found twice or more; shingles are ordered by count, then hash, the rare ones first.
+2. Two sets that link share a shingle among their first n - ceil(j n) + 1 (the prefix). Shingles nobody else has come
+   first and need no list, so a text whose shared shingles are under that number of its set has none. Prefixes are dealt
+   by shingle; shingles with two classes or more become inverted lists.
 3. Lists over `LONG` classes would pair with themselves; there every class is first compared with one pivot, the class
    with most list entries (the text that all others were copied from has no rare shingles of its own). What links is one
    component and is not paired again.
@@ -16,7 +17,7 @@
 Words are runs of anything but ASCII white space, A-Z lower-cased. Null or empty text: empty set, no links. Fewer words
 than n: the whole sequence is the one shingle. Rows that repeat a text are one class; a null id gets the smallest id of
 its component, or null. An empty table gives no rows. Extra columns are not read. Shingles and classes are told apart by
-64-bit hashes.
+64-bit hashes; in lists two shingles may share a key, which costs a look at the sets.
 """
 
 import hashlib
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from perfcap.llm.components import components
 from perfcap.llm.tables import Scratch
 
-COUNTERS = 1 << 20
+#: Texts of a block, and owners of a key in a block beyond which they stay with the block.
+BLOCK = 4096
+HEAVY = 32
 LONG = 64
 #: Bits of the filter by which the texts of pairs are found again, and DivideSkip's usual weight of a probe.
 BITS = 1 << 23
@@ -65,10 +68,6 @@ class Shingler:
         return np.unique(out)
 
 
-def _counter(h):
-    return (h >> np.uint64(44)).astype("int64")  # 20 bits: COUNTERS
-
-
 def needed(a: int, b: int, num: int, den: int) -> int:
     """Smallest overlap at which sets of a and b shingles reach num/den."""
     return -(-num * (a + b) // (num + den))
@@ -78,55 +77,168 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def shingle_counts(docs: DataFrame, n: int):
-    """How many shingle occurrences fall on each counter, over all texts."""
-    import pyarrow as pa
+def _dealt(docs: DataFrame, n: int, buckets: int, kind: str) -> DataFrame:
+    """Blocks of texts: to each bucket of shingles the block's distinct keys with counts and owners, and a row for itself.
+
+    A key is (bucket, 32 bits). Owners are places of distinct sets in the block. Keys of more than `HEAVY` owners leave
+    those in the block's own row (bucket under 0), so that a bucket gets a bounded share of each block.
+    """
+    schema = ("bucket int, block bigint, keys binary, counts binary, owners binary, "
+              f"ids array<{kind}>, places binary, nodes binary, sizes binary, heavy binary, heavy_counts binary, heavy_owners binary")
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        shingler, block = Shingler(n), TaskContext.get().partitionId() << 32
+        names = [c.split()[0] for c in schema.split(", ")]
+
+        def settle(ids, sets):
+            known: dict[int, int] = {}
+            places = np.array([known.setdefault(int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True), len(known))
+                               for h in sets], "<u2")
+            own = [sets[i] for i in np.unique(places, return_index=True)[1].tolist()]
+            flat, owner = np.concatenate(own), np.repeat(np.arange(len(own), dtype="<u2"), [len(h) for h in own])
+            key = (flat % np.uint64(buckets) << np.uint64(32)) | (flat >> np.uint64(32))
+            order = np.argsort(key, kind="stable")
+            key, owner = key[order], owner[order]
+            first = np.flatnonzero(np.concatenate([key[:1] == key[:1], key[1:] != key[:-1]]))
+            count = np.diff(np.append(first, len(key)))
+            key = key[first]
+            wide = count > HEAVY
+            light = np.repeat(~wide, count)
+            heavy = [key[wide].tobytes(), count[wide].astype("<u2").tobytes(), owner[~light].tobytes()]
+            cuts = np.searchsorted(key, np.arange(buckets + 1, dtype="uint64") << np.uint64(32))
+            places_of = np.concatenate([[0], np.cumsum(np.where(wide, 0, count))])
+            owner = owner[light]
+            rows = [(b, block, (key[x:y] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), count[x:y].astype("<u2").tobytes(),
+                     owner[places_of[x]:places_of[y]].tobytes(), *[None] * 7) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if x < y]
+            rows.append((-1 - block % buckets, block, None, None, None, ids, places.tobytes(), np.array(list(known), "<i8").tobytes(),
+                         np.array([len(h) for h in own], "<i8").tobytes(), *heavy))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+        for batch in batches:
+            types = [pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.list_(batch.schema.field(0).type), *[pa.binary()] * 6]
+            ids, sets, size = [], [], 0
+            for i in range(batch.num_rows):
+                ids.append(batch.column(0)[i].as_py())
+                sets.append(shingler(batch.column(1)[i].as_py()))
+                size += len(sets[-1])
+                if len(ids) == BLOCK or size > 512 * BLOCK or i == batch.num_rows - 1:
+                    yield settle(ids, sets)
+                    ids, sets, size, block = [], [], 0, block + 1
+
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
+
+
+def _counted(dealt: DataFrame, buckets: int) -> DataFrame:
+    """Each block's keys that are found twice or more over all blocks, with that count; blocks' own rows as they are."""
+    names = dealt.columns[1:]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema.fields[1:])
 
-    slices = 64
-    width = COUNTERS // slices
+    def run(batches):
+        import pyarrow as pa
+
+        held, at = [], None
+
+        def settle():
+            keys, counts = (np.concatenate([np.frombuffer(r[i], t) for r in held]) for i, t in ((1, "<u4"), (2, "<u2")))
+            known, back = np.unique(keys, return_inverse=True)
+            total = np.bincount(back, weights=counts).astype("int64")[back]
+            out, start = [], 0
+            for block, own, count, owners in held:
+                size = len(own) // 4
+                part = total[start:start + size]
+                start += size
+                on = part > 1
+                if not on.any():
+                    continue
+                count = np.frombuffer(count, "<u2")
+                kept = np.frombuffer(owners, "<u2")[np.repeat(on, np.where(count > HEAVY, 0, count))]
+                key = (np.uint64(at) << np.uint64(32)) | np.frombuffer(own, "<u4")[on]
+                out.append((block, key.tobytes(), count[on].tobytes(), kept.tobytes(), part[on].clip(0, 2**32 - 1).astype("<u4").tobytes()))
+            if out:
+                block, key, count, kept, part = zip(*out)
+                columns = {"block": block, "keys": key, "counts": count, "owners": kept, "places": part}
+                return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(len(out), t) for c, t in zip(names, types)], names)
 
-    def count(batches):
-        shingler, total, held = Shingler(n), np.zeros(COUNTERS, "int64"), []
         for batch in batches:
-            for value in batch.column(0):
-                held.append(_counter(shingler(value.as_py())).astype("int32"))
-                if len(held) > 2_000:
-                    total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+            types = [f.type for f in batch.schema][1:]
+            bucket = batch.column(0).to_numpy()
+            if (bucket < 0).any():
+                yield batch.filter(pa.array(bucket < 0)).select(names)
+            for i in np.flatnonzero(bucket >= 0).tolist():
+                if held and bucket[i] != at:
+                    if (found := settle()) is not None:
+                        yield found
                     held = []
-        total += np.bincount(np.concatenate([*held, np.zeros(0, "int32")]), minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(slices), pa.int32()), pa.array([total[i * width:(i + 1) * width].tobytes() for i in range(slices)])], ["slice", "counts"])
+                at = int(bucket[i])
+                held.append(tuple(batch.column(c)[i].as_py() for c in (1, 2, 3, 4)))
+        if held and (found := settle()) is not None:
+            yield found
 
-    def add(table):
-        total = sum(np.frombuffer(c.as_buffer(), "int64") for c in table.column("counts"))
-        return pa.table([table.column("slice")[:1], pa.array([total.tobytes()])], ["slice", "counts"])
+    parts = max(1, buckets // 8)
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
-    kind = "slice int, counts binary"
-    rows = docs.select("text").mapInArrow(count, kind).groupBy("slice").applyInArrow(add, kind).collect()
-    parts = {r["slice"]: np.frombuffer(r["counts"], "int64") for r in rows}
-    return np.concatenate([parts.get(i, np.zeros(width, "int64")) for i in range(slices)]).clip(0, 2**31 - 1).astype("int32")
 
+def shingle_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, node, n, prefix) of every row; prefix: the keys of its rarest shingles, as bytes, without those no other has.
 
-def shingle_sets(docs: DataFrame, n: int, num: int, den: int, counts) -> DataFrame:
-    """(doc_id, node, n, prefix) of every row; prefix: the hashes of its rarest shingles, as bytes."""
-    shipped = docs.sparkSession.sparkContext.broadcast(counts)
+    docs is read once, in an order that must be the same should a part be read again: a table, not a shuffle's result.
+    """
+    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        shingler = Shingler(n)
+        def settle(held, own):
+            ids, places, nodes, sizes, heavy, many, owners = own
+            places, nodes, sizes = np.frombuffer(places, "<u2"), np.frombuffer(nodes, "<i8"), np.frombuffer(sizes, "<i8")
+            heavy, many, owners = np.frombuffer(heavy, "<u8"), np.frombuffer(many, "<u2").astype("int64"), np.frombuffer(owners, "<u2")
+            ends = np.cumsum(many)
+            keys, owner, total = [np.zeros(0, "<u8")], [np.zeros(0, "<u2")], [np.zeros(0, "<u4")]
+            for key, count, light, freq in held:
+                key, count, light, freq = (np.frombuffer(v, t) for v, t in ((key, "<u8"), (count, "<u2"), (light, "<u2"), (freq, "<u4")))
+                few = count <= HEAVY
+                keys.append(np.repeat(key[few], count[few]))
+                total.append(np.repeat(freq[few], count[few]))
+                owner.append(light)
+                for k, f in zip(key[~few], freq[~few]):
+                    i = int(np.searchsorted(heavy, k))
+                    owner.append(owners[ends[i] - many[i]:ends[i]])
+                    keys.append(np.full(many[i], k))
+                    total.append(np.full(many[i], f))
+            keys, owner, total = (np.concatenate(v) for v in (keys, owner, total))
+            order = np.lexsort((keys, total, owner))
+            keys, owner = keys[order], owner[order].astype("int64")
+            shared = np.bincount(owner, minlength=len(sizes))
+            start = np.cumsum(shared) - shared
+            alone = sizes - shared
+            take = np.maximum(0, np.minimum(shared, sizes - -(-num * sizes // den) + 1 - alone))
+            prefix = [keys[a:a + k].astype("<u8").tobytes() for a, k in zip(start.tolist(), take.tolist())]
+            at = places.astype("int64")
+            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(nodes[at]), pa.array(sizes[at]), pa.array([prefix[i] for i in at.tolist()], pa.binary())],
+                                              ["doc_id", "node", "n", "prefix"])
+
+        at, held, own = None, [], None
         for batch in batches:
-            node, size, prefix = [], [], []
-            for value in batch.column(1):
-                h = shingler(value.as_py())
-                order = np.lexsort((h, shipped.value[_counter(h)]))[:prefix_size(len(h), num, den)] if len(h) else []
-                node.append(int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True))
-                size.append(len(h))
-                prefix.append(h[order].tobytes() if len(h) else b"")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.binary())], ["doc_id", "node", "n", "prefix"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, n bigint, prefix binary")
+            id_type = batch.schema.field("ids").type.value_type
+            for row in zip(*(c for c in batch.columns)):
+                block = row[0].as_py()
+                if at is not None and block != at:
+                    yield settle(held, own)
+                    held, own = [], None
+                at = block
+                if row[4].is_valid:
+                    own = [v.as_py() for v in row[4:]]
+                else:
+                    held.append(tuple(row[i].as_py() for i in (1, 2, 3, 5)))
+        if at is not None:
+            yield settle(held, own)
+
+    counted = _counted(_dealt(docs, n, buckets, kind), buckets)
+    return counted.repartition(max(1, buckets // 8), "block").sortWithinPartitions("block").mapInArrow(run, f"doc_id {kind}, node bigint, n bigint, prefix binary")
 
 
 def _groups(batches):
@@ -329,7 +441,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num:
 def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id: the smallest id that links reach, the own included."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.write(shingle_sets(docs, n, num, den, shingle_counts(docs, n)))
+    rows = scratch.write(shingle_sets(docs, n, num, den))
     classes = scratch.write(rows.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     members = scratch.write(inverted_lists(classes))
