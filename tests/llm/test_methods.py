@@ -241,17 +241,24 @@ def test_line_runs(spark):
     rnd = random.Random(8)
     pool = [f"line number {k} with some more words" for k in range(6)] + ["a", "", "b"]
     rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 12)))) for i in range(40)]
+    rows.append((40, "\n".join(["12345678", "abcdefgh", "ABCDEFGH", "own line of this text"])))
+    rows.append((41, "\n".join(["other", "12345678", "abcdefgh", "ABCDEFGH"])))  # 26 characters as a run, 17 as windows
     seen: dict = {}
     gone = {i: set() for i, _ in rows}
     for i, text in rows:
         ls = text.split("\n")
         h = 1
         while h <= len(ls):
-            for k in range(len(ls) - h + 1):
-                body = "\n".join(ls[k:k + h])
-                if seen.setdefault((h, body), (i, k)) != (i, k) and len(body) >= lines.MIN_CHARS:
-                    gone[i] |= set(range(k, k + h))
+            later = [k for k in range(len(ls) - h + 1) if seen.setdefault((h, "\n".join(ls[k:k + h])), (i, k)) != (i, k)]
+            runs: list[list[int]] = []
+            for k in later:
+                if runs and k < runs[-1][1]:
+                    runs[-1][1] = k + h
+                else:
+                    runs.append([k, k + h])
+            gone[i] |= {x for a, b in runs if len("\n".join(ls[a:b])) >= lines.MIN_CHARS for x in range(a, b)}
             h *= 2
+    assert gone[41] == {1, 2, 3}
     got = {r["doc_id"]: (r["n_deleted"], r["text"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: (len(gone[i]), "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])) for i, t in rows}
 
@@ -376,3 +383,23 @@ def test_long_lists_are_split(spark):
             if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
                 part[max(root(a, part), root(b, part))] = min(root(a, part), root(b, part))
     assert [root(i, got) for i in range(60)] == [root(i, part) for i in range(60)]
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pretokens_of_latin_letters(file):
+    """Every letter up to U+024F, alone and among others, is split as the library splits it."""
+    from perfcap.llm import pretokens
+
+    split = (pretokens.word_level if file.startswith("word") else pretokens.byte_level)(tokenizer_path(file))
+    library = pretokens.load(tokenizer_path(file))
+    back = pretokens.byte_alphabet()
+
+    def plain(text):
+        text = library.normalizer.normalize_str(text) if library.normalizer is not None else text
+        return [bytes(back[c] for c in piece).decode("utf-8", "surrogateescape") for piece, _ in library.pre_tokenizer.pre_tokenize_str(text)]
+
+    rnd = random.Random(11)
+    chars = [chr(c) for c in range(0x80, 0x250)]
+    texts = [f"a{c}b {c}'s {c}{c} 1{c}2" for c in chars] + ["".join(rnd.choices([*chars, "a", " ", "'s", "7", "\n", "!"], k=rnd.randint(1, 30))) for _ in range(3000)]
+    for text in texts:
+        assert split(text) == plain(text), ascii(text)
