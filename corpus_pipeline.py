@@ -8,6 +8,18 @@ from perfcap.llm.common import WORD, table, tokenizer_path
 from perfcap.llm.tables import Scratch
 
 TOXIC = 0.5
+#: Share of its characters under which a document that lost repeated lines goes too: what is left of a copy.
+LEFT = 0.3
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with `_row`, a number for each pair of id (null too) and text: stages drop rows by it, not by id alone."""
+    return docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+
+
+def as_ids(rows: DataFrame) -> DataFrame:
+    """`_row` in place of the ids, for operators that answer with ids."""
+    return rows.select(F.col("_row").alias("doc_id"), "text")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,23 +30,36 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated lines deleted; documents that held nothing else go."""
-    cut = lines.dedup_lines(docs)
-    empty = (F.col("n_deleted") > 0) & ~F.col("text").rlike(WORD)
-    return cut.where(F.coalesce(~empty, F.lit(True))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Later copies of repeated lines deleted; documents that keep no word, or under LEFT of their characters, go."""
+    cut = lines.dedup_lines(docs.withColumn("_before", F.length("text")))
+    rest = (F.col("n_deleted") > 0) & (~F.col("text").rlike(WORD) | (F.length("text") < LEFT * F.col("_before")))
+    return cut.where(F.coalesce(~rest, F.lit(True))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose sets of five-word shingles reach 0.8, the one with the smallest id of each component."""
-    linked = ngram_join.similar_components(docs, n=5, num=80, den=100)
-    gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of documents whose sets of five-word shingles reach 0.8, the one with the smallest id of each component.
+
+    A null id comes after all others. Rows that repeat id and text are one document; texts without words all stay.
+    """
+    rows, scratch = keyed(docs), Scratch(spark)
+    linked = scratch.write(ngram_join.similar_components(as_ids(rows), n=5, num=80, den=100).withColumnsRenamed(
+        {"doc_id": "_row", "component_id": "component"}).where("n_shingles > 0").groupBy("_row", "component").agg(F.count("*").alias("copies")))
+    ids = rows.select("_row", "doc_id").distinct()
+    first = linked.join(ids, "_row").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
+    gone = linked.join(first, "component").where("_row <> first._row").select("_row")
+    kept = rows.join(gone, "_row", "left_anti")
+    often = linked.where("copies > 1").select("_row")
+    if often.isEmpty():
+        return kept.select(docs.columns)
+    once = kept.join(often, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.join(often, "_row", "left_anti").unionByName(once).select(docs.columns)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    found = decontam.passages(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    rows = keyed(docs)
+    found = decontam.passages(as_ids(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(found, "_row", "left_anti").select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
