@@ -24,14 +24,12 @@ def default_step_seconds(bounds: DataFrame) -> DataFrame:
     return bounds.withColumn("default_step_s", step)
 
 
-def rolling_windows(samples: DataFrame, specs: DataFrame, percentiles: bool = True, materialize=None) -> DataFrame:
-    """Value of every rolling window with enough samples.
+def panes(samples: DataFrame, specs: DataFrame) -> DataFrame:
+    """Samples of each series and spec, combined by the windows that cover them.
 
-    ``specs``: ``spec_id, metric, instance, duration_s, step_s, min_samples, aggregation`` - a handful of
-    rows, broadcast.  ``samples`` carry ``metric`` and ``instance``.  Each sample is sent to the windows
-    that cover it (``duration / step`` of them), so the windows are one grouped aggregation.
-    ``percentiles=False`` says that no spec asks for one; with percentiles the placed samples are read several times
-    and ``materialize`` writes them once.
+    A step is cut where windows start and where they end, so all samples between two cuts lie in the same windows, from
+    ``k0`` to ``k1``; whatever the number of samples, a step has two panes.  ``ranked`` is null but for percentile specs,
+    whose panes keep their values with counts.
     """
     s = samples.where(F.col("value").isNotNull())
     spec = F.broadcast(specs.select(
@@ -46,31 +44,46 @@ def rolling_windows(samples: DataFrame, specs: DataFrame, percentiles: bool = Tr
         *SERIES, F.unix_micros("first_valid_ts").alias("_first"), "default_step_s")
     placed = skew.salted_join(used, bounds, SERIES, F.col("ts")).join(spec, match)
 
-    duration = F.col("duration_s") * F.lit(_TICKS)
     step = F.when(F.col("step_s") > 0, F.col("step_s") * F.lit(_TICKS)).otherwise(
         F.floor(F.col("default_step_s") * F.lit(float(_TICKS))).cast("long"))
     offset = (F.unix_micros("ts") - F.col("_first")) * F.lit(10)
-    placed = placed.select(
-        *SERIES, "spec_id", "aggregation", "min_samples", "duration_s", "_first", "value",
-        step.alias("_step"), offset.alias("_off"), duration.alias("_dur"))
-    last = F.expr("_off div _step")
-    first = F.expr("CASE WHEN _off < _dur THEN 0L ELSE (_off - _dur) div _step + 1 END")
+    ranked = F.when(~F.col("aggregation").isin("avg", "min", "max"), F.col("value"))
+    placed = placed.select(*SERIES, "spec_id", "aggregation", "min_samples", "duration_s", "_first", "value", ranked.alias("ranked"),
+                           step.alias("_step"), offset.alias("_off"), (F.col("duration_s") * F.lit(_TICKS)).alias("_dur"))
+    # Sample in step k1, in or past the part that the window ending in it covers.
+    past = (F.expr("_off % _step") >= F.expr("_dur % _step")).cast("long")
+    placed = placed.withColumn("k1", F.expr("_off div _step")).withColumn(
+        "k0", F.greatest(F.lit(0).cast("long"), F.col("k1") - F.expr("_dur div _step") + past))
     # With a step longer than the window a sample may lie between two windows.
-    placed = placed.withColumn("_k0", first).withColumn("_k1", last).where("_k0 <= _k1")
-    if percentiles and materialize is not None:
-        placed = materialize(placed)
-    placed = placed.withColumn("k", F.explode(F.sequence("_k0", "_k1")))
+    return placed.where("k0 <= k1").groupBy(*_OF_WINDOW, "k0", "k1", "ranked").agg(
+        F.count("*").alias("n"), F.sum("value").alias("total"), least(F.col("value")).alias("low"), greatest(F.col("value")).alias("high"))
+
+
+_OF_WINDOW = [*SERIES, "spec_id", "aggregation", "min_samples", "duration_s", "_first", "_step"]
+
 
-    keys = [*SERIES, "spec_id", "aggregation", "min_samples", "duration_s", "_first", "_step", "k"]
-    aggs = [F.count("*").alias("n"), F.avg("value").alias("avg"), least(F.col("value")).alias("min"),
-            greatest(F.col("value")).alias("max")]
+def rolling_windows(samples: DataFrame, specs: DataFrame, percentiles: bool = True, materialize=None) -> DataFrame:
+    """Value of every rolling window with enough samples.
+
+    ``specs``: ``spec_id, metric, instance, duration_s, step_s, min_samples, aggregation`` - a handful of
+    rows, broadcast.  ``samples`` carry ``metric`` and ``instance``.  Not samples but panes are sent to the windows
+    that cover them (at most twice ``duration / step``), so the windows are one grouped aggregation.
+    ``percentiles=False`` says that no spec asks for one; with percentiles the panes and their value counts are read
+    several times and ``materialize`` writes them once.
+    """
+    parts = panes(samples, specs)
+    if percentiles and materialize is not None:
+        parts = materialize(parts)
+    placed = parts.withColumn("k", F.explode(F.sequence("k0", "k1")))
+    keys = [*_OF_WINDOW, "k"]
+    values = placed.groupBy(*keys).agg(
+        F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("avg"), least(F.col("low")).alias("min"), greatest(F.col("high")).alias("max"))
     if percentiles:
-        # Only percentile specs feed the quantiles; for the others the array stays null.
-        ranked = F.when(~F.col("aggregation").isin("avg", "min", "max"), F.col("value"))
-        values = skew.grouped_quantiles(placed.withColumn("_ranked", ranked), keys, "_ranked", [0.9, 0.95, 0.99],
-                                        aggs, materialize)
+        counts = placed.where(F.col("ranked").isNotNull()).groupBy(*keys, "ranked").agg(F.sum("n").alias("_n"))
+        quantiles = skew.counted_quantiles(counts, keys, "ranked", [0.9, 0.95, 0.99], materialize)
+        values = values.join(quantiles, keys, "left")
     else:
-        values = placed.groupBy(*keys).agg(*aggs).withColumn("quantiles", F.lit(None).cast("array<double>"))
+        values = values.withColumn("quantiles", F.lit(None).cast("array<double>"))
     value = F.expr("""CASE aggregation WHEN 'avg' THEN avg WHEN 'min' THEN min WHEN 'max' THEN max
         WHEN 'p90' THEN quantiles[0] WHEN 'p95' THEN quantiles[1] WHEN 'p99' THEN quantiles[2] END""")
     start = F.expr("timestamp_micros(_first + k * _step div 10)")

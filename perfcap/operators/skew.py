@@ -73,12 +73,16 @@ def _bucket(value: Column) -> Column:
 
 
 def bucket_quantiles(df: DataFrame, keys: list, value: str, probs: list, materialize=None) -> DataFrame:
-    """Exact interpolated quantiles without gathering a group in one task.
+    """Exact interpolated quantiles: equal values are counted first (map-side), then :func:`counted_quantiles`."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    return counted_quantiles(counts, keys, value, probs, materialize)
+
 
-    Equal values are counted first (map-side), bucket totals locate the two ranks each quantile
-    needs, and only the buckets that hold a rank are sorted.
+def counted_quantiles(counts: DataFrame, keys: list, value: str, probs: list, materialize=None) -> DataFrame:
+    """Exact interpolated quantiles of distinct values with counts ``_n``, without gathering a group in one task.
+
+    Bucket totals locate the two ranks each quantile needs, and only the buckets that hold a rank are sorted.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     counts = counts.withColumn("_bucket", _bucket(F.col(value)))
     if materialize is not None:
         counts = materialize(counts)

@@ -154,12 +154,27 @@ def trend_predicate(spark, sf_dir):
 
 def rolling_events(spark, sf_dir):
     e = Events(spark, sf_dir)
-    w = rolling.rolling_windows(e.samples, R.window_specs(e.conditions))
+    w = rolling.rolling_windows(e.samples, R.window_specs(e.conditions), materialize=cut_lineage)
     return w.select("dataset_id", "series_id", "spec_id", F.col("k").cast("bigint").alias("k"),
                     iso("window_start").alias("window_start"), iso("window_end").alias("window_end"), "n",
                     F.round("value", 5).alias("value"))
 
 
+LONG_WINDOWS = "spec_id string, metric string, instance string, duration_s long, step_s long, min_samples int, aggregation string"
+_DAY = [(f"{a}-day", "events.view", None, 86400, 1200, 3, a) for a in ("avg", "min", "max", "p90", "p95", "p99")]
+_UNEVEN = [(f"{a}-uneven", "events.click", "*", 50000, 777, 2, a) for a in ("avg", "p95")]
+
+
+def long_windows(spark, sf_dir):
+    """Windows of 72 steps, and of 64 steps and a part of one."""
+    specs = spark.createDataFrame(_DAY + _UNEVEN, LONG_WINDOWS)
+    w = rolling.rolling_windows(views.samples_ev(spark, sf_dir), specs, materialize=cut_lineage)
+    return w.groupBy("dataset_id", "series_id", "spec_id").agg(
+        F.count("*").alias("windows"), F.sum("n").alias("covered"), F.round(F.sum("value"), 6).alias("total"),
+        F.round(F.min("value"), 5).alias("lowest"), F.round(F.max("value"), 5).alias("highest"),
+        F.max(F.col("k")).cast("bigint").alias("last_k"))
+
+
 def default_step(spark, sf_dir):
     b = rolling.default_step_seconds(rolling.series_bounds(views.samples_ev(spark, sf_dir)))
     return b.select("dataset_id", "series_id", F.round("default_step_s", 4).alias("default_step_s"))
@@ -167,7 +182,7 @@ def default_step(spark, sf_dir):
 
 def window_predicate(spark, sf_dir):
     e = Events(spark, sf_dir)
-    w = rolling.rolling_windows(e.samples, R.window_specs(e.conditions))
+    w = rolling.rolling_windows(e.samples, R.window_specs(e.conditions), materialize=cut_lineage)
     return rounded(R.window_hits(w, e.conditions, e.hosts), 5, "actual_value")
 
 
@@ -285,6 +300,7 @@ QUERIES = {
     "f3_duration_percent_lineitem": duration_lines,
     "f4_trend_predicate": trend_predicate,
     "w1_rolling_windows": rolling_events,
+    "w1_long_windows": long_windows,
     "w2_default_step": default_step,
     "f5_window_predicate": window_predicate,
     "f7_rule_guards": guarded_rules,
@@ -362,6 +378,21 @@ SQL = {
     "w1_rolling_windows": query(f"""SELECT dataset_id, series_id, spec_id, k,
         {sql_iso('make_timestamp(w0 // 10)')} AS window_start,
         {sql_iso('make_timestamp(w0 // 10 + window_s * 1000000)')} AS window_end, n, round(value, 5) AS value FROM windows_ev"""),
+    "w1_long_windows": query("""SELECT dataset_id, series_id, spec_id, count(*) AS windows, sum(n)::BIGINT AS covered,
+        round(sum(value), 6) AS total, round(min(value), 5) AS lowest, round(max(value), 5) AS highest, max(k) AS last_k
+      FROM (SELECT dataset_id, series_id, spec_id, k, count(*) AS n,
+          CASE any_value(aggregation) WHEN 'avg' THEN avg(value) WHEN 'min' THEN min(value) WHEN 'max' THEN max(value)
+            WHEN 'p90' THEN quantile_cont(value, 0.9) WHEN 'p95' THEN quantile_cont(value, 0.95)
+            WHEN 'p99' THEN quantile_cont(value, 0.99) END AS value
+        FROM (SELECT b.dataset_id, b.series_id, p.*, unnest(range(0, (b.t1 - b.t0) // (p.step_s * 10000000) + 1)) AS k, t0
+            FROM win_bounds b JOIN long_specs p ON lower(b.metric) = p.metric) w
+          JOIN samples_ev s USING (dataset_id, series_id)
+        WHERE s.value IS NOT NULL AND epoch_us(s.ts) * 10 >= t0 + k * step_s * 10000000
+          AND epoch_us(s.ts) * 10 < t0 + (k * step_s + duration_s) * 10000000
+        GROUP BY dataset_id, series_id, spec_id, k, min_samples HAVING count(*) >= min_samples)
+      GROUP BY ALL""", extra={"long_specs": "SELECT spec_id, metric, duration_s::BIGINT AS duration_s, step_s::BIGINT AS step_s, min_samples, aggregation FROM (VALUES " + ", ".join(
+        f"('{i}', '{m}', {d}, {s}, {n}, '{a}')" for i, m, _, d, s, n, a in _DAY + _UNEVEN)
+        + ") t(spec_id, metric, duration_s, step_s, min_samples, aggregation)"}),
     "w2_default_step": query(f"SELECT dataset_id, series_id, {_STEP} AS default_step_s FROM win_bounds"),
     "f5_window_predicate": query("SELECT * REPLACE (round(actual_value, 5) AS actual_value) FROM window_hits_ev"),
     "f7_rule_guards": query("""SELECT g.* FROM guards_ok g JOIN rules r USING (pack_id, rule_id)

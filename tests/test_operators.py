@@ -78,6 +78,31 @@ def test_rolling_windows(spark):
     assert windows(spark, [1.0, 2.0, 3.0, 4.0, 5.0], 60, 120, 1, "max") == [1, 3, 5]
 
 
+@pytest.mark.parametrize("duration,step", [(300, 60), (300, 77), (61, 60), (50, 200), (7200, 100), (90, 90)])
+def test_windows_of_panes_equal_plain_windows(spark, duration, step):
+    """Panes are cut at the starts and ends of windows only; every window has the samples it covers."""
+    rnd = random.Random(duration + step)
+    at = sorted(rnd.sample(range(4000), 300)) * 1
+    points = [(t, None if rnd.random() < 0.1 else rnd.choice([1.5, 2.0, 7.25, rnd.random()])) for t in at]
+    rows = [("d", "s", "m", "i", datetime(2024, 1, 1) + timedelta(seconds=t), v) for t, v in points]
+    samples = spark.createDataFrame(rows, "dataset_id string, series_id string, metric string, instance string, ts timestamp, value double")
+    specs = spark.createDataFrame([(a, "M", "*", duration, step, 2, a) for a in ("avg", "min", "max", "p90")], SPEC)
+    got = {(r.spec_id, r.k): (r.n, r.value) for r in rolling.rolling_windows(samples, specs).collect()}
+    valid = [(t, v) for t, v in points if v is not None]
+    first, want = valid[0][0], {}
+    for k in range((valid[-1][0] - first) // step + 1):
+        own = sorted(v for t, v in valid if first + k * step <= t < first + k * step + duration)
+        if len(own) < 2:
+            continue
+        place = 0.9 * (len(own) - 1)
+        p90 = own[int(place)] + (place - int(place)) * (own[min(int(place) + 1, len(own) - 1)] - own[int(place)])
+        for name, value in (("avg", sum(own) / len(own)), ("min", own[0]), ("max", own[-1]), ("p90", p90)):
+            want[name, k] = (len(own), pytest.approx(value, rel=1e-12))
+    assert got == want
+    most = rolling.panes(samples, specs).where("spec_id = 'avg'").count()
+    assert most <= 2 * ((valid[-1][0] - first) // step + 1)
+
+
 def test_compare_nan(spark):
     nan = F.lit(float("nan"))
     assert [one(K.compare(nan, F.lit(op), F.lit(1.0)), spark) for op in ("gt", "ge", "lt", "le", "eq")] == [False] * 5
