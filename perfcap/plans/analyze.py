@@ -49,6 +49,6 @@ def analyze_path(spark: SparkSession, path: str, pack_path: str, generated_at: C
                  machine_name: str | None = None, time_zone: str | None = None, glob: str = "*.csv", materialize=cut_lineage) -> Analysis:
     """Read captures, packs and host side files from folders and analyse them."""
     book = RuleBook.read(spark, pack_path)
-    captures = C.read_captures(spark, path, glob, book.aliases, machine_name, time_zone)
+    captures = C.read_captures(spark, path, glob, book.aliases, machine_name, time_zone, materialize)
     hosts = C.read_host_context(spark, path, captures.datasets, memory_mb, processors)
     return analyze(captures, book, hosts, F.current_timestamp() if generated_at is None else generated_at, explicit, auto, materialize)

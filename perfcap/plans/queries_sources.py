@@ -1,5 +1,7 @@
 """Registered queries over sources, names, packs and reports, with their SQL."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from perfcap.functions import aliases, names, parse, text
@@ -8,6 +10,7 @@ from perfcap.plans import analyze as Z, event_rules, views
 from perfcap.plans.queries_rules import Events, iso, sql_iso
 from perfcap.plans.sqltext import lit, query, values
 from perfcap.sinks import reports as R
+from perfcap.session import cut_lineage, shared_folder
 from perfcap.sources import captures as C, packs as S, runs as H
 
 GLOBS = [("custom.counter", r"\\*\Custom Object\Counter Name (m?)"), ("custom.any", r"\\*\Custom*"),
@@ -115,6 +118,23 @@ def capture_samples(spark, sf_dir):
     return c.samples.select("dataset_id", "series_id", "metric", "instance", iso("ts").alias("stamp"), "value", "ord")
 
 
+def capture_files(spark, sf_dir):
+    """The event captures written as files and read again: digests, lines and samples of each."""
+    folder = f"{shared_folder(spark).rstrip('/')}/perfcap-files-{uuid.uuid4().hex}"
+    views.event_capture_files(spark, sf_dir, folder)
+    book = S.RuleBook.of(spark, [event_rules.CAPTURE_PACK])
+    c = C.read_captures(spark, folder, "*.txt", book.aliases)
+    place = F.concat(F.lit("/captures/ws"), F.regexp_extract("path", "/ws=([0-9]+)/", 1), F.lit("/"),
+                     F.regexp_extract("path", "/day=([0-9]+)/", 1), F.lit(".csv"))
+    sums = c.samples.groupBy("dataset_id", "series_id", "metric").agg(
+        F.count("*").alias("lines"), F.count("value").alias("valid"), F.round(F.sum("value"), 4).alias("total"))
+    found = c.datasets.select("dataset_id", place.alias("path"), "input_digest", "machine_name", "gap_count", "row_count")
+    result = cut_lineage(found.join(sums, "dataset_id").drop("dataset_id"))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return result
+
+
 def capture_datasets(spark, sf_dir):
     c, _ = _capture_tables(spark, sf_dir)
     return c.datasets.select("dataset_id", "path", "machine_name", iso("start_time").alias("start_time"),
@@ -265,6 +285,7 @@ QUERIES = {
     "s13_known_uploads": dedup_known,
     "l8_st3_pick_files": files_to_pick,
     "s1_capture_samples": capture_samples,
+    "s1_s7_capture_files": capture_files,
     "s1_capture_series": capture_series,
     "s1_capture_datasets": capture_datasets,
     "s3_capture_warnings": capture_warnings,
@@ -305,6 +326,13 @@ SRC = {
     "cap": """SELECT *, '/captures/ws' || (user_id % 3) || '/' || strftime(ts, '%Y%m%d') || '.csv' AS path,
         event_id % 50 = 0 AS bad, row_number() OVER (PARTITION BY user_id % 3, strftime(ts, '%Y%m%d') ORDER BY event_id) AS line_no,
         list_position(['click','error','purchase','signup','view'], event_type) AS col FROM events""",
+    "cap_text": r"""SELECT path, 0 AS line_no, '"(PDH-CSV 4.0)"' || string_agg(',"\\WS' || ws || '\Events(all)\' || t || '"', '' ORDER BY t) AS line
+        FROM (SELECT DISTINCT path, user_id % 3 AS ws, unnest(['click','error','purchase','signup','view']) AS t FROM cap) GROUP BY path
+      UNION ALL SELECT path, line_no, '"' || CASE WHEN bad THEN 'bad time' ELSE strftime(ts, '%m/%d/%Y %H:%M:%S.')
+          || lpad((epoch_us(ts) // 1000 % 1000)::VARCHAR, 3, '0') END || '"' || array_to_string(list_transform(
+          CASE WHEN event_id % 30 = 0 THEN [1] ELSE [1, 2, 3, 4, 5] END,
+          lambda c: ',"' || CASE WHEN c = col THEN value::VARCHAR ELSE '' END || '"'), '') FROM cap""",
+    "cap_digests": """SELECT path, sha256(string_agg(line || chr(10), '' ORDER BY line_no)) AS input_digest FROM cap_text GROUP BY path""",
     "cap_good": """SELECT *, 'ds_' || substr(sha256(path), 1, 16) AS dataset_id, date_trunc('milliseconds', ts)::TIMESTAMP AS tms
       FROM cap WHERE NOT bad""",
     "cap_samples": """SELECT dataset_id, c AS series_ord, 'ser_00' || c AS series_id,
@@ -398,6 +426,13 @@ SQL = {
       FROM documents WHERE doc_id * 7 % 5003 <= 3000 - 30 AND doc_id * 7 % 5003 > 2900 - 120
       ORDER BY doc_id * 7 % 5003 DESC, doc_id::VARCHAR LIMIT 10""",
     "s1_capture_samples": src(f"""SELECT dataset_id, series_id, metric, instance, {sql_iso('ts')} AS stamp, value, ord FROM cap_samples"""),
+    "s1_s7_capture_files": src("""SELECT g.path, input_digest, 'WS' || (user_id % 3) AS machine_name, gap_count, row_count,
+        series_id, metric, lines, valid, total
+      FROM (SELECT DISTINCT path, user_id % 3 AS user_id, dataset_id FROM cap_good) g JOIN cap_digests USING (path)
+      JOIN (SELECT dataset_id, series_id, metric, count(*) AS lines, count(value) AS valid, round(sum(value), 4) AS total
+        FROM cap_samples GROUP BY ALL) USING (dataset_id)
+      JOIN (SELECT dataset_id, len(list_filter(diffs, lambda x: abs(x - d0) > 0.5 * d0)) AS gap_count, len(diffs) + 1 AS row_count
+        FROM cap_gaps) USING (dataset_id)"""),
     "s1_capture_series": src(r"""SELECT DISTINCT 'ds_' || substr(sha256(path), 1, 16) AS dataset_id, 'ser_00' || c AS series_id,
         '"\\WS' || (user_id % 3) || '\Events(all)\' || t || '"' AS counter_path,
         CASE WHEN c = 5 THEN 'unknown.ws' || (user_id % 3) || '_events_all__view' ELSE 'events.' || t END AS metric, 'all' AS instance

@@ -250,6 +250,14 @@ def event_capture_lines(spark, sf_dir) -> DataFrame:
     return rows.unionByName(heads)
 
 
+def event_capture_files(spark, sf_dir, folder: str) -> None:
+    """The event captures as files: folder/ws=<workspace>/day=<yyyyMMdd>/part-….txt, one file each."""
+    lines = event_capture_lines(spark, sf_dir).withColumns({
+        "ws": F.regexp_extract("path", r"/ws(\d+)/", 1), "day": F.regexp_extract("path", r"/(\d+)[.]csv$", 1)})
+    in_order = lines.repartition("ws", "day").sortWithinPartitions("ws", "day", "ord")  # an order that the writer keeps
+    in_order.select(F.col("line").alias("value"), "ws", "day").write.partitionBy("ws", "day").text(folder)
+
+
 def event_capture_catalog(lines: DataFrame) -> DataFrame:
     """Catalog of the event captures; the digest is that of the path."""
     return lines.select("path").distinct().select("path", F.sha2("path", 256).alias("sha256"), F.lit("csv").alias("source_type"))

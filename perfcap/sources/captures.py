@@ -14,6 +14,11 @@ from perfcap.operators import normalize, skew
 from perfcap.session import cut_lineage
 
 _ROW_BITS = 31
+#: Bytes up to which a file is digested whole, and of a piece of larger ones.
+DIGEST_WHOLE = 256 << 20
+DIGEST_PIECE = 8 << 20
+#: Header cells of all files up to which they are broadcast; beyond, lines and headers meet in a salted join.
+HEADER_CELLS = 200_000
 
 
 def file_name(url: Column) -> Column:
@@ -26,16 +31,48 @@ def open_name(path: str) -> str:
     return "".join(f"\\{c}" if c in "[]{}*?\\" else c for c in path)
 
 
+def file_list(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
+    """path, url, length and modification time of each file; no file is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    url = F.col("_metadata.file_path")
+    return files.select(file_name(url).alias("path"), url.alias("url"), "length", "modificationTime")
+
+
+def streamed_digests(files: DataFrame) -> DataFrame:
+    """(path, sha256) of files (path, url) of any size, read piece by piece."""
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            out = []
+            for path, url in zip(*(c.to_pylist() for c in batch.columns)):
+                store, name = (fs.LocalFileSystem(), path) if url.startswith("file:") else fs.FileSystem.from_uri(url)
+                digest = hashlib.sha256()
+                with store.open_input_stream(name) as f:
+                    while piece := f.read(DIGEST_PIECE):
+                        digest.update(piece)
+                out.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["path", "sha256"])
+
+    return files.select("path", "url").repartition("path").mapInArrow(run, "path string, sha256 string")
+
+
 def capture_catalog(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
     """path, length, modification time, extension and content digest of each file.
 
-    Digests need the bytes of a file in order, so one task reads one file (the binary source allows 2 GB).
+    A digest needs the bytes of a file in order, so one task reads one file: whole up to ``DIGEST_WHOLE`` bytes, else
+    piece by piece.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    name = file_name(F.col("_metadata.file_path"))
-    return files.select(
-        name.alias("path"), "length", "modificationTime", parse.file_extension(name).alias("source_type"),
-        F.sha2("content", 256).alias("sha256"))
+    files = file_list(spark, path, glob)
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    small = whole.where(F.col("length") <= DIGEST_WHOLE).select(
+        file_name(F.col("_metadata.file_path")).alias("path"), F.sha2("content", 256).alias("sha256"))
+    large = streamed_digests(files.where(F.col("length") > DIGEST_WHOLE))
+    return files.join(small.unionByName(large), "path").select(
+        "path", "length", "modificationTime", parse.file_extension(F.col("path")).alias("source_type"), "sha256")
 
 
 def supported(catalog: DataFrame) -> DataFrame:
@@ -106,12 +143,13 @@ def captures_from(lines: DataFrame, catalog: DataFrame, pack_aliases: DataFrame
     datasets, series, warnings and samples all use them.
     """
     keep = materialize or (lambda df: df)
-    ids = keep(catalog.select(
-        "path", F.col("sha256").alias("input_digest"), "source_type",
-        names.dataset_id(F.col("sha256")).alias("dataset_id")))
-    # One row per file, named by its content; equal files are one dataset, and the copies are reported as rejected.
-    headers = keep(headers_of(lines).join(ids, "path").withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("dataset_id").orderBy("path"))).where("_rn = 1").drop("_rn"))
+    # Equal files are a dataset each; the copies are numbered.
+    copy = F.row_number().over(Window.partitionBy("sha256").orderBy("path"))
+    named_by = names.dataset_id(F.col("sha256"))
+    ids = keep(catalog.select("path", F.col("sha256").alias("input_digest"), "source_type", named_by.alias("_id"), copy.alias("_copy")).select(
+        "path", "input_digest", "source_type",
+        F.when(F.col("_copy") == 1, F.col("_id")).otherwise(F.concat_ws("_", "_id", "_copy")).alias("dataset_id")))
+    headers = keep(headers_of(lines).join(ids, "path"))
 
     columns = headers.select(
         "dataset_id", F.posexplode("cells").alias("series_ord", "counter_path")).where("series_ord > 0")
@@ -120,19 +158,28 @@ def captures_from(lines: DataFrame, catalog: DataFrame, pack_aliases: DataFrame
         "dataset_id", names.series_id(F.col("series_ord")).alias("series_id"), "series_ord", "counter_path", "metric",
         names.instance_of(F.col("counter_path")).alias("instance"), F.lit(None).cast("string").alias("unit"))
 
-    # Per file: what each column is, so that samples carry metric and instance without another join.
+    # Per file: what each column is, in order, so that samples carry metric and instance without another join.
     named = series.groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct(
         "series_ord", "series_id", "metric", "instance"))).alias("_columns"))  # as wide as one header line
     heads = headers.select("path", "dataset_id", "header_ord")
+    small = materialize is not None and (headers.agg(F.sum(F.size("cells"))).first()[0] or 0) <= HEADER_CELLS
+
+    def of_file(rows: DataFrame, files: DataFrame) -> DataFrame:
+        """Each line with what is known of its file; a file may hold most of all lines."""
+        if small:
+            return rows.join(F.broadcast(files), "path")
+        return skew.salted_join(rows, files, ["path"], F.col("ord"))
+
     stamp = parse.first_cell(F.col("line"))
-    wide = lines.join(heads.join(named, "dataset_id"), "path").where(F.col("ord") != F.col("header_ord"))
+    wide = of_file(lines, heads.join(named, "dataset_id")).where(F.col("ord") != F.col("header_ord"))
     wide = wide.withColumn("ts", parse.parse_ts(stamp)).where(F.col("ts").isNotNull())
-    samples = wide.select(
-        "dataset_id", "ts", "ord", parse.split_cells(F.col("line")).alias("_cells"), F.explode("_columns").alias("c")).select(
-        "dataset_id", "c.series_id", "c.series_ord", "c.metric", "c.instance", "ts",
-        parse.parse_value(F.get("_cells", F.col("c.series_ord"))).alias("value"), "ord")
+    # Cells beside their columns, cut once for each line; what either side has beyond the other stays null.
+    wide = wide.withColumn("_cells", F.slice(parse.split_cells(F.col("line")), 2, 1 << 30))
+    samples = wide.select("dataset_id", "ts", "ord", F.explode(F.arrays_zip("_columns", "_cells")).alias("z")).where("z._columns is not null").select(
+        "dataset_id", "z._columns.series_id", "z._columns.series_ord", "z._columns.metric", "z._columns.instance", "ts",
+        parse.parse_value(F.col("z._cells")).alias("value"), "ord")
 
-    marks = lines.join(heads, "path").withColumn("_stamp", stamp).withColumn("ts", parse.parse_ts(F.col("_stamp")))
+    marks = of_file(lines, heads).withColumn("_stamp", stamp).withColumn("ts", parse.parse_ts(F.col("_stamp")))
     marks = keep(marks.select(
         "path", "block", "ord", "dataset_id", (F.col("ord") == F.col("header_ord")).alias("_head"), "ts",
         F.when(F.col("ts").isNull(), F.col("_stamp")).alias("_stamp")))
@@ -146,12 +193,8 @@ def captures_from(lines: DataFrame, catalog: DataFrame, pack_aliases: DataFrame
         "*", (F.coalesce("series_count", F.lit(0)) * F.col("row_count")).alias("sample_count"))
 
     valid = marks.where(~F.col("_head") & F.col("ts").isNotNull()).select("dataset_id").distinct()
-    unread = ids.join(valid, "dataset_id", "left_anti").select(
+    rejected = ids.join(valid, "dataset_id", "left_anti").select(
         "path", "dataset_id", F.lit("no parseable data rows").alias("reason"))
-    read = headers.select("dataset_id", F.col("path").alias("_read"))
-    copies = ids.join(valid, "dataset_id", "left_semi").join(read, "dataset_id").where("path <> _read").select(
-        "path", "dataset_id", F.concat(F.lit("same content as "), "_read").alias("reason"))
-    rejected = unread.unionByName(copies)
     return Captures(datasets, series, samples, bad_line_warnings(marks), rejected)
 
 

@@ -1,5 +1,7 @@
 """Capture files written by the tests: parsing, analysis, reports."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,9 +157,26 @@ def test_odd_file_names(spark, tmp_path):
     write_capture(tmp_path / "other" / "copy of plain.csv", CPU)
     (tmp_path / "other" / "tabs.csv").write_text("\t\n \t \n")
     c = C.read_captures(spark, str(tmp_path))
-    assert sorted(r.path.rsplit("/", 1)[1] for r in c.datasets.collect()) == sorted(ODD_NAMES)
+    found = {r.path.rsplit("/", 1)[1]: r for r in c.datasets.collect()}
+    assert sorted(found) == sorted([*ODD_NAMES, "copy of plain.csv"])
+    first, copy = found["plain.csv"], found["copy of plain.csv"]  # equal files are a dataset each
+    assert (copy.dataset_id, copy.input_digest, copy.sample_count) == (first.dataset_id + "_2", first.input_digest, first.sample_count)
     rejected = {r.path.rsplit("/", 1)[1]: r.reason for r in c.rejected.collect()}
-    assert rejected == {"copy of plain.csv": f"same content as {tmp_path}/in put/plain.csv", "tabs.csv": "no parseable data rows"}
+    assert rejected == {"tabs.csv": "no parseable data rows"}
+
+
+@pytest.mark.parametrize("limit", ["DIGEST_WHOLE", "HEADER_CELLS"])
+def test_large_files_and_many_headers(spark, tmp_path, monkeypatch, limit):
+    """Digests piece by piece, and headers too many to broadcast, give the same tables."""
+    for i, name in enumerate(ODD_NAMES):
+        write_capture(tmp_path / name, CPU[i:])
+    whole = C.read_captures(spark, str(tmp_path))
+    expected = [sorted(map(tuple, t.collect()), key=repr) for t in (whole.datasets, whole.samples)]
+    monkeypatch.setattr(C, limit, 1)
+    monkeypatch.setattr(C, "DIGEST_PIECE", 100)
+    parts = C.read_captures(spark, str(tmp_path))
+    assert [sorted(map(tuple, t.collect()), key=repr) for t in (parts.datasets, parts.samples)] == expected
+    assert expected[0][0][2] in {hashlib.sha256((tmp_path / n).read_bytes()).hexdigest() for n in ODD_NAMES}
 
 
 def test_sinks_keep_other_datasets(spark, tmp_path):
