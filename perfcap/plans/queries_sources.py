@@ -10,8 +10,9 @@ from perfcap.plans import analyze as Z, event_rules, views
 from perfcap.plans.queries_rules import Events, iso, sql_iso
 from perfcap.plans.sqltext import lit, query, values
 from perfcap.sinks import reports as R
-from perfcap.session import cut_lineage, shared_folder
+from perfcap.session import cut_lineage, remove, shared_folder
 from perfcap.sources import captures as C, packs as S, runs as H
+from perfcap.streaming import captures as live, commits
 
 GLOBS = [("custom.counter", r"\\*\Custom Object\Counter Name (m?)"), ("custom.any", r"\\*\Custom*"),
          ("db.reads", r"\\*\Database ==> Instances(*)\Reads (Attached) Latency")]
@@ -130,8 +131,28 @@ def capture_files(spark, sf_dir):
         F.count("*").alias("lines"), F.count("value").alias("valid"), F.round(F.sum("value"), 4).alias("total"))
     found = c.datasets.select("dataset_id", place.alias("path"), "input_digest", "machine_name", "gap_count", "row_count")
     result = cut_lineage(found.join(sums, "dataset_id").drop("dataset_id"))
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    remove(spark, folder)
+    return result
+
+
+def stream_commits(spark, sf_dir):
+    """The event captures through the folder watch: committed findings with their alert and report."""
+    folder = f"{shared_folder(spark).rstrip('/')}/perfcap-stream-{uuid.uuid4().hex}"
+    views.event_capture_files(spark, sf_dir, f"{folder}/in")
+    book = S.RuleBook.of(spark, [event_rules.CAPTURE_PACK])
+    out = f"{folder}/out"
+    stream = live.capture_stream(spark, f"{folder}/in", "*.txt", max_files=1000)
+    live.start_analysis(stream, book, out, f"{folder}/checkpoint", {"availableNow": True}, _hosts,
+                        workspace=lambda path: F.concat(F.lit("ws"), F.regexp_extract(path, "/ws=([0-9]+)/", 1))).awaitTermination()
+    place = F.concat(F.lit("/captures/ws"), F.regexp_extract("path", "/ws=([0-9]+)/", 1), F.lit("/"),
+                     F.regexp_extract("path", "/day=([0-9]+)/", 1), F.lit(".csv"))
+    runs = commits.committed(spark, out, "runs").select("workspace_id", "run_id", place.alias("path"))
+    found = commits.committed(spark, out, "run_findings").select("run_id", "rule_id", F.col("metric").alias("primary_metric"), "severity")
+    alerts = commits.committed(spark, out, "alert_history").groupBy("run_id", "rule_id").agg(F.count("*").alias("alert_rows"))
+    reports = commits.committed(spark, out, "reports").groupBy("run_id").agg(F.count("*").alias("documents"))
+    result = cut_lineage(runs.join(found, "run_id").join(alerts, ["run_id", "rule_id"], "left").join(reports, "run_id", "left").select(
+        "workspace_id", "path", "rule_id", "primary_metric", "severity", "alert_rows", "documents"))
+    remove(spark, folder)
     return result
 
 
@@ -159,12 +180,15 @@ def capture_series(spark, sf_dir):
     return c.series.select("dataset_id", "series_id", "counter_path", "metric", "instance")
 
 
-def _analysis(spark, sf_dir):
-    c, book = _capture_tables(spark, sf_dir)
-    hosts = c.datasets.select(
+def _hosts(datasets):
+    return datasets.select(
         "dataset_id", F.when(F.col("machine_name") != "WS1", F.lit(3000.0)).alias("total_physical_memory_mb"),
         F.lit(None).cast("int").alias("logical_processor_count"))
-    return Z.analyze(c, book, hosts, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+
+
+def _analysis(spark, sf_dir):
+    c, book = _capture_tables(spark, sf_dir)
+    return Z.analyze(c, book, _hosts(c.datasets), F.lit("2024-02-01 00:00:00").cast("timestamp"))
 
 
 def capture_findings(spark, sf_dir):
@@ -286,6 +310,7 @@ QUERIES = {
     "l8_st3_pick_files": files_to_pick,
     "s1_capture_samples": capture_samples,
     "s1_s7_capture_files": capture_files,
+    "st1_st4_st6_stream_commits": stream_commits,
     "s1_capture_series": capture_series,
     "s1_capture_datasets": capture_datasets,
     "s3_capture_warnings": capture_warnings,
@@ -426,6 +451,9 @@ SQL = {
       FROM documents WHERE doc_id * 7 % 5003 <= 3000 - 30 AND doc_id * 7 % 5003 > 2900 - 120
       ORDER BY doc_id * 7 % 5003 DESC, doc_id::VARCHAR LIMIT 10""",
     "s1_capture_samples": src(f"""SELECT dataset_id, series_id, metric, instance, {sql_iso('ts')} AS stamp, value, ord FROM cap_samples"""),
+    "st1_st4_st6_stream_commits": src("""SELECT 'ws' || (user_id % 3) AS workspace_id, path, rule_id, primary_metric, severity,
+        1 AS alert_rows, 3 AS documents
+      FROM cap_hits JOIN (SELECT DISTINCT dataset_id, path, user_id % 3 AS user_id FROM cap_good) USING (dataset_id)"""),
     "s1_s7_capture_files": src("""SELECT g.path, input_digest, 'WS' || (user_id % 3) AS machine_name, gap_count, row_count,
         series_id, metric, lines, valid, total
       FROM (SELECT DISTINCT path, user_id % 3 AS user_id, dataset_id FROM cap_good) g JOIN cap_digests USING (path)

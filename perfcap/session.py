@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/perfcap-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is; nothing happens if it is not there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def lineage_cuts(spark: SparkSession):
+    """A :func:`cut_lineage` whose tables go at the end; for work that repeats, such as a micro-batch."""
+    paths = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.append(f"{shared_folder(spark).rstrip('/')}/perfcap-{uuid.uuid4().hex}")
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            remove(spark, path)
