@@ -232,16 +232,10 @@ def stored_runs(spark, sf_dir):
 
 
 def pack_list(spark, sf_dir):
-    """Packs and how many line items each of their metrics names; the catalog beside the data it applies to."""
-    e = Events(spark, sf_dir)
-    catalog = P.pack_catalog(e.book.packs, e.book.rules)
-    named = e.book.conditions.select("pack_id", F.lower("metric").alias("metric")).distinct()
-    data = views.samples_ev(spark, sf_dir).groupBy("metric").agg(F.count("*").alias("n")).unionByName(
-        views.samples_li(spark, sf_dir).groupBy("metric").agg(F.count("*").alias("n")))
-    used = named.join(data, "metric").groupBy("pack_id").agg(F.sum("n").alias("samples"))
-    return catalog.join(used, "pack_id", "left").select(
-        "pack_id", "pack_name", "version", "rule_count", "always_applicable", "applicability",
-        F.coalesce("samples", F.lit(0).cast("bigint")).alias("samples"))
+    """The catalog of the packs made of parts."""
+    packs, rules, _, _ = views.part_packs(spark, sf_dir)
+    return P.pack_catalog(packs, rules).select(
+        "pack_id", "pack_name", "version", "schema_version", "rule_count", "always_applicable", "applicability", "path")
 
 
 def registry(spark, sf_dir):
@@ -277,12 +271,12 @@ def selected(spark, sf_dir):
 
 
 def violations(spark, sf_dir):
-    """Violations of all packs, beside the number of samples their rules would have judged."""
-    book = S.RuleBook.of(spark, [*event_rules.ALL_PACKS, event_rules.BROKEN_PACK])
-    found = P.validate_packs(book.packs, book.rules, book.conditions, book.recommendations)
-    total = views.table(spark, sf_dir, "events").agg(F.count("*").alias("samples"))
+    """Violations of the packs made of parts, and whether the pack may be used."""
+    packs, rules, conditions, recommendations = views.part_packs(spark, sf_dir)
+    found = P.validate_packs(packs, rules, conditions, recommendations)
+    usable = P.valid_packs(packs, found).select("pack_id", F.lit(True).alias("usable"))
     counted = found.groupBy("pack_id", "subject", "level", "message").agg(F.count("*").alias("n"))
-    return counted.withColumn("samples", total.scalar())
+    return counted.join(usable, "pack_id", "left").withColumn("usable", F.coalesce("usable", F.lit(False)))
 
 
 def number_text(spark, sf_dir):
@@ -379,30 +373,42 @@ SRC = {
     "pack_present": """SELECT dataset_id, list(metric) AS present FROM present_ev GROUP BY ALL""",
 }
 
-_BROKEN = [
-    ("pack", "error", "schema_version 'other/v2' is not recognized"),
-    ("pack", "error", "pack_id 'Broken_Pack' must be kebab-case (lowercase letters, digits, hyphens)"),
-    ("pack", "error", "pack_name is required"),
-    ("pack", "error", "version '1.0' must be semver (e.g., 1.0.0)"),
-    ("bad", "error", "Duplicate rule_id: 'bad'"),
-    ("bad", "error", "Rule 'bad': invalid severity 'fatal'"),
-    ("bad", "error", "Rule 'bad': invalid category 'none'"),
-    ("bad", "error", "Rule 'bad': title is required"),
-    ("bad", "error", "Rule 'bad': summary is required"),
-    ("bad", "error", "Rule 'bad': at least one condition is required"),
-    ("bad", "error", "Rule 'bad', metric 'm': invalid aggregation 'sum'"),
-    ("bad", "error", "Rule 'bad', metric 'm': invalid operator 'ne'"),
-    ("bad", "error", "Rule 'bad', metric 'm': duration_percent must be 0-100"),
-    ("bad", "error", "Rule 'bad': unknown host_context variable 'disk_count'"),
-    ("bad", "error", "Rule 'bad', metric 'h': 'window' requires schema version 1.1"),
-    ("bad", "error", "Rule 'bad', metric 'h': aggregation 'trend' is not supported with 'window' (trend is not windowed)"),
-    ("bad", "error", "Rule 'bad', metric 'h': window.duration_seconds must be >= 30"),
-    ("bad", "error", "Rule 'bad', metric 'h': window.step_seconds must be <= duration_seconds"),
-    ("bad", "error", "Rule 'bad', metric 'h': window.min_samples must be >= 1"),
-    ("bad", "error", "Rule 'bad': references recommendation 'gone' which is not defined in the pack"),
-    ("odd", "error", "Recommendation 'odd': invalid priority 'urgent'"),
-    ("odd", "error", "Recommendation 'odd': text is required"),
-]
+_PARTS = {
+    "pk": "SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN 'Pack_' ELSE 'pack-' END || p_partkey AS pack_id, * FROM part",
+    "pk_rules": """SELECT *, 'rule-' || CASE WHEN k % 17 = 0 THEN 1 ELSE i END AS rule_id, (k + i) % 3 AS n_conditions
+      FROM (SELECT *, unnest(range(1, k % 4 + 1)) AS i FROM pk)""",
+    "pk_conds": """SELECT *, 'rule ' || rule_id || ', metric m' || j AS place, (k + i) % 4 = 0 AS windowed,
+        CASE (k + i + j) % 8 WHEN 0 THEN 'sum' WHEN 4 THEN 'trend' ELSE 'avg' END AS agg
+      FROM (SELECT *, unnest(range(1, n_conditions + 1)) AS j FROM pk_rules)""",
+    "pk_found": """SELECT pack_id, 'pack' AS subject, 'error' AS level, unnest([
+          CASE WHEN k % 13 = 0 THEN 'schema_version: unknown format ''other/v2''' END,
+          CASE WHEN k % 7 = 0 THEN 'pack_id: ''' || pack_id || ''' is not a letter followed by a-z, 0-9 and hyphens' END,
+          CASE WHEN k % 11 = 0 THEN 'pack_name: empty' END,
+          CASE WHEN k % 5 = 0 THEN 'version: ''1.0'' is not three numbers joined by dots' END]) AS message FROM pk
+      UNION ALL SELECT pack_id, 'pack', 'warning', 'pack ' || pack_id || ' has no rule' FROM pk WHERE k % 4 = 0
+      UNION ALL SELECT pack_id, 'look', 'error', unnest([
+          CASE WHEN k % 21 = 0 THEN 'recommendation look, priority: unknown value ''urgent''' END,
+          CASE WHEN k % 22 = 0 THEN 'recommendation look, text: empty' END]) FROM pk
+      UNION ALL SELECT pack_id, rule_id, 'error', unnest([
+          CASE WHEN (k + i) % 9 = 0 THEN 'rule ' || rule_id || ', severity: unknown value ''fatal''' END,
+          CASE WHEN (k + i) % 10 = 0 THEN 'rule ' || rule_id || ', category: unknown value ''none''' END,
+          CASE WHEN (k + i) % 19 = 0 THEN 'rule ' || rule_id || ', title: empty' END,
+          CASE WHEN (k + i) % 23 = 0 THEN 'rule ' || rule_id || ', summary: empty' END,
+          CASE WHEN n_conditions = 0 THEN 'rule ' || rule_id || ', conditions: none' END,
+          CASE WHEN (k + i) % 6 = 0 THEN 'rule ' || rule_id || ', recommendations: the pack has no ''missing''' END,
+          CASE WHEN k % 17 = 0 AND i > 1 THEN 'rule ' || rule_id || ': the id is used more than once' END]) FROM pk_rules
+      UNION ALL SELECT pack_id, rule_id, 'error', unnest([
+          CASE WHEN agg = 'sum' THEN place || ', aggregation: unknown value ''sum''' END,
+          CASE WHEN (k + j) % 12 = 0 THEN place || ', operator: unknown value ''ne''' END,
+          CASE WHEN (k + i + j) % 14 = 0 THEN place || ', duration_percent: outside 0 to 100' END,
+          CASE WHEN (k + j) % 15 = 0 THEN 'rule ' || rule_id || ', host variable: unknown value ''disk''' END,
+          CASE WHEN windowed AND (k % 13 = 0 OR k % 2 = 0) THEN place || ', window: not known before format 1.1' END,
+          CASE WHEN windowed AND agg <> 'avg' THEN place || ', window: ''' || agg || ''' has no rolling form' END,
+          CASE WHEN windowed AND k % 50 + 10 < 30 THEN place || ', window duration: under 30 s' END,
+          CASE WHEN windowed AND (k + j) % 60 < 1 THEN place || ', window step: under 1 s' END,
+          CASE WHEN windowed AND (k + j) % 60 > k % 50 + 10 THEN place || ', window step: longer than the window' END,
+          CASE WHEN windowed AND k % 3 < 1 THEN place || ', window min_samples: under 1' END]) FROM pk_conds""",
+}
 
 
 def src(body):
@@ -471,7 +477,7 @@ SQL = {
         len(list_filter(any_value(diffs), lambda x: abs(x - any_value_d0) > 0.5 * any_value_d0)) AS gap_count
       FROM cap_good JOIN (SELECT *, d0 AS any_value_d0 FROM cap_gaps) USING (dataset_id) GROUP BY dataset_id, path, user_id % 3, any_value_d0"""),
     "s3_capture_warnings": src("""SELECT 'ds_' || substr(sha256(path), 1, 16) AS dataset_id, 'collector.warning' AS code,
-        'Line ' || (line_no + 1) || ': Could not parse timestamp ''"bad time"'', skipping.' AS message, 'warning' AS severity
+        'line ' || (line_no + 1) || ' left out: no time in ''"bad time"''' AS message, 'warning' AS severity
       FROM cap WHERE bad"""),
     "s6_capture_rejected": src("SELECT DISTINCT path, 'no parseable data rows' AS reason FROM cap WHERE user_id % 3 <> 1"),
     "c2_capture_findings": src("""SELECT dataset_id, rule_id, primary_metric, actual_value, expression, row_number() OVER (PARTITION BY dataset_id
@@ -489,12 +495,12 @@ SQL = {
     "s14_stored_runs": src("""SELECT run_id, rule_id, metric, severity, finding_id, row_number() OVER (PARTITION BY run_id ORDER BY finding_ord) AS finding_ord
       FROM findings_hist WHERE right(run_id, 1) NOT IN ('3', '7')
       UNION ALL SELECT DISTINCT run_id, 'run.findings_malformed', NULL, NULL, NULL, NULL FROM findings_hist WHERE right(run_id, 1) = '3'"""),
-    "s10_pack_catalog": src("""SELECT p.pack_id, p.pack_name, p.version, (SELECT count(*) FROM rules r WHERE r.pack_id = p.pack_id) AS rule_count,
-        p.always AS always_applicable, CASE WHEN NOT has_applicability THEN 'never (no applicability block)' WHEN always THEN 'always'
-          WHEN len(requires_all) > 0 THEN 'all of: ' || array_to_string(requires_all, ', ')
-          WHEN len(requires_any) > 0 THEN 'any of: ' || array_to_string(requires_any, ', ') ELSE 'never (empty applicability block)' END AS applicability,
-        coalesce((SELECT count(*) FROM (SELECT metric FROM samples_ev UNION ALL SELECT metric FROM samples_li) s
-          WHERE s.metric IN (SELECT lower(metric) FROM conditions c WHERE c.pack_id = p.pack_id)), 0) AS samples FROM packs p"""),
+    "s10_pack_catalog": query("""SELECT pack_id, CASE WHEN k % 11 = 0 THEN ' ' ELSE p_name END AS pack_name,
+        CASE WHEN k % 5 = 0 THEN '1.0' ELSE '1.0.' || p_size END AS version,
+        CASE WHEN k % 13 = 0 THEN 'other/v2' WHEN k % 2 = 0 THEN 'perfcap.pack/v1' ELSE 'perfcap.pack/v1.1' END AS schema_version,
+        k % 4 AS rule_count, k % 3 = 1 AS always_applicable, CASE WHEN k % 3 = 0 THEN 'never (no applicability block)' WHEN k % 3 = 1 THEN 'always'
+          WHEN k % 4 = 1 THEN 'all of: ' || p_brand WHEN k % 4 = 2 THEN 'any of: ' || p_brand ELSE 'never (empty applicability block)' END AS applicability,
+        '/packs/' || k AS path FROM pk""", extra=_PARTS),
     "s11_pack_registry": f"""WITH p AS (SELECT *, p_size || '.0.0' AS v, make_timestamp((1600000000 + p_partkey) * 1000000) AS t FROM part)
       SELECT p_brand AS pack_id, v AS version, coalesce('/p/' || max(p_partkey) FILTER (WHERE p_partkey % 2 = 0), '/old') AS storage_path,
         {sql_iso('coalesce(min(t) FILTER (WHERE p_partkey % 2 = 1), min(t))')} AS created_at FROM p GROUP BY ALL
@@ -509,11 +515,10 @@ SQL = {
           WHEN len(requires_all) > 0 THEN list_has_all(present, list_transform(requires_all, lambda x: lower(x)))
           ELSE list_has_any(present, list_transform(requires_any, lambda x: lower(x))) END))
       UNION ALL SELECT dataset_id, 'line-items', 'explicit', 'explicit' FROM pack_present
-      UNION ALL SELECT '', 'Pack ''nowhere'' not found on any search path.', 'error', 'error'"""),
-    "f11_pack_violations": "SELECT pack_id, subject, level, message, 1::BIGINT AS n, (SELECT count(*) FROM events) AS samples FROM (VALUES "
-        + ", ".join(f"('Broken_Pack', {lit(s)}, {lit(lv)}, {lit(m)})" for s, lv, m in _BROKEN)
-        + ", ('event-core', 'critical-error-value', 'error', 'Rule ''critical-error-value'': references recommendation "
-        + "''missing-id'' which is not defined in the pack'), ('no-block', 'pack', 'warning', 'Pack ''no-block'' contains no rules')) AS v(pack_id, subject, level, message)",
+      UNION ALL SELECT '', 'no pack has the id ''nowhere''', 'error', 'error'"""),
+    "f11_pack_violations": query("""SELECT pack_id, subject, level, message, count(*) AS n,
+        pack_id NOT IN (SELECT pack_id FROM pk_found WHERE level = 'error' AND message IS NOT NULL) AS usable
+      FROM pk_found WHERE message IS NOT NULL GROUP BY ALL""", extra=_PARTS),
     "c14_number_text": """SELECT o_orderkey, regexp_replace(o_totalprice::VARCHAR, '\\.0$', '') AS price,
         regexp_replace((o_orderkey / 4.0)::DOUBLE::VARCHAR, '\\.0$', '') AS quarter, printf('%.2f', o_totalprice) AS fixed FROM orders""",
 }

@@ -261,3 +261,38 @@ def event_capture_files(spark, sf_dir, folder: str) -> None:
 def event_capture_catalog(lines: DataFrame) -> DataFrame:
     """Catalog of the event captures; the digest is that of the path."""
     return lines.select("path").distinct().select("path", F.sha2("path", 256).alias("sha256"), F.lit("csv").alias("source_type"))
+
+
+def part_packs(spark, sf_dir):
+    """(packs, rules, conditions, recommendations): every part as a pack, with faults by remainders of its key."""
+    k, i, j = F.col("k"), F.col("i"), F.col("j")
+    either = lambda test, bad, good: F.when(test, bad).otherwise(good)
+    one = lambda test, c: F.when(test, F.array(c)).otherwise(F.array().cast("array<string>"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name", "p_size", "p_brand", "p_type")
+    text = k.cast("string")
+    p = p.withColumn("pack_id", F.concat(either(k % 7 == 0, "Pack_", "pack-"), text))
+    packs = p.select(
+        "pack_id", either(k % 11 == 0, F.lit(" "), F.col("p_name")).alias("pack_name"),
+        either(k % 5 == 0, F.lit("1.0"), F.concat(F.lit("1.0."), F.col("p_size").cast("string"))).alias("version"),
+        F.when(k % 13 == 0, "other/v2").when(k % 2 == 0, "perfcap.pack/v1").otherwise("perfcap.pack/v1.1").alias("schema_version"),
+        F.col("p_type").alias("description"), (k % 3 != 0).alias("has_applicability"), (k % 3 == 1).alias("always"),
+        one((k % 3 == 2) & (k % 4 == 2), F.col("p_brand")).alias("requires_any"),
+        one((k % 3 == 2) & (k % 4 == 1), F.col("p_brand")).alias("requires_all"), F.concat(F.lit("/packs/"), text).alias("path"))
+    r = p.where(k % 4 > 0).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), k % 4)))
+    r = r.withColumns({"rule_id": F.concat(F.lit("rule-"), either(k % 17 == 0, F.lit(1).cast("long"), i).cast("string")), "n_conditions": (k + i) % 3})
+    rules = r.select(
+        "pack_id", "rule_id", either((k + i) % 9 == 0, "fatal", "warning").alias("severity"),
+        either((k + i) % 10 == 0, "none", "cpu").alias("category"), either((k + i) % 19 == 0, " ", "T").alias("title"),
+        either((k + i) % 23 == 0, "", "S").alias("summary"), F.col("n_conditions").cast("int").alias("n_conditions"),
+        F.concat(F.array(F.lit("look")), one((k + i) % 6 == 0, F.lit("missing"))).alias("recommendation_ids"))
+    c = r.where("n_conditions > 0").withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_conditions"))))
+    windowed = (k + i) % 4 == 0
+    conditions = c.select(
+        "pack_id", "rule_id", F.concat(F.lit("m"), j.cast("string")).alias("metric"),
+        F.when((k + i + j) % 8 == 0, "sum").when((k + i + j) % 8 == 4, "trend").otherwise("avg").alias("aggregation"),
+        either((k + j) % 12 == 0, "ne", "gt").alias("operator"), either((k + i + j) % 14 == 0, F.lit(120.0), F.lit(10.0)).alias("duration_percent"),
+        F.when((k + j) % 15 == 0, "disk").alias("hc_variable"), F.when(windowed, k % 50 + 10).alias("window_s"),
+        F.when(windowed, (k + j) % 60).alias("step_s"), F.when(windowed, k % 3).alias("min_samples"))
+    recommendations = p.select("pack_id", F.lit("look").alias("rec_id"), either(k % 21 == 0, "urgent", "high").alias("priority"),
+                               either(k % 22 == 0, "", "t").alias("text"))
+    return packs, rules, conditions, recommendations

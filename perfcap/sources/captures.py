@@ -231,7 +231,7 @@ def bad_line_warnings(marks: DataFrame) -> DataFrame:
     number = row - F.col("_row0") + F.col("_before") + 1
     return bad.select(
         "dataset_id", F.lit("collector.warning").alias("code"),
-        F.format_string("Line %d: Could not parse timestamp '%s', skipping.", number, F.col("_stamp"))
+        F.format_string("line %d left out: no time in '%s'", number, F.col("_stamp"))
         .alias("message"), F.lit("warning").alias("severity"), number.alias("ord"))
 
 

@@ -140,9 +140,20 @@ class RuleBook:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> "RuleBook":
-        """Packs under a folder, in path order (size of configuration, not of data)."""
-        rows = read_packs(spark, path).orderBy("path").collect()
-        return cls(spark, [r.asDict(recursive=True) for r in rows])
+        """Packs under a folder, in path order (size of configuration, not of data).
+
+        Files that cannot be read, repeat the name of an earlier folder or break the format are left out; ``errors`` says why.
+        """
+        from perfcap.operators.packs import usable_files
+
+        rows = [r.asDict(recursive=True) for r in read_packs(spark, path).orderBy("path").collect()]
+        readable = [r for r in rows if r["error"] is None]
+        if not readable:
+            return cls(spark, rows)
+        used, refused = usable_files(_literal(spark, readable))
+        paths = {r["path"] for r in used.select("path").collect()}
+        why = [{**rows[0], "error": f"{r['path']}: {r['message']}"} for r in refused.orderBy("path", "message").collect()]
+        return cls(spark, [r for r in rows if r["error"] is not None or r["path"] in paths] + why)
 
     def _any(self, test) -> bool:
         return any(test(c) for p in self.records for r in p["rules"] for c in r["conditions"])

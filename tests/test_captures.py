@@ -57,7 +57,7 @@ def test_edge_cells(spark, tmp_path):
     memory = [rows[k] for k in sorted(rows) if k[0] == 2]
     assert cpu == [12.5, 1234.0, None, 100.0, -3.0]
     assert memory[:3] == [None, -5.0, None] and memory[3] != memory[3] and memory[4] == -7.0
-    assert [r.message for r in c.warnings.collect()] == ["Line 4: Could not parse timestamp '\"not a time\"', skipping."]
+    assert [r.message for r in c.warnings.collect()] == ["line 4 left out: no time in '\"not a time\"'"]
     d = c.datasets.first()
     assert (d.sample_count, d.row_count, d.gap_count, d.sample_interval_seconds) == (10, 5, 0, 15.0)
     assert (d.machine_name, d.input_digest[:16]) == ("SERVER01", d.dataset_id[3:])
@@ -85,7 +85,7 @@ def test_split_files_keep_line_order(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert expected[1].startswith("Line 4002:") and expected[0].row_count == 5999
+    assert expected[1].startswith("line 4002 left out:") and expected[0].row_count == 5999
 
 
 def test_rejected(spark, tmp_path):
@@ -148,6 +148,18 @@ def test_pack_files(spark, tmp_path):
     assert (book.has_host, book.has_windows, book.has_guards) == (True, False, False)
 
 
+def test_faulty_and_repeated_packs(spark, tmp_path):
+    """Packs that break the format, and second folders of a name, are not used; the rest are."""
+    write_pack(tmp_path / "a", PACK)
+    write_pack(tmp_path / "b", {**PACK, "pack_name": "Second"})
+    write_pack(tmp_path / "a", {**PACK, "pack_id": "Bad_Id", "version": "1"})
+    book = RuleBook.read(spark, str(tmp_path))
+    assert [r["pack_name"] for r in book.records] == ["CPU"]
+    assert [e.split(": ", 1)[1] for e in book.errors] == [
+        "pack_id: 'Bad_Id' is not a letter followed by a-z, 0-9 and hyphens", "version: '1' is not three numbers joined by dots",
+        "a folder of this name came before"]
+
+
 ODD_NAMES = ["plain.csv", "with space.csv", "p%q.csv", "hash#1.csv", "a+b.csv", "grün [1] {x}.csv"]
 
 
