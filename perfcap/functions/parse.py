@@ -18,6 +18,11 @@ _TIMESTAMP_SHAPES = [
 # ISO dates with optional time, fraction, zone: Spark's own cast reads them.
 _ISO = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,7})?)? ?(Z|[+-]\d{2}:?\d{2})?)?$"
 
+# Other common forms: the year first with slashes, the month first with hyphens, the month by name (with weekday and GMT or not).
+_YEAR_FIRST = r"^\d{4}/\d{1,2}/\d{1,2}( \d{1,2}:\d{2}(:\d{2}(\.\d{1,7})?)?)?$"
+_MONTH_FIRST = r"^\d{1,2}-\d{1,2}-\d{4}( \d{1,2}:\d{2}(:\d{2}(\.\d{3})?)?)?$"
+_NAMED = r"^\d{1,2} [A-Za-z]{3} \d{4}( \d{1,2}:\d{2}(:\d{2})?)?$"
+
 _DIGITS = r"(\d[\d,]*\.?\d*|\.\d+)([eE][+-]?\d+)?"
 
 
@@ -43,7 +48,12 @@ def parse_ts(cell: Column) -> Column:
         parsed = F.try_to_timestamp(F.upper(text), F.lit(pattern))
         cond = text.rlike(shape)
         expr = F.when(cond, parsed) if expr is None else expr.when(cond, parsed)
-    return expr.when(text.rlike(_ISO), text.try_cast("timestamp"))
+    named = F.regexp_replace(text, "^[A-Za-z]{3}, | (GMT|UTC)$", "")
+    return (
+        expr.when(text.rlike(_ISO), text.try_cast("timestamp"))
+        .when(text.rlike(_YEAR_FIRST), F.replace(text, F.lit("/"), F.lit("-")).try_cast("timestamp"))
+        .when(text.rlike(_MONTH_FIRST), F.try_to_timestamp(text, F.lit("M-d-yyyy[ H:mm[:ss[.SSS]]]")))
+        .when(named.rlike(_NAMED), F.try_to_timestamp(named, F.lit("d MMM yyyy[ H:mm[:ss]]"))))
 
 
 def parse_value(cell: Column) -> Column:

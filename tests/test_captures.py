@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from perfcap.functions import parse
 from perfcap.plans.analyze import analyze_path
 from perfcap.sinks import reports, writers
 from perfcap.sources import captures as C
@@ -63,6 +64,16 @@ def test_edge_cells(spark, tmp_path):
     assert (d.machine_name, d.input_digest[:16]) == ("SERVER01", d.dataset_id[3:])
 
 
+@pytest.mark.parametrize("text,expected", [
+    ("2026/04/23 08:00:00", "2026-04-23 08:00:00"), ("04-23-2026 08:00:00", "2026-04-23 08:00:00"), ("04-23-2026 08:00:00.250", "2026-04-23 08:00:00.25"),
+    ("23 Apr 2026 08:00", "2026-04-23 08:00:00"), ("Thu, 23 Apr 2026 08:00:00 GMT", "2026-04-23 08:00:00"), ("23 apr 2026", "2026-04-23 00:00:00"),
+    ("2026/4/3", "2026-04-03 00:00:00"), ("4/23/2026", "2026-04-23 00:00:00"), ("2026-04-23T08:00:00+02:00", "2026-04-23 06:00:00"),
+    ("23-04-2026 08:00:00", None), ("23 Foo 2026 08:00", None), ("2026/13/01 08:00", None), ("Thu, ", None), ("12", None)])
+def test_timestamps_of_other_forms(spark, text, expected):
+    row = spark.createDataFrame([(f'"{text}"',)], "c string").select(parse.parse_ts(F.col("c")).cast("string").alias("ts")).first()
+    assert row.ts == expected
+
+
 def test_gaps_follow_file_order(spark, tmp_path):
     stamps = ["08:00:00", "08:00:15", "08:00:30", "08:01:30", "08:01:20", "08:01:35"]
     write_capture(tmp_path / "g.csv", [(f"04/23/2026 {s}.000", 1) for s in stamps])
