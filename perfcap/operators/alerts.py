@@ -4,11 +4,7 @@ The life cycle of an alert (workspace, rule) is a function of its time-ordered f
 computed with running aggregates over that history, sliced by time (see ``skew.running``), for all alerts at once.
 """
 
-import hashlib
-import hmac
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from perfcap import fixed
 from perfcap.functions.compare import severity_of_rank, severity_rank
@@ -165,21 +161,34 @@ def alert_events(history: DataFrame) -> DataFrame:
 
 # --- notifications -------------------------------------------------------------
 
-@F.pandas_udf(T.StringType())
-def hmac_sha256(secret: pd.Series, payload: pd.Series) -> pd.Series:
-    return pd.Series([
-        None if not s else hmac.new(s.encode(), p.encode(), hashlib.sha256).hexdigest() for s, p in zip(secret, payload)])
+def hmac_pads(secret: Column) -> tuple[Column, Column]:
+    """Inner and outer padded key of HMAC-SHA256: the key (its digest beyond 64 bytes), zeros, each byte XORed."""
+    key = F.when(F.octet_length(secret) > 64, F.unhex(F.sha2(F.encode(secret, "UTF-8"), 256))).otherwise(F.encode(secret, "UTF-8"))
+    digits = F.rpad(F.hex(key), 128, "0")
+
+    def xored(byte: int) -> Column:
+        pair = lambda i: F.conv(F.substring(digits, 2 * i + 1, 2), 16, 10).cast("int").bitwiseXOR(F.lit(byte))
+        return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(pair(i)), 2, "0")), ""))
+
+    return xored(0x36), xored(0x5C)
+
+
+def hmac_sha256(inner: Column, outer: Column, payload: Column) -> Column:
+    """Hexadecimal HMAC-SHA256 of a text, from the padded keys."""
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(payload, "UTF-8")), 256))), 256)
 
 
 def notification_outbox(events: DataFrame, sinks: DataFrame) -> DataFrame:
     """One row per event and enabled sink of the workspace that subscribes to it, with payload and signature."""
     names = F.filter(F.transform(F.split("events", ","), lambda e: F.trim(e)), lambda e: e != "")
+    signed = F.coalesce(F.col("secret") != "", F.lit(False))
+    pads = [F.when(signed, pad).alias(name) for name, pad in zip(("_inner", "_outer"), hmac_pads(F.col("secret")))]  # once a sink
     enabled = sinks.where("enabled").select(
-        "workspace_id", "sink_id", F.col("name").alias("sink_name"), "secret", F.explode(F.array_distinct(names)).alias("event"))
+        "workspace_id", "sink_id", F.col("name").alias("sink_name"), *pads, F.explode(F.array_distinct(names)).alias("event"))
     alert = F.struct("workspace_id", "rule_id", F.col("alert_severity").alias("severity"), "category", "title",
                      F.col("run_id").alias("latest_run_id"))
     payload = F.to_json(F.struct("event", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), alert.alias("alert")))
     rows = events.join(enabled, ["workspace_id", "event"]).select(
-        "sink_id", "sink_name", "workspace_id", "rule_id", "segment", "at", "event", payload.alias("payload"), "secret")
-    signature = F.concat(F.lit("sha256="), hmac_sha256("secret", "payload"))
-    return rows.withColumn("signature", signature).drop("secret")
+        "sink_id", "sink_name", "workspace_id", "rule_id", "segment", "at", "event", payload.alias("payload"), "_inner", "_outer")
+    signature = F.concat(F.lit("sha256="), hmac_sha256(F.col("_inner"), F.col("_outer"), F.col("payload")))
+    return rows.withColumn("signature", signature).drop("_inner", "_outer")

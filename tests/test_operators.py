@@ -1,5 +1,7 @@
 """Small inputs with known answers."""
 
+import hashlib
+import hmac
 from datetime import datetime, timedelta
 from itertools import combinations
 import random
@@ -259,3 +261,18 @@ def test_schedule_messages(spark):
     got = {r.schedule_id: r.message for r in G.validate_schedules(df).collect()}
     assert set(got) == {"name", "interval", "packs", "json", "type"}
     assert got["type"].startswith("unsupported source type '(missing)'")
+
+
+def test_signatures(spark):
+    """The digest of the standard library, for short, long and non-ASCII secrets; none without a secret."""
+    secrets = ["k", "é" * 20, "x" * 64, "y" * 65, "long secret " * 20, "", None]
+    sinks = spark.createDataFrame([("w", f"s{i}", "n", k, "alert.created, ,alert.resolved", True) for i, k in enumerate(secrets)],
+                                  "workspace_id string, sink_id string, name string, secret string, events string, enabled boolean")
+    row = ("w", "r", 1, T0, "alert.created", "critical", "cpu", "Tïtle", "run")
+    events = spark.createDataFrame([row], "workspace_id string, rule_id string, segment long, at timestamp, event string, alert_severity string, "
+                                          "category string, title string, run_id string")
+    got = {r.sink_id: r for r in A.notification_outbox(events, sinks).collect()}
+    assert len(got) == len(secrets)
+    for i, secret in enumerate(secrets):
+        r = got[f"s{i}"]
+        assert r.signature == ("sha256=" + hmac.new(secret.encode(), r.payload.encode(), hashlib.sha256).hexdigest() if secret else None)
