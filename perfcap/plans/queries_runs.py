@@ -9,6 +9,7 @@ from perfcap.operators import alerts as A, crossrun as X, listing as L, retentio
 from perfcap.plans import views
 from perfcap.plans.queries_rules import iso, sql_iso
 from perfcap.plans.sqltext import query, rank
+from perfcap.session import cut_lineage
 
 NOW = datetime(1999, 1, 1)
 NOW_SCHEDULE = datetime(2023, 11, 14, 23, 0)
@@ -88,10 +89,15 @@ def union_keys(spark, sf_dir):
     return X.presence(r, f).select("workspace_id", "key").distinct()
 
 
-def _trends_pairs(spark, sf_dir, last=fixed.TREND_DEFAULT_RUNS):
+def _trends(spark, sf_dir, last=fixed.TREND_DEFAULT_RUNS):
+    """(findings, trend rows), the trends written once."""
     r, f = _hist(spark, sf_dir)
-    t = X.trends_of(X.presence(r, f, last))
-    return f, t, X.correlations(t)
+    return f, cut_lineage(X.trends_of(X.presence(r, f, last)))
+
+
+def _trends_pairs(spark, sf_dir, last=fixed.TREND_DEFAULT_RUNS):
+    f, t = _trends(spark, sf_dir, last)
+    return f, t, cut_lineage(X.correlations(t, materialize=cut_lineage))
 
 
 def correlations(spark, sf_dir):
@@ -107,9 +113,17 @@ def correlations_short(spark, sf_dir):
                     F.col("pair_ord").cast("bigint").alias("pair_ord"))
 
 
+def correlations_long(spark, sf_dir):
+    """A window of 100 runs (months of orders) with a key per customer: nearly every key has a run set of its own."""
+    t = cut_lineage(X.trends_of(X.presence(views.order_months(spark, sf_dir), views.order_findings(spark, sf_dir), fixed.TREND_MAX_RUNS)))
+    return X.correlations(t, materialize=cut_lineage).select(
+        "workspace_id", "key_a", "key_b", "direction_a", "direction_b", "co_run_count", "total_runs",
+        F.round("co_score", 6).alias("co_score"), F.col("pair_ord").cast("bigint").alias("pair_ord"))
+
+
 def diagnostics(spark, sf_dir, last=fixed.TREND_DEFAULT_RUNS):
     f, t, p = _trends_pairs(spark, sf_dir, last)
-    return X.diagnostics(f, t.drop("points"), p).select(
+    return X.diagnostics(f, t.drop("low", "high"), p).select(
         "run_id", "insight_id", "severity", "category", "title", "narrative",
         F.array_join("recommendations", "|").alias("recommendations"),
         F.array_join("affected_rule_ids", "|").alias("affected_rule_ids"), "source_type",
@@ -122,7 +136,7 @@ def diagnostics_short(spark, sf_dir):
 
 
 def run_trend_hits(spark, sf_dir, last=fixed.TREND_DEFAULT_RUNS):
-    f, t, _ = _trends_pairs(spark, sf_dir, last)
+    f, t = _trends(spark, sf_dir, last)
     keys = f.withColumn("correlation_key", X.correlation_key())
     rising = t.where(F.col("direction").isin("worsening", "appearing"))
     return keys.join(rising, ["workspace_id", "correlation_key"], "left_semi").select("run_id", "finding_id")
@@ -262,6 +276,7 @@ QUERIES = {
     "u1_union_of_keys": union_keys,
     "c5_j7_a16_l5_correlations": correlations,
     "c5_correlations_short_window": correlations_short,
+    "c5_correlations_long_window": correlations_long,
     "c6_l6_u3_diagnostics": diagnostics,
     "c6_diagnostics_short_window": diagnostics_short,
     "j9_run_trend_hits": run_trend_hits,
@@ -484,6 +499,14 @@ SQL = {
         round(co_score, 6) AS co_score, pair_ord FROM pairs""", 10),
     "c5_correlations_short_window": hist("""SELECT workspace_id, key_a, key_b, direction_a, direction_b, co_run_count, pair_ord
       FROM pairs""", 2),
+    "c5_correlations_long_window": query("""SELECT workspace_id, key_a, key_b, direction_a, direction_b, co_run_count, total_runs,
+        round(co_score, 6) AS co_score, pair_ord FROM pairs""", extra={**_trend_views(100),
+        "runs_hist": """SELECT DISTINCT 'ws' || o_custkey % 3 AS workspace_id, 'ws' || o_custkey % 3 || '_' || strftime(o_orderdate, '%Y-%m')
+            AS run_id, 'completed' AS status, date_trunc('month', o_orderdate) AS created_at,
+            date_trunc('month', o_orderdate) AS completed_at FROM orders""",
+        "findings_hist": """SELECT 'ws' || o_custkey % 3 || '_' || strftime(o_orderdate, '%Y-%m') AS run_id, o_orderkey AS finding_ord,
+            'orders' AS rule_id, 'c' || o_custkey AS metric, CASE o_orderpriority[1] WHEN '1' THEN 'critical' WHEN '2' THEN 'warning'
+            ELSE 'informational' END AS severity FROM orders"""}),
     "c6_l6_u3_diagnostics": hist(_INSIGHTS, 10),
     "c6_diagnostics_short_window": hist(_INSIGHTS, 2),
     "j9_run_trend_hits": hist("""SELECT run_id, finding_id FROM findings_hist f WHERE EXISTS (SELECT 1 FROM trend_rows t

@@ -151,6 +151,28 @@ def runs_history(spark, sf_dir) -> DataFrame:
                                                     "yyyyMMdd"))).alias("selected_baseline_id"))
 
 
+def order_months(spark, sf_dir) -> DataFrame:
+    """Months of orders as completed runs of three workspaces (customers by number)."""
+    o = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("ws"), (F.col("o_custkey") % 3).cast("string")).alias("workspace_id"),
+        F.date_trunc("month", "o_orderdate").alias("created_at")).distinct()
+    run = F.concat_ws("_", "workspace_id", F.date_format("created_at", "yyyy-MM"))
+    return o.select("workspace_id", run.alias("run_id"), F.lit("completed").alias("status"), "created_at",
+                    F.col("created_at").alias("completed_at"))
+
+
+def order_findings(spark, sf_dir) -> DataFrame:
+    """A finding per order, of its customer, in its month."""
+    o = table(spark, sf_dir, "orders")
+    urgent = F.substring("o_orderpriority", 1, 1)
+    workspace = F.concat(F.lit("ws"), (F.col("o_custkey") % 3).cast("string"))
+    return o.select(
+        workspace.alias("workspace_id"), F.concat_ws("_", workspace, F.date_format("o_orderdate", "yyyy-MM")).alias("run_id"),
+        F.col("o_orderkey").alias("finding_ord"),
+        F.lit("orders").alias("rule_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("metric"),
+        F.when(urgent == "1", "critical").when(urgent == "2", "warning").otherwise("informational").alias("severity"))
+
+
 def alert_commands(spark, sf_dir) -> DataFrame:
     """Commands against the alerts of the history, at noon of the days whose number fits."""
     f = findings_history(spark, sf_dir).select("workspace_id", "rule_id").distinct()

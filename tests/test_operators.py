@@ -193,25 +193,48 @@ def test_direction(spark, points, expected):
     assert rows["a:m"] == expected
 
 
-def test_pairs_match_brute_force(spark):
-    """Many keys share signatures: the first twenty pairs equal those of forming every pair."""
-    random.seed(5)
-    severities = ["warning", "critical", "informational", None, None]
-    keys = [f"k{i:02d}" for i in range(60)]
-    runs = [{k: s for k in keys if (s := random.choice(severities))} for _ in range(4)]
-    for run in runs:
-        run.update({f"s{i:02d}": "warning" for i in range(30)})
-    r, f = history(spark, *runs)
-    t = X.trends_of(X.presence(r, f))
-    rows = [(X.fixed.DIRECTION_ORDER.index(x.direction), x.correlation_key, x.direction, {p.run_ord for p in x.points}) for x in t.collect()]
+def best_pairs(rows, n=20):
+    """Every pair of keys, formed and sorted."""
+    rows = [(X.fixed.DIRECTION_ORDER.index(x.direction), x.correlation_key, x.direction, {p.run_ord for p in x.points}) for x in rows]
     every = []
     for a, b in combinations(sorted(x for x in rows if len(x[3]) >= 2), 2):
         together = len(a[3] & b[3])
         if together >= 2:
             worse = a[2] == b[2] == "worsening"
             every.append((not worse, a[2] != b[2], -together, a[1], b[1]))
-    got = [(p.key_a, p.key_b, p.co_run_count) for p in X.correlations(t).orderBy("pair_ord").collect()]
-    assert got == [(e[3], e[4], -e[2]) for e in sorted(every)[:20]]
+    return [(e[3], e[4], -e[2]) for e in sorted(every)[:n]]
+
+
+def many_signatures(kind):
+    if kind == "few runs":
+        severities, keys, n = ["warning", "critical", "informational", None, None], [f"k{i:02d}" for i in range(60)], 4
+    else:
+        severities, keys, n = ["warning", "critical"] + [None] * (2 if kind == "dense" else 18), [f"k{i:03d}" for i in range(260)], 100
+    runs = [{k: s for k in keys if (s := random.choice(severities))} for _ in range(n)]
+    for i, run in enumerate(runs):
+        if kind == "few runs":
+            run.update({f"s{i:02d}": "warning" for i in range(30)})
+        elif kind == "directions only":  # one key of each direction: no pair within a direction
+            run.clear()
+            run.update({k: s for k, s in {"stable": "warning", "falling": "critical" if i < 50 else "warning",
+                                          "coming": "warning" if i > 40 else None, "going": "warning" if i < 70 else None,
+                                          "now and then": "warning" if 30 < i < 60 else None}.items() if s})
+    return runs
+
+
+@pytest.mark.parametrize("kind", ["few runs", "dense", "sparse", "directions only"])
+def test_pairs_match_brute_force(spark, kind):
+    """Many keys share signatures, or nearly every key has its own: the first pairs equal those of forming every pair."""
+    random.seed(5)
+    r, f = history(spark, *many_signatures(kind))
+    t = X.trends_of(X.presence(r, f, 100), with_points=True)
+    t = spark.createDataFrame(t.collect(), t.schema)
+    rows = t.collect()
+    assert all(bin(x.low & (2**64 - 1)).count("1") + bin(x.high).count("1") == x.run_count for x in rows)
+    for n in (20, 3):
+        got = [(p.key_a, p.key_b, p.co_run_count) for p in X.correlations(t, n).orderBy("pair_ord").collect()]
+        assert got == best_pairs(rows, n)
+    assert X.correlations(t.limit(0)).count() == 0
 
 
 def test_policy_needs_three_of_five(spark):
