@@ -97,7 +97,7 @@ def _trends(spark, sf_dir, last=fixed.TREND_DEFAULT_RUNS):
 
 def _trends_pairs(spark, sf_dir, last=fixed.TREND_DEFAULT_RUNS):
     f, t = _trends(spark, sf_dir, last)
-    return f, t, cut_lineage(X.correlations(t, materialize=cut_lineage))
+    return f, t, X.correlations(t, materialize=cut_lineage)
 
 
 def correlations(spark, sf_dir):
