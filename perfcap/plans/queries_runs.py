@@ -1,5 +1,6 @@
 """Registered queries over run history, alerts, retention, schedules and notifications, with their SQL."""
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from perfcap.operators import alerts as A, crossrun as X, listing as L, retentio
 from perfcap.plans import views
 from perfcap.plans.queries_rules import iso, sql_iso
 from perfcap.plans.sqltext import query, rank
-from perfcap.session import cut_lineage
+from perfcap.session import cut_lineage, remove, shared_folder
+from perfcap.streaming import alerts as live
 
 NOW = datetime(1999, 1, 1)
 NOW_SCHEDULE = datetime(2023, 11, 14, 23, 0)
@@ -205,6 +207,36 @@ def history(spark, sf_dir):
         "outcome", F.coalesce("event", F.lit("")).alias("event"), F.coalesce("alert_severity", F.lit("")).alias("alert_severity"))
 
 
+def _streamed_history(spark, sf_dir):
+    """The alert history by the keyed state of a stream that is stopped and started again in the middle."""
+    r, f = _hist(spark, sf_dir)
+    rows = cut_lineage(A.lifecycle_input(A.finding_events(r, f, A.escalations(r, f)), views.alert_commands(spark, sf_dir)))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder = f"{shared_folder(spark).rstrip('/')}/perfcap-alerts-{uuid.uuid4().hex}"
+    for part in (F.dayofmonth("at") <= 15, F.dayofmonth("at") > 15):  # the events are of one month
+        rows.where(part).write.mode("append").parquet(f"{folder}/in")
+        live.alert_stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/in")).writeStream.format("parquet").option(
+            "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    result = cut_lineage(spark.read.parquet(f"{folder}/out"))
+    remove(spark, folder)
+    return result
+
+
+def streamed_history(spark, sf_dir):
+    return _streamed_history(spark, sf_dir).select(
+        "workspace_id", "rule_id", "segment", iso("at").alias("event_at"), "action", F.coalesce("run_id", F.lit("")).alias("run_id"),
+        "outcome", F.coalesce("event", F.lit("")).alias("event"), F.coalesce("alert_severity", F.lit("")).alias("alert_severity"))
+
+
+def streamed_outbox(spark, sf_dir):
+    box = live.outbox_stream(_streamed_history(spark, sf_dir), views.sinks(spark, sf_dir))
+    return box.select("sink_id", "workspace_id", "rule_id", "segment", iso("at").alias("event_at"), "event",
+                      F.get_json_object("payload", "$.alert.severity").alias("severity"),
+                      F.get_json_object("payload", "$.timestamp").alias("stamp"),
+                      F.coalesce(F.length("signature"), F.lit(0)).cast("bigint").alias("signature_length"))
+
+
 def alert_rows(spark, sf_dir):
     return A.alerts_of(_history(spark, sf_dir)).select(
         "workspace_id", "rule_id", "segment", "severity", "status", "triggering_run_id", "latest_run_id",
@@ -289,6 +321,8 @@ QUERIES = {
     "a17_rule_dedup": rule_dedup,
     "c8_a18_w5_policy": policy,
     "c9_c10_w6_alert_history": history,
+    "st7_alert_stream": streamed_history,
+    "st8_outbox_stream": streamed_outbox,
     "c9_alerts": alert_rows,
     "k6_notification_outbox": outbox,
     "c11_l9_purged_runs": purged_runs,
@@ -571,3 +605,5 @@ SQL = {
           ELSE {sql_iso('next_run_at')} END, '') AS next_run_at
       FROM (SELECT *, enabled AND (next_run_at IS NULL OR next_run_at <= TIMESTAMP '2023-11-14 23:00:00') AS due FROM sched)"""),
 }
+SQL["st7_alert_stream"] = SQL["c9_c10_w6_alert_history"]  # the stream gives what the batch gives
+SQL["st8_outbox_stream"] = SQL["k6_notification_outbox"]

@@ -9,7 +9,7 @@ from perfcap.operators import normalize as N, packs as P, skew
 from perfcap.plans import analyze as Z, event_rules, views
 from perfcap.plans.queries_rules import Events, iso, sql_iso
 from perfcap.plans.sqltext import lit, query, values
-from perfcap.sinks import reports as R
+from perfcap.sinks import reports as R, writers
 from perfcap.session import cut_lineage, remove, shared_folder
 from perfcap.sources import captures as C, packs as S, runs as H
 from perfcap.streaming import captures as live, commits
@@ -221,6 +221,37 @@ def html(spark, sf_dir):
     return R.render_html(_analysis(spark, sf_dir).reports)
 
 
+def _used(spark, name):
+    return f"{shared_folder(spark).rstrip('/')}/perfcap-{name}-{uuid.uuid4().hex}"
+
+
+def rewritten_results(spark, sf_dir):
+    """Findings written for all runs, then again for runs of even days with their severity, and none for every fourth day."""
+    f, path = views.findings_history(spark, sf_dir), _used(spark, "results")
+    day = F.substring("run_id", -2, 2).cast("int")
+    writers.write_results(f.withColumn("severity", F.lit("old")), path)
+    writers.write_runs(f.where((day % 2 == 0) & (day % 4 != 0)), path, runs=f.where(day % 2 == 0).select("run_id").distinct())
+    result = cut_lineage(writers.read_runs(spark, path).select("run_id", "rule_id", "metric", "severity", "finding_ord"))
+    remove(spark, path)
+    return result
+
+
+def dataset_artifacts(spark, sf_dir):
+    """Samples as parquet and as JSON lines, each written twice and read back."""
+    s, parts = views.samples_ev(spark, sf_dir), []
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.schema.fields)
+    for kind, write in (("parquet", writers.write_dataset_artifact), ("json", writers.write_dataset_json)):
+        path = _used(spark, kind)
+        write(s.withColumn("value", F.lit(0.0)), path)
+        write(s, path)
+        back = writers.read_runs(spark, path, "dataset_id", kind=kind, schema=schema)
+        parts.append(cut_lineage(back.groupBy("dataset_id", "metric").agg(
+            F.count("*").alias("lines"), F.count("value").alias("valid"), F.round(F.sum("value"), 4).alias("total"),
+            F.min(iso("ts")).alias("first_stamp")).withColumn("kind", F.lit(kind))))
+        remove(spark, path)
+    return parts[0].unionByName(parts[1])
+
+
 def stored_runs(spark, sf_dir):
     f = views.findings_history(spark, sf_dir)
     docs = H.findings_json(f)
@@ -311,6 +342,8 @@ QUERIES = {
     "s6_capture_rejected": capture_rejected,
     "c2_capture_findings": capture_findings,
     "k1_report_documents": report_documents,
+    "k4_k5_dataset_artifacts": dataset_artifacts,
+    "k8_rewritten_results": rewritten_results,
     "k2_markdown": markdown,
     "k3_html": html,
     "s14_stored_runs": stored_runs,
@@ -492,6 +525,10 @@ SQL = {
           arg_min(rule_id, severity || category || rule_id) AS first_rule FROM cap_hits GROUP BY ALL) h USING (dataset_id)
         JOIN (SELECT 'ds_' || substr(sha256(path), 1, 16) AS dataset_id, count_if(bad) AS bads FROM cap GROUP BY ALL) b USING (dataset_id)
       GROUP BY g.dataset_id"""),
+    "k4_k5_dataset_artifacts": src("""SELECT dataset_id, metric, count(*) AS lines, count(value) AS valid, round(sum(value), 4) AS total,
+        """ + sql_iso("min(ts)") + """ AS first_stamp, kind FROM samples_ev, (SELECT unnest(['parquet', 'json']) AS kind) GROUP BY ALL"""),
+    "k8_rewritten_results": src("""SELECT run_id, rule_id, metric, CASE WHEN right(run_id, 2)::INT % 2 = 0 THEN severity ELSE 'old' END AS severity,
+        finding_ord FROM findings_hist WHERE right(run_id, 2)::INT % 4 <> 0"""),
     "s14_stored_runs": src("""SELECT run_id, rule_id, metric, severity, finding_id, row_number() OVER (PARTITION BY run_id ORDER BY finding_ord) AS finding_ord
       FROM findings_hist WHERE right(run_id, 1) NOT IN ('3', '7')
       UNION ALL SELECT DISTINCT run_id, 'run.findings_malformed', NULL, NULL, NULL, NULL FROM findings_hist WHERE right(run_id, 1) = '3'"""),

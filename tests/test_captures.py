@@ -135,17 +135,29 @@ def test_analysis_and_reports(spark, tmp_path):
     assert json_rows.where(F.get_json_object("json", "$.findings[0].evidence.metrics[0].statistics.count") == "20").count() == 2
 
     writers.write_dataset_artifact(a.captures.samples, str(tmp_path / "artifact"))
-    assert spark.read.parquet(str(tmp_path / "artifact")).count() == 80
+    assert writers.read_runs(spark, str(tmp_path / "artifact"), "dataset_id").count() == 80
     writers.write_text_reports(reports.render_markdown(a.reports), "markdown", str(tmp_path / "md"))
     writers.write_json_rows(a.findings, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 2
 
 
 def test_results_are_replaced_per_run(spark, tmp_path):
-    first = spark.createDataFrame([("r1", 1), ("r1", 2), ("r2", 3)], "run_id string, n int")
-    writers.write_results(first, str(tmp_path / "t"))
-    writers.write_results(spark.createDataFrame([("r1", 9)], "run_id string, n int"), str(tmp_path / "t"))
-    assert sorted((r.run_id, r.n) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [("r1", 9), ("r2", 3)]
+    kind, path = "run_id string, n int", str(tmp_path / "t")
+    read = lambda **o: sorted((r.run_id, r.n) for r in writers.read_runs(spark, path, **o).collect())
+    assert writers.read_runs(spark, path) is None
+    first = spark.createDataFrame([("r1", 1), ("r1", 2), ("r2", 3), (None, 4)], kind)
+    writers.write_results(first, path)
+    writers.write_results(spark.createDataFrame([("r1", 9)], kind), path)
+    writers.write_results(spark.createDataFrame([], kind), path)
+    assert read() == [("r1", 9), ("r2", 3)] and read(only=["r2", "none"]) == [("r2", 3)]
+    writers.write_runs(spark.createDataFrame([], kind), path, runs=spark.createDataFrame([("r2",)], "run_id string"))
+    assert read() == [("r1", 9)]
+
+    many = spark.range(500).selectExpr("concat('x', id) AS run_id", "cast(id AS int) AS n")
+    writers.write_runs(many, path, runs=many.select("run_id").limit(0))  # as after a loss: the rows are there, the manifest is not
+    assert read() == [("r1", 9)]
+    writers.write_results(many, path)
+    assert len(read()) == 501 and len(list((tmp_path / "t" / "rows").glob("_bucket=*"))) <= writers.BUCKETS
 
 
 def test_pack_files(spark, tmp_path):
@@ -210,4 +222,6 @@ def test_sinks_keep_other_datasets(spark, tmp_path):
         writers.write_json_rows(rows, str(tmp_path / "added"))
     writers.write_json_rows(rows, str(tmp_path / "json"), "dataset_id")
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "md")).collect()) == ["report a", "report b"]
-    assert spark.read.json(str(tmp_path / "json")).count() == spark.read.json(str(tmp_path / "added")).count() == 2
+    assert sorted(r.markdown for r in writers.read_runs(spark, str(tmp_path / "json"), "dataset_id", kind="json").collect()) == [
+        "report a", "report b"]
+    assert [r.markdown for r in spark.read.json(str(tmp_path / "added")).collect()] == ["report b"]  # a table without runs is replaced
