@@ -36,3 +36,7 @@ class Scratch:
         for path in gone:
             where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    def free(self) -> None:
+        """Lets Spark remove the shuffle files of finished steps now: it does so when the driver collects garbage."""
+        self.spark.sparkContext._jvm.System.gc()
