@@ -21,7 +21,7 @@ from perfcap.llm.common import ascii_lower
 DEPTH, Z, WEIGHT, LIMIT = 6, 1.96, 4.0, 0.5
 
 #: Rule (host, then path) and verdict.
-RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "allow"), ("com/fr/", "allow"), ("com/de/", "block")]
+RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
