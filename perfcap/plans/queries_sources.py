@@ -263,10 +263,15 @@ def stored_runs(spark, sf_dir):
 
 
 def pack_list(spark, sf_dir):
-    """The catalog of the packs made of parts."""
-    packs, rules, _, _ = views.part_packs(spark, sf_dir)
-    return P.pack_catalog(packs, rules).select(
-        "pack_id", "pack_name", "version", "schema_version", "rule_count", "always_applicable", "applicability", "path")
+    """The catalog of the packs of rules and of those made of parts, and how many samples the metrics of each pack name."""
+    book = S.RuleBook.of(spark, event_rules.ALL_PACKS)
+    packs, rules, conditions, _ = views.part_packs(spark, sf_dir)
+    catalog = P.pack_catalog(book.packs.select(packs.columns).unionByName(packs), book.rules.select("pack_id").unionByName(rules.select("pack_id")))
+    named = book.conditions.select("pack_id", "metric").unionByName(conditions.select("pack_id", "metric"))
+    samples = views.samples_ev(spark, sf_dir).select("metric").unionByName(views.samples_li(spark, sf_dir).select("metric"))
+    return catalog.join(P.named_samples(named, samples), "pack_id", "left").select(
+        "pack_id", "pack_name", "version", "schema_version", "rule_count", "always_applicable", "applicability", "path",
+        F.coalesce("samples", F.lit(0).cast("bigint")).alias("samples"))
 
 
 def registry(spark, sf_dir):
@@ -532,12 +537,19 @@ SQL = {
     "s14_stored_runs": src("""SELECT run_id, rule_id, metric, severity, finding_id, row_number() OVER (PARTITION BY run_id ORDER BY finding_ord) AS finding_ord
       FROM findings_hist WHERE right(run_id, 1) NOT IN ('3', '7')
       UNION ALL SELECT DISTINCT run_id, 'run.findings_malformed', NULL, NULL, NULL, NULL FROM findings_hist WHERE right(run_id, 1) = '3'"""),
-    "s10_pack_catalog": query("""SELECT pack_id, CASE WHEN k % 11 = 0 THEN ' ' ELSE p_name END AS pack_name,
+    "s10_pack_catalog": query("""SELECT *, coalesce((SELECT sum(n) FROM named JOIN counted USING (metric) WHERE named.pack_id = c.pack_id), 0)::BIGINT AS samples
+      FROM (SELECT pack_id, CASE WHEN k % 11 = 0 THEN ' ' ELSE p_name END AS pack_name,
         CASE WHEN k % 5 = 0 THEN '1.0' ELSE '1.0.' || p_size END AS version,
         CASE WHEN k % 13 = 0 THEN 'other/v2' WHEN k % 2 = 0 THEN 'perfcap.pack/v1' ELSE 'perfcap.pack/v1.1' END AS schema_version,
         k % 4 AS rule_count, k % 3 = 1 AS always_applicable, CASE WHEN k % 3 = 0 THEN 'never (no applicability block)' WHEN k % 3 = 1 THEN 'always'
           WHEN k % 4 = 1 THEN 'all of: ' || p_brand WHEN k % 4 = 2 THEN 'any of: ' || p_brand ELSE 'never (empty applicability block)' END AS applicability,
-        '/packs/' || k AS path FROM pk""", extra=_PARTS),
+        '/packs/' || k AS path FROM pk
+      UNION ALL SELECT p.pack_id, p.pack_name, p.version, p.schema_version, (SELECT count(*) FROM rules r WHERE r.pack_id = p.pack_id), p.always,
+        CASE WHEN NOT has_applicability THEN 'never (no applicability block)' WHEN always THEN 'always'
+          WHEN len(requires_all) > 0 THEN 'all of: ' || array_to_string(requires_all, ', ')
+          WHEN len(requires_any) > 0 THEN 'any of: ' || array_to_string(requires_any, ', ') ELSE 'never (empty applicability block)' END, p.path FROM packs p) c""",
+        extra={**_PARTS, "named": "SELECT pack_id, lower(metric) AS metric FROM conditions UNION SELECT pack_id, 'm' || j FROM pk_conds",
+               "counted": "SELECT metric, count(*) AS n FROM (SELECT metric FROM samples_ev UNION ALL SELECT metric FROM samples_li) GROUP BY ALL"}),
     "s11_pack_registry": f"""WITH p AS (SELECT *, p_size || '.0.0' AS v, make_timestamp((1600000000 + p_partkey) * 1000000) AS t FROM part)
       SELECT p_brand AS pack_id, v AS version, coalesce('/p/' || max(p_partkey) FILTER (WHERE p_partkey % 2 = 0), '/old') AS storage_path,
         {sql_iso('coalesce(min(t) FILTER (WHERE p_partkey % 2 = 1), min(t))')} AS created_at FROM p GROUP BY ALL

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from perfcap.functions import aliases, compare as K, names, text
 from perfcap.operators import alerts as A, crossrun as X, packs as P, retention as T, rolling, rules as R, schedules as G, skew, stats as S
-from perfcap.plans import event_rules
+from perfcap.plans import event_rules, queries_sources
 from perfcap.sources.packs import RuleBook
 
 T0 = datetime(2026, 4, 23, 8)
@@ -276,6 +276,28 @@ def test_pack_validation(spark):
     assert [r.pack_id for r in P.valid_packs(book.packs, found).collect()] == ["event-core"]
 
 
+def test_pack_catalog(spark, tmp_path):
+    """Packs of rules and of parts, each with the samples of events and of line items that its conditions name."""
+    tables = {
+        "part": ([(k, f"name {k}", 7, "Brand#1", "T") for k in (1, 2, 3)], "p_partkey long, p_name string, p_size int, p_brand string, p_type string"),
+        "events": ([(i, i, t, 1.0, T0) for i, t in enumerate(["error", "error", "view", None])], "event_id long, user_id long, event_type string, value double, ts timestamp"),
+        "lineitem": ([("A", "F", 1, T0, 1.0, 2.0, 0.1, 0.2)] * 2,
+                     "l_returnflag string, l_linestatus string, l_linenumber int, l_shipdate timestamp, l_quantity double, l_extendedprice double, l_discount double, l_tax double")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.pack_id: r for r in queries_sources.QUERIES["s10_pack_catalog"](spark, str(tmp_path)).collect()}
+    seen = {"events.error": 2, "events.view": 1, **{f"lineitem.{m}": 2 for m in ("quantity", "extendedprice", "discount", "tax")}}
+    packs = {p["pack_id"]: p.get("rules", []) for p in event_rules.ALL_PACKS}
+    assert set(got) == {*packs, "pack-1", "pack-2", "pack-3"}
+    for name, rules in packs.items():
+        metrics = {c["metric"].lower() for r in rules for c in r["conditions"]}
+        assert (got[name].rule_count, got[name].samples) == (len(rules), sum(seen.get(m, 0) for m in metrics))
+    assert sum(r.samples > 0 for r in got.values()) > 1
+    assert [(got[f"pack-{k}"].rule_count, got[f"pack-{k}"].samples, got[f"pack-{k}"].path) for k in (1, 2, 3)] == [(k, 0, f"/packs/{k}") for k in (1, 2, 3)]
+    few, many = spark.createDataFrame([("p", "M"), ("p", "m"), ("p", None)], "pack_id string, metric string"), spark.createDataFrame([("m",), ("m",), (None,)], "metric string")
+    assert [tuple(r) for r in P.named_samples(few, many).collect()] == [("p", 2)]
+
+
 def test_schedule_messages(spark):
     good = '{"type":"directory","path":"/c","glob":"*.csv"}'
     rows = [("ok", "n", 5, good, ["a"]), ("name", " ", 5, good, ["a"]), ("interval", "n", 4, good, ["a"]),
