@@ -35,6 +35,10 @@ DOCS = 1024
 BYTES = 1 << 20
 BITS = 16
 HASHES = 4
+#: The index is written in row groups of this size, so that a task reads few of its rows, which are large, at a time.
+GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
+#: Hashes of terms that a task keeps.
+KNOWN = 200_000
 #: Pairs of item and term in a block of items.
 TERMS = 20_000
 #: Times k documents that are scored for an item's threshold.
@@ -114,7 +118,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 counts = Counter(terms_of(raw))
                 if not counts:
                     continue
-                if len(known) > 1_000_000:
+                if len(known) > KNOWN:
                     known.clear()
                 hashes = np.fromiter(map(known.__getitem__, counts), "uint64", len(counts))
                 tf = np.fromiter(counts.values(), "int64", len(counts))
@@ -333,6 +337,6 @@ def search(index: DataFrame, items: DataFrame, scratch: Scratch, k: int = 50) ->
 def rank_documents(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     """search over an index of docs that is built for it and goes with it."""
     scratch = Scratch(docs.sparkSession)
-    out = search(scratch.write(build_index(docs)), items, scratch, k)
+    out = search(scratch.write(build_index(docs), **GROUPS), items, scratch, k)
     scratch.drop(keep=len(scratch.paths) - 2)  # all but the index and the items' terms
     return out

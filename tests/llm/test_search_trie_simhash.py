@@ -6,11 +6,14 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from perfcap.llm import prefix_trie, ranked_search, registry, simhash
 from perfcap.llm.sql import SQL
@@ -222,3 +225,23 @@ def test_simhash_odd_ids(spark):
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
     assert (None, 4) in got and (4, 4) in got and (None, None) in got and (2, 2) in got and (3, 2) in got
     assert simhash.near_duplicates(docs.where("false")).collect() == []
+
+
+def test_index_in_small_row_groups(spark, monkeypatch):
+    """A task reads a row group at a time, so the index that a search reads has small ones, whatever its files hold."""
+    docs = spark.range(0, 16, 1, 1).select(F.col("id").alias("doc_id"), F.array_join(
+        F.transform(F.sequence(F.lit(0), F.lit(20_000)), lambda i: F.sha2(F.concat_ws("-", "id", i), 256)), " ").alias("text"))
+    items = docs.where("doc_id in (3, 7)").select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 129).alias("text"))
+    groups, drop = [], ranked_search.Scratch.drop
+
+    def look(scratch, keep=0):
+        for path in scratch.paths:
+            for file in Path(path.removeprefix("file:")).glob("*.parquet"):
+                of = pq.ParquetFile(file).metadata
+                groups.extend(of.row_group(i).total_byte_size for i in range(of.num_row_groups))
+        drop(scratch, keep)
+
+    monkeypatch.setattr(ranked_search.Scratch, "drop", look)
+    found = ranked_search.rank_documents(docs, items, k=1).collect()
+    assert sorted((r["item_id"], r["doc_id"]) for r in found) == [(3, 3), (7, 7)]
+    assert sum(groups) > 24 << 20 and max(groups) < 12 << 20
