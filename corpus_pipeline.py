@@ -56,9 +56,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    rows = keyed(docs)
-    found = decontam.passages(as_ids(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
+    """Documents without a benchmark passage.
+
+    The keys of those with one are written first: Spark knows their size when it plans the join, and texts stay where
+    they are while the keys are few.
+    """
+    rows, scratch = keyed(docs), Scratch(spark)
+    found = scratch.write(decontam.passages(as_ids(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct())
     return rows.join(found, "_row", "left_anti").select(docs.columns)
 
 

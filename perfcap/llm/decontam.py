@@ -18,7 +18,6 @@ give repeated results, null ids stay. An empty table gives no rows. Extra column
 """
 
 import re
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -58,7 +57,7 @@ def _bits(seed: int, step: int, words):
 def walk(flat, start, steps: int, seed: int):
     """What a walk from each start reads at each step, and how far it has come: two arrays (steps, starts)."""
     at = np.zeros(len(start), "int64")
-    words, come = np.empty((steps, len(start)), "int64"), np.empty((steps, len(start)), "int64")
+    words, come = np.empty((steps, len(start)), "int32"), np.empty((steps, len(start)), "int32")
     for step in range(steps):
         words[step] = flat[np.minimum(start + at, len(flat) - 1)]
         come[step] = at
@@ -136,23 +135,33 @@ class Items:
             keep.append(start[k:k + STARTS][different >= self.different[n]])
         return np.concatenate([*keep, np.zeros(0, "int64")])
 
+    def codes(self, words: list[str]):
+        """The number of each word, 0 where no item has it: four bytes a word."""
+        return np.fromiter((self.index.get(w, 0) for w in words), "int32", len(words))
+
     def search(self, texts: list[list[str]]):
         """(text, item, distance, first word, end) of every passage; one row per text and item, the best."""
+        return self.search_codes([self.codes(t) for t in texts])
+
+    def search_codes(self, texts: list):
+        """As `search`, of texts given as codes."""
         size = np.array([len(t) for t in texts], "int64")
-        flat = np.fromiter((self.index.get(w, 0) for w in chain.from_iterable(texts)), "int64", int(size.sum()))
-        if not len(flat) or not self.words:
+        if not size.sum() or not self.words:
             return []
+        flat = np.concatenate(texts).astype("int64")
         ends = np.cumsum(size)
-        owner = np.repeat(np.arange(len(texts)), size)
+        owner = np.repeat(np.arange(len(texts), dtype="int32"), size)
         pair = flat[:-1] * self.width + flat[1:]
         near = np.flatnonzero((flat[:-1] > 0) & (flat[1:] > 0) & (owner[:-1] == owner[1:]))
-        at = np.minimum(np.searchsorted(self.pairs, pair[near]), max(0, len(self.pairs) - 1))
-        hit = np.zeros(len(flat) + 1, "int64")
+        hit = np.zeros(len(flat) + 1, bool)
         if len(self.pairs):
-            hit[near[self.pairs[at] == pair[near]] + 1] = 1
+            at = np.minimum(np.searchsorted(self.pairs, pair[near]), len(self.pairs) - 1)
+            hit[near[self.pairs[at] == pair[near]] + 1] = True
+            del at
+        del near
         longest = max(self.tables)
-        upto = np.concatenate([np.cumsum(hit), np.full(longest, hit.sum())]).astype("int32")  # shared pairs that begin before a word
-        shared = np.append(np.where(hit[1:-1] > 0, pair, -1), np.full(longest, -1))
+        upto = np.append(np.cumsum(hit, dtype="int32"), np.full(longest, hit.sum(), "int32"))  # shared pairs that begin before a word
+        shared = np.append(np.where(hit[1:-1], pair, -1), np.full(longest, -1))
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         dense = {}
         for n, least in self.least.items():
@@ -212,7 +221,7 @@ def passages(docs: DataFrame, items: DataFrame) -> DataFrame:
             import pyarrow as pa
 
             def settle(texts, places, ids):
-                rows = shipped.value.search(texts)
+                rows = shipped.value.search_codes(texts)
                 own = ids.take(pa.array([places[r[0]] for r in rows], pa.int64()))
                 return pa.RecordBatch.from_arrays(
                     [own, pa.array([r[1] for r in rows], item_type), *[pa.array([r[c] for r in rows], pa.int64()) for c in (2, 3, 4)]],
@@ -222,7 +231,7 @@ def passages(docs: DataFrame, items: DataFrame) -> DataFrame:
                 texts, places, size = [], [], 0
                 for i, value in enumerate(batch.column(1)):
                     text = value.as_py() or ""
-                    texts.append(words_of(text))
+                    texts.append(shipped.value.codes(words_of(text)))
                     places.append(i)
                     size += len(text)
                     if size > BLOCK:

@@ -1,6 +1,7 @@
 """The operators' methods against brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -164,6 +165,19 @@ def test_edit_distance_and_recall():
     assert sum(w in got for w in wanted) >= 0.95 * len(wanted) and len(wanted) > 100
 
 
+def test_a_block_of_texts_is_searched_in_few_bytes_a_word():
+    rnd = random.Random(8)
+    search = decontam.Items([(i, " ".join(prose(rnd, 40))) for i in range(20)])
+    texts = [prose(rnd, 300) for _ in range(700)]
+    texts[5][20:20] = list(search.index)[:40]
+    want, codes = search.search(texts), [search.codes(t) for t in texts]
+    tracemalloc.start()
+    assert search.search_codes(codes) == want and len(want) == 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(c.nbytes for c in codes) == 4 * 340 + 4 * 300 * 699 and peak < 80 * 300 * 700
+
+
 def test_divide_skip():
     rnd = random.Random(6)
     for _ in range(60):

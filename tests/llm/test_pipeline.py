@@ -80,3 +80,17 @@ def test_empty_and_all_stages(spark):
         assert scratch.write(function(spark, empty, SF)).count() == 0
         docs = scratch.write(function(spark, docs, SF))
     assert docs.count() >= 7
+
+
+def test_texts_stay_where_few_documents_leak(spark):
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 0, leak).otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+        clean = stage("decontamination")(spark, docs, SF)
+        plan = clean._jdf.queryExecution().executedPlan().toString()
+        assert clean.count() == 2997
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
