@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from perfcap.llm import bpe, chat, decontam, lines, ngram_join, passages, perplexity, toxicity, urls
+from perfcap.llm import bpe, chat, decontam, lines, ngram_join, passages, perplexity, toxicity, urls, wordmodel
 from perfcap.llm.common import tokenizer_path
 from perfcap.llm.components import components
 from perfcap.llm.tables import Scratch
@@ -320,6 +320,57 @@ def test_word_salad_and_other_scripts_fail(spark):
     assert sum(got[i] for i in got if i not in bad) >= 0.98 * (len(got) - len(bad))
 
 
+def test_words_are_scored_by_all_other_texts(spark):
+    """Log-probabilities in any number of slices are those of a count of all other texts, with the discounts of all."""
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choice("abcdefg") * rnd.randint(1, 2) for _ in range(rnd.randint(0, 30))) for _ in range(40)] + ["", None]
+    rows = [(k, "en", t) for k, t in enumerate(texts)]
+
+    def kinds(some):
+        longest = {}
+        for t in some:
+            words = ["<", "<", *(t or "").split()]
+            for g in zip(words, words[1:], words[2:]):
+                longest[g] = longest.get(g, 0) + 1
+        out = {3: longest}
+        for size in (2, 1):
+            out[size] = {}
+            for g in out[size + 1]:
+                out[size][g[1:]] = out[size].get(g[1:], 0) + 1
+        return out
+
+    full, want = kinds(texts), {}
+    cut = {size: wordmodel.discounts([0, 0, *(list(n.values()).count(k) for k in (1, 2, 3, 4))]) for size, n in full.items()}
+    for k, text in enumerate(texts):
+        others, words, total = kinds(texts[:k] + texts[k + 1:]), ["<", "<", *(text or "").split()], 0.0
+        for g in zip(words, words[1:], words[2:]):
+            p = 1 / (len(full[1]) + 1)
+            for size in (1, 2, 3):
+                beside = [n for o, n in others[size].items() if o[:-1] == g[3 - size:-1]]
+                if beside:
+                    n = others[size].get(g[3 - size:], 0)
+                    p = (max(n - cut[size][min(n, 3)], 0) + p * sum(cut[size][min(n, 3)] for n in beside)) / sum(beside)
+            total += np.log(p)
+        want[k] = total
+    docs = spark.createDataFrame(rows, "row_key long, lang string, text string").repartition(3)
+    for slices in (1, 5):
+        got = {r["row_key"]: r["word_log_p"] for r in wordmodel.score(docs, Scratch(spark), slices).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_word_model_is_small(spark):
+    """Blocks take under 2.5 bytes a token and answers under 8 bytes a gram: hashes of all words of a block are held once."""
+    rnd = random.Random(12)
+    words = prose(rnd, 3000)
+    rows = [(k, "en", " ".join(rnd.choice(words) for _ in range(500))) for k in range(100)]
+    docs, scratch = spark.createDataFrame(rows, "row_key long, lang string, text string").coalesce(1), Scratch(spark)
+    packed = scratch.write(wordmodel.blocks(docs))
+    assert packed.select(F.sum(F.octet_length("words") + F.octet_length("codes"))).first()[0] < 2.5 * 50_000
+    met = wordmodel.gathered(wordmodel.asked(packed, 3, 8, 1), 3, 8, 1)
+    assert met.where("block >= 0 and stat is null").select(F.sum(F.octet_length("n"))).first()[0] < 8 * 49_000
+    scratch.drop()
+
+
 def test_rare_bad_section_is_blocked(spark):
     """A section of 4 % of a host with 25 sections is told apart by its labels, as it is on a host with fewer."""
     for sections in (15, 25):
