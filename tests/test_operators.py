@@ -105,6 +105,50 @@ def test_windows_of_panes_equal_plain_windows(spark, duration, step):
     assert most <= 2 * ((valid[-1][0] - first) // step + 1)
 
 
+@pytest.mark.parametrize("slice_", [1, 7, 65536])
+def test_windows_of_slices_equal_plain_windows(spark, monkeypatch, slice_):
+    """Whatever the length of a slice; repeated, infinite and missing values and a series of its own step included."""
+    monkeypatch.setattr(rolling, "SLICE", slice_)
+    rnd = random.Random(slice_)
+    nan, inf = float("nan"), float("inf")
+    start, points = datetime(2024, 1, 1), {}
+    for name, odd in (("a", [nan, None]), ("b", [inf, 3.0]), ("c", [nan, nan, nan])):
+        points[name] = [(t, rnd.choice([2.0, 2.0, rnd.random(), rnd.choice(odd)])) for t in sorted(rnd.choices(range(3000), k=400))]
+    rows = [("d", s, "m", "i", start + timedelta(seconds=t), v) for s, own in points.items() for t, v in own]
+    specs = spark.createDataFrame([(f"{a}{step}", "m", None, 500, step, 3, a) for a in ("avg", "min", "max", "p90", "p99") for step in (None, 70)], SPEC)
+    samples = spark.createDataFrame(rows, "dataset_id string, series_id string, metric string, instance string, ts timestamp, value double")
+    got = {(r.series_id, r.spec_id, r.k): (r.n, r.value) for r in rolling.rolling_windows(samples, specs).collect()}
+    want = {}
+    for s, own in points.items():
+        valid = [(t, v) for t, v in own if v is not None]
+        first, last = valid[0][0], valid[-1][0]
+        for spec in (None, 70):
+            ticks = spec * 10**7 if spec else int(max(1.0, (last - first) / (len(valid) - 1)) * 1e7)
+            for k in range((last - first) * 10**7 // ticks + 1):
+                at = first * 10**7 + k * ticks
+                inside = sorted((v for t, v in valid if at <= t * 10**7 < at + 500 * 10**7), key=lambda v: (v == v, v))
+                if len(inside) < 3:
+                    continue
+                numbers = [v for v in inside if v == v]
+                found = {"avg": sum(inside) / len(inside), "min": inside[0], "max": numbers[-1] if numbers else nan}
+                for p, share in (("p90", 0.9), ("p99", 0.99)):
+                    place = share * (len(inside) - 1)
+                    low, high = inside[int(place)], inside[min(int(place) + 1, len(inside) - 1)]
+                    found[p] = low + (place - int(place)) * (high - low)
+                want |= {(s, f"{a}{spec}", k): (len(inside), pytest.approx(v, rel=1e-9, nan_ok=True)) for a, v in found.items()}
+    assert got == want
+
+
+def test_windows_that_overlap_are_no_rows_to_shuffle(spark):
+    """Windows are spread out last of all; 4,000 samples in windows of 3,000 steps went to 7.5 million rows for each spec."""
+    specs = spark.createDataFrame([(a, "m", None, 3000, 1, 1, a) for a in ("avg", "p95")], SPEC)
+    found = rolling.rolling_windows(series(spark, [float(i * 37 % 1000) for i in range(4000)], 1), specs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    above = plan[:next(i for i, line in enumerate(plan) if "Generate explode(sequence" in line)]
+    assert not any(x in line for line in above for x in ("Aggregate", "Join", "Sort", "RepartitionBy"))
+    assert found.where("k >= 1000 and n <> 4000 - k or k < 1000 and n <> 3000").count() == 0 and found.count() == 8000
+
+
 def test_compare_nan(spark):
     nan = F.lit(float("nan"))
     assert [one(K.compare(nan, F.lit(op), F.lit(1.0)), spark) for op in ("gt", "ge", "lt", "le", "eq")] == [False] * 5
