@@ -70,32 +70,6 @@ def panes(samples: DataFrame, specs: DataFrame) -> DataFrame:
 _OF_WINDOW = [*SERIES, "spec_id", "aggregation", "min_samples", "duration_s", "_first", "_step", "_length"]
 
 
-def _grouped(batches, keys: int):
-    """(key, columns) of rows with the same first ``keys`` columns, as Arrow scalars; the input is sorted by them."""
-    import pyarrow.compute as pc
-
-    held, at = [], None
-    for batch in batches:
-        n = batch.num_rows
-        new = np.zeros(n, bool)
-        new[:1] = True
-        for c in batch.columns[:keys] if n > 1 else []:
-            a, b = c.slice(1), c.slice(0, n - 1)
-            other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
-            new[1:] |= other.to_numpy(zero_copy_only=False)
-        cuts = np.append(np.flatnonzero(new), n).tolist()
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[keys:]]
-        for i, j in zip(cuts[:-1], cuts[1:]):
-            key = [c[i] for c in batch.columns[:keys]]
-            if held and key != at:
-                yield at, [np.concatenate(c) for c in zip(*held)]
-                held = []
-            at = key
-            held.append([c[i:j].copy() for c in columns])
-    if held:
-        yield at, [np.concatenate(c) for c in zip(*held)]
-
-
 def _ranged(combine, rows, lo, hi, none):
     """``combine`` over the rows from ``lo`` to before ``hi``, for many ranges; rows are combined in pairs, level by level."""
     out, lo, hi = np.full(len(lo), none), lo.copy(), hi.copy()
@@ -188,7 +162,7 @@ def rolling_windows(samples: DataFrame, specs: DataFrame, percentiles: bool = Tr
     def run(batches):
         import pyarrow as pa
 
-        for key, columns in _grouped(batches, len(keys)):
+        for key, columns in skew.sorted_groups(batches, len(keys)):
             of = dict(zip(keys, key))
             aggregation, least_n, length, at = (of[c].as_py() for c in ("aggregation", "min_samples", "_length", "slice"))
             k, to, n, value = _slice_windows(aggregation, least_n, at * length, (at + 1) * length, *columns)

@@ -8,6 +8,7 @@
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SALTS = 16
@@ -130,3 +131,29 @@ def grouped_quantiles(df: DataFrame, keys: list, value: str, probs: list, aggs:
 
 def union_all(frames: list) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def sorted_groups(batches, keys: int):
+    """(key, columns) of rows with the same first ``keys`` columns, as Arrow scalars; the input is sorted by them."""
+    import pyarrow.compute as pc
+
+    held, at = [], None
+    for batch in batches:
+        n = batch.num_rows
+        new = np.zeros(n, bool)
+        new[:1] = True
+        for c in batch.columns[:keys] if n > 1 else []:
+            a, b = c.slice(1), c.slice(0, n - 1)
+            other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+            new[1:] |= other.to_numpy(zero_copy_only=False)
+        cuts = np.append(np.flatnonzero(new), n).tolist()
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[keys:]]
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            key = [c[i] for c in batch.columns[:keys]]
+            if held and key != at:
+                yield at, [np.concatenate(c) for c in zip(*held)]
+                held = []
+            at = key
+            held.append([c[i:j].copy() for c in columns])
+    if held:
+        yield at, [np.concatenate(c) for c in zip(*held)]

@@ -281,6 +281,27 @@ def test_pairs_match_brute_force(spark, kind):
     assert X.correlations(t.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["few runs", "sparse"])
+def test_pairs_of_parts_match_brute_force(spark, monkeypatch, kind):
+    """Long lists are dealt in parts, a bound of few seeds lets most signatures through."""
+    monkeypatch.setattr(X, "TILE", 7)
+    monkeypatch.setattr(X, "SEEDS", 3)
+    monkeypatch.setattr(X, "SEEDS_OF_ALL", 2)
+    random.seed(6)
+    t = X.trends_of(X.presence(*history(spark, *many_signatures(kind)), 100), with_points=True)
+    t = spark.createDataFrame(t.collect(), t.schema)
+    assert [(p.key_a, p.key_b, p.co_run_count) for p in X.correlations(t).orderBy("pair_ord").collect()] == best_pairs(t.collect(), 20)
+
+
+def test_only_the_best_pairs_of_a_list_leave_it(spark):
+    """A list of 1,500 signatures of equal overlaps has a million pairs; 20 go on, the first by name."""
+    rows = [("w", "intermittent", 0, 2, 100, "intermittent", 2, f"k{i:04d}", -1 - (1 << i % 60), 3) for i in range(1500)]
+    lists = spark.createDataFrame(rows, "workspace_id string, among string, list int, t long, total_runs long, direction string, pos int, first string, low long, high long")
+    got = sorted((p.first_a, p.first_b, p.together) for p in X._listed_pairs(lists, 20).collect())
+    same = [(f"k{i:04d}", f"k{j:04d}", 65) for i in range(2) for j in range(i + 60, 1500, 60)]
+    assert got == same[:20]
+
+
 def test_policy_needs_three_of_five(spark):
     w = {"a": "warning"}
     r, f = history(spark, w, {}, w, {}, w, {}, {}, w)
