@@ -85,6 +85,9 @@ def counted_quantiles(counts: DataFrame, keys: list, value: str, probs: list, ma
     Bucket totals locate the two ranks each quantile needs, and only the buckets that hold a rank are sorted.
     """
     counts = counts.withColumn("_bucket", _bucket(F.col(value)))
+    # The join below drops these; said here, both readings of the counts are one plan, whose shuffle is used twice.
+    for c in (*keys, "_bucket"):
+        counts = counts.where(F.col(c).isNotNull())
     if materialize is not None:
         counts = materialize(counts)
     buckets = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bn"))

@@ -61,6 +61,12 @@ def test_hot_quantiles_match_sorting(spark):
         assert q == pytest.approx(ordered[low] + (at - low) * (ordered[high] - ordered[low]), rel=1e-12)
 
 
+def test_value_counts_are_shuffled_once(spark):
+    found = skew.bucket_quantiles(series(spark, [3.0, 1.0, None, 1.0, 8.0]), ["dataset_id", "series_id"], "value", [0.0, 0.5, 1.0])
+    assert found.collect()[0].quantiles == [1, 2, 8]
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
 SPEC = "spec_id string, metric string, instance string, duration_s long, step_s long, min_samples long, aggregation string"
 
 
